@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from memjobs.llm import toxicity
+from memjobs.llm import licenses, pii, quality, toxicity, warc
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op2_license_scan": licenses.query,
+    "op5_warc_archive": warc.query,
+    "op8_pii": pii.query,
     "op10_toxicity": toxicity.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_archive": warc.ORACLE_SQL,
+}
