@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from memjobs.llm import licenses, pii, quality, toxicity, warc
+from memjobs.llm import decontamination, licenses, pii, quality, sentencepiece, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_license_scan": licenses.query,
+    "op4_decontaminate": decontamination.query,
     "op5_warc_archive": warc.query,
+    "op6_substring_dedup": substrings.query,
     "op8_pii": pii.query,
+    "op9_sentencepiece": sentencepiece.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontamination.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
+    "op6_substring_dedup": substrings.ORACLE_SQL,
 }
