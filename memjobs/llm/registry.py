@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from memjobs.llm import decontamination, licenses, pii, quality, sentencepiece, substrings, toxicity, warc
+from memjobs.llm import decontamination, jaccard, licenses, pii, quality, sentencepiece, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_license_scan": licenses.query,
+    "op3_ngram_jaccard": jaccard.query,
     "op4_decontaminate": decontamination.query,
     "op5_warc_archive": warc.query,
     "op6_substring_dedup": substrings.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": jaccard.ORACLE_SQL,
     "op4_decontaminate": decontamination.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op6_substring_dedup": substrings.ORACLE_SQL,
