@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memjobs.llm import decontamination, jaccard, licenses, pii, quality, sentencepiece, substrings, toxicity, warc
+from memjobs.llm import decontamination, extraction, jaccard, licenses, pii, quality, sentencepiece, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontamination.query,
     "op5_warc_archive": warc.query,
     "op6_substring_dedup": substrings.query,
+    "op7_html_extraction": extraction.query,
     "op8_pii": pii.query,
     "op9_sentencepiece": sentencepiece.query,
     "op10_toxicity": toxicity.query,
