@@ -1,0 +1 @@
+"""Column functions: text, parsing, rendering, embedding."""
