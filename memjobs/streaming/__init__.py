@@ -1,0 +1 @@
+"""Stateful streaming ingest."""
