@@ -11,7 +11,7 @@ from memjobs.operators import recall as R
 from memjobs.operators.vectors import scoped_top_k, similarity
 from memjobs.plans.memory import MEMORY
 from memjobs.plans.scalar import s_overlap, s_terms
-from memjobs.plans.tables import records
+from memjobs.plans.tables import kept, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -42,6 +42,14 @@ def layers(spark, sf_dir):
     return experiences, segments, qa
 
 
+def kept_layers(spark, sf_dir):
+    """The layers, made once: recall reads each of them many times."""
+    qa = kept(hierarchy.exact_topic_memory(records(spark, sf_dir)))
+    segments = hierarchy.segments_of(qa).join(hierarchy.segment_summaries(qa).select("conv_id", "segment_id", "summary"), ["conv_id", "segment_id"])
+    experiences = hierarchy.experiences_of(qa).join(hierarchy.experience_summaries(qa), ["conv_id", "experience_id"])
+    return kept(experiences), kept(segments), qa
+
+
 def overlap_hits(queries, rows, id_col, text):
     """A stand-in for vector hits that SQL can express: lexical overlap of the question with a text."""
     pairs = queries.select("query_id", "conv_id", "question").join(rows.select("conv_id", F.col(id_col).alias("id"), text.alias("text")), "conv_id")
@@ -326,22 +334,22 @@ def scoped_hits(queries, scope, rows, id_col, parent, text, limit):
 
 def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2, n_seg: int = 3, n_qa: int = 8):
     """Roots, descendants, rescue, pruning, tree, budget, selection and context for each query."""
-    found = R.roots(queries, exp, vector_hits(queries, exp, "experience_id", F.col("summary"), 12))
+    found = kept(R.roots(queries, exp, vector_hits(queries, exp, "experience_id", F.col("summary"), 12)))
     seg_hits = scoped_hits(queries, found, seg, "segment_id", "experience_id", F.col("summary"), 32)
     below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
     qa_hits = scoped_hits(queries, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
-    segments, leaves = R.descend(queries, found, seg, qa, seg_hits, qa_hits)
+    segments, leaves = map(kept, R.descend(queries, found, seg, qa, seg_hits, qa_hits))
     every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40))
-    kept = R.prune_orphans(*every)
-    fitted = budget.fit_trees(R.candidate_tree(*kept, exp, seg, qa).select("query_id", F.to_json("tree").alias("tree")), budget=token_budget)
+    whole = tuple(map(kept, R.prune_orphans(*map(kept, every))))
+    fitted = kept(budget.fit_trees(R.candidate_tree(*whole, exp, seg, qa).select("query_id", F.to_json("tree").alias("tree")), budget=token_budget))
     ids = "array<struct<id:string,segments:array<struct<id:string,qas:array<struct<id:string>>>>>>"
     left = fitted.select("query_id", F.explode(F.from_json("tree", ids)).alias("e"))
     left_seg = left.select("query_id", F.explode("e.segments").alias("s"))
     left_qa = left_seg.select("query_id", F.explode("s.qas").alias("q")).select("query_id", F.col("q.id").alias("qa_id"))
     part = (
-        kept[0].join(left.select("query_id", F.col("e.id").alias("experience_id")), ["query_id", "experience_id"], "left_semi"),
-        kept[1].join(left_seg.select("query_id", F.col("s.id").alias("segment_id")), ["query_id", "segment_id"], "left_semi"),
-        kept[2].join(left_qa, ["query_id", "qa_id"], "left_semi"),
+        whole[0].join(left.select("query_id", F.col("e.id").alias("experience_id")), ["query_id", "experience_id"], "left_semi"),
+        whole[1].join(left_seg.select("query_id", F.col("s.id").alias("segment_id")), ["query_id", "segment_id"], "left_semi"),
+        whole[2].join(left_qa, ["query_id", "qa_id"], "left_semi"),
     )
     x, s, q = R.select_top_down(*part, n_exp, n_seg, n_qa)
     x, s = R.cohere(x, s, q)
@@ -350,7 +358,7 @@ def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2,
 
 @query("g7_descendants")
 def g7(spark, sf_dir):
-    q, (exp, seg, qa) = asked(spark, sf_dir), layers(spark, sf_dir)
+    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), kept_layers(spark, sf_dir)
     found = R.roots(q, exp, vector_hits(q, exp, "experience_id", F.col("summary"), 12))
     below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
     hits = scoped_hits(q, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
@@ -375,7 +383,7 @@ def g8(spark, sf_dir):
 
 @query("g23_recall")
 def g23(spark, sf_dir):
-    q, frames = asked(spark, sf_dir), layers(spark, sf_dir)
+    q, frames = kept(asked(spark, sf_dir)), kept_layers(spark, sf_dir)
     _, _, leaves, fitted = recalled(q, *frames)
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "qa_id"))), lambda s: s["qa_id"])
     return leaves.groupBy("query_id").agg(order.alias("qa_ids")).join(fitted.select("query_id", "tokens_after", "overflow"), "query_id")
@@ -384,9 +392,10 @@ def g23(spark, sf_dir):
 @query("g24_layered_recall")
 def g24(spark, sf_dir):
     """The older recall, one layer at a time, completed and pruned."""
-    q, (exp, seg, qa) = asked(spark, sf_dir), layers(spark, sf_dir)
+    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), kept_layers(spark, sf_dir)
     rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20), n).select("query_id", "id", F.col("final_score").alias("score"))
             for m, level, text, n in ((exp, "experience", F.col("summary"), 8), (seg, "segment", F.col("summary"), 20), (qa, "qa", F.col("user_input"), 32))]
+    rows = [kept(r) for r in rows]
     e = rows[0].withColumnRenamed("id", "experience_id")
     s = rows[1].withColumnRenamed("id", "segment_id").join(seg.select("segment_id", "experience_id"), "segment_id")
     a = rows[2].withColumnRenamed("id", "qa_id").join(qa.select("qa_id", "segment_id"), "qa_id")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from memjobs.functions import parse
 from memjobs.operators import hierarchy, models
-from memjobs.plans.tables import TURNS, records, table, turns
+from memjobs.plans.tables import TURNS, records, shared_folder, table, turns
 from memjobs.sources import dialogue, records as stored_records
 from memjobs.streaming import ingest
 
@@ -26,14 +23,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def shared_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
-
-
 def documents(spark, sf_dir):
     """A nested dialogue document for each conversation: turns below 4 in session 2, the others in session 10."""
     t = turns(spark, sf_dir).withColumn("s", F.when(F.col("turn_ord") < 4, "session_2").otherwise("session_10"))

@@ -5,6 +5,9 @@ Topic records need a language model; here a rule on the text stands in for it, t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; only where the cluster names none is one made here."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read again: what several later steps read is made once."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         "conv_id", F.lit(1).alias("session_num"), F.col("turn").cast("int").alias("turn_ord"),
