@@ -10,9 +10,10 @@ The plan, by the method of token-combination prefixes:
    prefixes than could avoid a common signature: a rare token is a signature by itself; frequent tokens are dealt to
    ``GROUPS`` groups, and each two of a group form one. Each group with a token in the prefix lengthens it by one.
    Sets too small for that (see ``size_limits``) use single tokens throughout; sets near that size use both.
-3. Of each signature, the nodes are compared with the smallest node first, and the links found are contracted to
-   components. Only for signatures whose nodes are then in several components, all pairs across components are
-   compared. Pairs inside a component can't change the result.
+3. Each node is compared with the most central node that it shares a signature with (the one with the fewest tokens of
+   its own), and the links found are contracted to components. Nodes that are then connected by signatures whose
+   nodes are in several components are compared in blocks of about ``BLOCK`` nodes, two blocks in a task, across
+   components only; pairs inside a component can't change the result. Pairs that don't link are never written out.
 4. A comparison intersects the nodes' shared hashes; the similarity is computed in whole numbers, without tolerance.
 
 Texts without words or null have an empty set, link with nothing and are components of their own. Texts of fewer than
@@ -25,19 +26,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjobs.llm.common import WordHashes, lower_ascii, mixed, raw_texts, space_words, stored, table, window_hashes
+from memjobs.llm.common import WordHashes, lower_ascii, mixed, raw_texts, sliced, space_words, stored, table, window_hashes
 
 #: Frequent tokens are those of more than 2 ** RARE nodes.
 RARE = 5
 GROUPS = 16
-CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 60_000
-BUCKET_TOKENS = 6_000_000
+#: What a task gathers before it hands it on, and about how many tokens a bucket has; they bound memory, not results.
+CHUNK_TOKENS, CHUNK_DOCS = 800_000, 60_000
+BUCKET_TOKENS = 1_500_000
 _DOC = np.dtype([("id", "<i8"), ("n", "<i8"), ("node", "S16")])
 
 
@@ -96,9 +99,10 @@ def _emit(docs: DataFrame, n_gram: int, bucket_keys: list[int]) -> DataFrame:
         buckets, kinds, payloads = [], [], []
         if sets:
             keys = np.concatenate(sets)
-            owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            order = np.argsort(keys, kind="stable")
+            owners = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            order = np.argsort(keys, kind="stable").astype(np.int32)
             keys, owners, names = keys[order], owners[order], np.array(nodes, dtype="S16")
+            sets.clear()
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if y > x:
@@ -112,8 +116,8 @@ def _emit(docs: DataFrame, n_gram: int, bucket_keys: list[int]) -> DataFrame:
         return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int64()), "kind": pa.array(kinds, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, sets, nodes, seen, count, turn = WordHashes(), [], [], [], set(), 0, 0
-        for batch in batches:
+        hashes, rows, sets, nodes, seen, count, turn = WordHashes(150_000), [], [], [], set(), 0, 0
+        for batch in sliced(batches):
             for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch, "text"), strict=True):
                 turn = turn or hash(doc) % n_buckets
                 keys = shingle_set(raw, hashes, n_gram)
@@ -171,8 +175,9 @@ def _shared(rows: DataFrame) -> DataFrame:
         # equal sets of different tasks are one node
         nodes, number = np.unique(np.concatenate(names), return_inverse=True)
         o = number[o].astype(np.int32)
-        order = np.lexsort((o, k))
+        order = np.lexsort((o, k)).astype(np.int32)
         k, o = k[order], o[order]
+        del order
         new = np.ones(len(k), dtype=bool)
         new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
         k, o = k[new], o[new]
@@ -296,24 +301,61 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
+BLOCK = 256
+
+
+def _block_links(percent: int):
+    """Links between different parts among the nodes of one or two blocks, from one matrix of shared tokens."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(k, "<u8") for k in rows["keys"]]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        keys, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times > 1
+        place = np.cumsum(several) - 1
+        kept = several[number]
+        owner, number = owner[kept], place[number[kept]]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        for at in range(0, int(several.sum()), 4096):
+            x, y = np.searchsorted(number, [at, at + 4096])
+            has = np.zeros((len(sets), 4096), dtype=np.float32)
+            has[owner[x:y], number[x:y] - at] = 1
+            both += has @ has.T
+        n, part, rep = (rows[c].to_numpy() for c in ("n", "part", "rep"))
+        both = both.round().astype(np.int64)
+        link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        link &= part[:, None] < part[None, :]
+        # one link for each two parts is enough
+        i, j = np.nonzero(link)
+        _, first = np.unique(np.stack([part[i], part[j]]), axis=1, return_index=True) if len(i) else (None, np.empty(0, dtype=np.int64))
+        return pd.DataFrame({"a": rep[i[first]], "b": rep[j[first]]})
+
+    return run
+
+
 def _links(nodes: DataFrame, percent: int) -> DataFrame:
     """Links that give the same components as all links do."""
-    sigs = nodes.select("rep", "n", F.explode("sigs").alias("sig"))
-    lead = sigs.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("sig", "a")
-    pairs = sigs.join(lead, "sig").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    found = stored(_verified(pairs, nodes, percent), "links")
+    single = F.col("n") - (F.octet_length("keys") / 8).cast("long")  # tokens that no other node has
+    sigs = nodes.select("rep", "n", single.alias("single"), F.explode("sigs").alias("sig"))
+    # a node with few tokens of its own is at the centre of its group: most of the others link with it
+    lead = sigs.groupBy("sig").agg(F.min(F.struct("single", "rep")).alias("lead"), F.min("rep").alias("y"), F.max("rep").alias("z")).where("y < z")
+    star = sigs.join(lead, "sig").where(F.col("lead.rep") != F.col("rep")).groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("lead"))
+    found = stored(_verified(star.select(F.col("lead.rep").alias("a"), "b"), nodes, percent), "links")
     part = stored(components(found), "parts")
-    known = sigs.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    known = stored(known.select("rep", "n", "sig", "part"), "signatures")
-    mixed_sigs = known.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
-    open_rows = known.join(mixed_sigs, "sig")
-    x = open_rows.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_x"), F.col("part").alias("p"))
-    y = open_rows.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_y"), F.col("part").alias("q"))
-    near = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
-    across = x.join(y, "sig").where((F.col("p") < F.col("q")) & near).select("a", "b").distinct()
-    tried = found.union(pairs)  # links, and star pairs that failed, needn't be compared again
-    across = across.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    return found.union(_verified(across, nodes, percent))
+    known = sigs.select("rep", "sig").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    known = stored(known.select("rep", "sig", "part"), "signatures")
+    # signatures whose nodes are still in several parts; nodes that such signatures connect are compared in blocks
+    open_sigs = known.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("rep").alias("b")).where("p < q").select("sig", "b")
+    cluster = stored(components(known.join(open_sigs, "sig").select(F.col("rep").alias("a"), "b")), "clusters")
+    size = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cluster.join(size, "component").select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    rows = placed.join(nodes.select("rep", "n", "keys"), "rep").join(known.select("rep", "part").distinct(), "rep")
+    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", pairs).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    across = dealt.select("component", "i", "j", "rep", "n", "part", "keys").groupBy("component", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    return found.union(across)
 
 
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = 5) -> DataFrame:
