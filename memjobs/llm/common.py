@@ -64,6 +64,13 @@ def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before; forgets all when it grows past ``limit``."""
 
@@ -121,7 +128,7 @@ def extended(
     schema = T.StructType([*kept, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = list(compute(batch))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in kept), *made], names=[f.name for f in schema.fields]

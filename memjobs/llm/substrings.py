@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjobs.llm.common import WordHashes, extended, mixed, raw_texts, space_words, stored, table, window_hashes
+from memjobs.llm.common import WordHashes, extended, mixed, raw_texts, sliced, space_words, stored, table, window_hashes
 
 _SECOND = 0xD6E8FEB86659FD93
 #: Windows that a task gathers before it settles them; bounds its memory, not the result.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -130,8 +130,8 @@ def _half_windows(docs: DataFrame, length: int) -> DataFrame:
     half = length // 2
 
     def parts(batches):
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(150_000)
+        for batch in sliced(batches):
             for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch, "text"), strict=True):
                 words = space_words(raw)
                 if doc is not None and len(words) >= length:
@@ -147,8 +147,8 @@ def _full_windows(suspects: DataFrame, length: int) -> DataFrame:
     half = length // 2
 
     def parts(batches):
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(150_000)
+        for batch in sliced(batches):
             places = batch.column("places")
             for k, (doc, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), raw_texts(batch, "text"), strict=True)):
                 words = space_words(raw)
@@ -167,9 +167,12 @@ def _full_windows(suspects: DataFrame, length: int) -> DataFrame:
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """doc_id and the sorted ``starts`` of its windows that a document with a smaller id has too."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs
+    if docs.dtypes != [("doc_id", "bigint"), ("text", "string")]:
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = base.where("doc_id is not null")
     by_hash = Window.partitionBy("h1", "h2")
-    level = _half_windows(base.where("doc_id is not null"), length)
+    level = _half_windows(base, length)
     level = level.withColumn("others", F.count(F.lit(1)).over(by_hash)).where(F.col("settled") | (F.col("others") > 1))
     places = stored(level.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("places")), "repeated-halves")
     full = _full_windows(base.join(places, "doc_id"), length)
@@ -188,7 +191,11 @@ def covered_words(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 def _with_places(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     found = repeated_places(docs, id_col, text_col, length).withColumnRenamed("doc_id", "__at_id").withColumnRenamed("starts", "__starts")
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__at_id"), "left").drop("__at_id")
+    # without null ids this reads the same shuffled texts as the join in repeated_places does, which Spark then makes once
+    known = docs.where(F.col(id_col).isNotNull())
+    key = F.col(id_col) if dict(docs.dtypes)[id_col] == "bigint" else F.col(id_col).cast("long")
+    rows = known.join(found, key == F.col("__at_id"), "left").drop("__at_id")
+    return rows.union(docs.where(F.col(id_col).isNull()).withColumn("__starts", F.lit(None).cast("array<int>")))
 
 
 def _places(batch: pa.RecordBatch) -> list[np.ndarray]:

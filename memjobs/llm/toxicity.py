@@ -54,23 +54,26 @@ class ToxicityModel:
 
 
 class _Codes(dict):
-    """Of a word: 1 if in the lexicon, 2 if it begins like lexicon words, 4 if second person."""
+    """Of a word: 1 if in the lexicon, 2 if it begins like lexicon words, 4 if second person. Kept for words seen before."""
+
+    def __reduce__(self):  # travels without what it has kept
+        return _Codes, (self.words, self.stems)
 
     def __init__(self, words: dict[str, float], stems: frozenset[str]):
         super().__init__()
         self.words, self.stems = words, stems
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         found = (w in self.words) | 2 * any(w[:k] in self.stems for k in _STEMS if len(w) >= k) | 4 * (w in SECOND_PERSON)
         self[w] = found
         return found
 
 
-def features(raws: list[bytes], words: dict[str, float], stems: frozenset[str]) -> np.ndarray:
+def features(raws: list[bytes], codes: _Codes) -> np.ndarray:
     """A row of ``N_FEATURES`` numbers for each text."""
-    codes = _Codes(words, stems)
+    words = codes.words
     out = np.zeros((len(raws), N_FEATURES))
     for row, raw in zip(out, raws, strict=True):
         if not raw:
@@ -182,8 +185,10 @@ def fit_toxicity(
     )
     stems = frozenset(r[0] for r in found.select("stem").collect())
 
+    codes = _Codes(words, stems)
+
     def compute(batch: pa.RecordBatch):
-        x = features(raw_texts(batch, "text"), words, stems)
+        x = features(raw_texts(batch, "text"), codes)
         yield pa.array(list(x), pa.list_(pa.float64()))
 
     rows = (
@@ -208,8 +213,10 @@ def score_toxicity(
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` up)."""
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
+    codes = _Codes(model.words, model.stems)
+
     def compute(batch: pa.RecordBatch):
-        score = np.round(model.score(features(raw_texts(batch, text_col), model.words, model.stems)), 6)
+        score = np.round(model.score(features(raw_texts(batch, text_col), codes)), 6)
         yield pa.array(score, pa.float64())
         yield pa.array((score >= threshold).astype(np.int32), pa.int32())
 
