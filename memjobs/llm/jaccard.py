@@ -348,7 +348,9 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     known = stored(known.select("rep", "sig", "part"), "signatures")
     # signatures whose nodes are still in several parts; nodes that such signatures connect are compared in blocks
     open_sigs = known.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("rep").alias("b")).where("p < q").select("sig", "b")
-    cluster = stored(components(known.join(open_sigs, "sig").select(F.col("rep").alias("a"), "b")), "clusters")
+    others = stored(components(known.join(open_sigs, "sig").select(F.col("rep").alias("a"), "b")), "clusters")
+    # components() leaves out the smallest node of each
+    cluster = others.union(others.select("component", "component").distinct())
     size = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = cluster.join(size, "component").select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     rows = placed.join(nodes.select("rep", "n", "keys"), "rep").join(known.select("rep", "part").distinct(), "rep")

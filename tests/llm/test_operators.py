@@ -79,6 +79,17 @@ def test_jaccard_components(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(part)) and kept.columns == ["doc_id", "text", "score", "n_words"]
 
 
+def test_jaccard_compares_the_smallest_node_of_a_cluster(spark):
+    # y has more tokens of its own than x, and x than z: y is compared with z first, and x~y is left to the blocks
+    texts = []
+    for g in range(40):
+        a, t, b = ([f"{c}{g}.{k}" for k in range(n)] for c, n in (("a", 40), ("t", 5), ("b", 35)))
+        own = [f"o{g}.{k}" for k in range(9)]
+        texts += [" ".join(w) for w in ([*a, own[0]], [*a, *t, *own[1:4]], [*a[-4:], *t, *b], [*t[-4:], *b, *own[4:]])]
+    got = rows(jaccard.similar_components(table(spark, texts)))
+    assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(texts)[1]
+
+
 def test_signatures_lose_no_similar_pair():
     rng = np.random.default_rng(3)
     for _ in range(400):
