@@ -8,13 +8,15 @@ dropped node nothing is kept. So an ancestor and a descendant can't contradict e
 
 Scripts, styles, comments and markup never give text. Character references are decoded, white space inside a block
 becomes one space, blocks stand in page order with an empty line between. Null and empty pages give an empty text.
-Broken markup is closed where the page ends. Repeated rows are extracted alike; other columns pass through.
+Broken markup is closed where the page ends; a silent element other than a script or style ends with the block around
+it. A self-closed silent element is empty unless its own closing tag comes next. Repeated rows are extracted alike; other columns pass through.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import cache
 from html.parser import HTMLParser
 
@@ -70,19 +72,21 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None, frozenset(), False)
-        self.silent: list[str] = []
+        self.silent: list[str] = []  # a silent element and what is open inside
+        self.inside: Counter[str] = Counter()  # the same by tag
+        self.start = 0
         self.links = self.place = 0
         self.nodes = [self.root]
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag == self.silent[-1] and tag not in VOID:
-                self.silent.append(tag)
+            if tag not in VOID and tag not in INLINE:
+                self._silence(tag)
             return
         if tag in SILENT:
             if tag == "head":
                 return
-            self.silent.append(tag)
+            self._silence(tag)
             return
         if tag == "body":
             return
@@ -121,16 +125,46 @@ class _Tree(HTMLParser):
         if node.parent and node.tag in tags:
             self.at = node.parent
 
+    def _silence(self, tag):
+        self.silent.append(tag)
+        self.inside[tag] += 1
+
+    def _encloses(self, tag):
+        node = self.at
+        while node.parent and node.tag != tag:
+            node = node.parent
+        return node.parent is not None or tag in ("html", "body", "head")
+
+    def parse_starttag(self, i):
+        self.start = i
+        return super().parse_starttag(i)
+
     def handle_startendtag(self, tag, attrs):
+        if self.silent:
+            return
+        if tag in SILENT:
+            after = None if tag in ("svg", "math") else re.compile(rf"<(/?){tag}\b", re.I).search(self.rawdata, self.start + 1)
+            if after and after[1]:
+                self.handle_starttag(tag, attrs)
+                if tag in self.CDATA_CONTENT_ELEMENTS and self.silent:
+                    self.set_cdata_mode(tag)
+            return
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE and not self.silent:
+        if tag not in VOID and tag not in INLINE:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            return
+            if self.inside[tag]:
+                last = None
+                while last != tag:
+                    last = self.silent.pop()
+                    self.inside[last] -= 1
+                return
+            if self.silent[0] in self.CDATA_CONTENT_ELEMENTS or not self._encloses(tag):
+                return
+            self.silent.clear()
+            self.inside.clear()
         if tag in INLINE:
             self.links -= tag == "a" and self.links > 0
             return

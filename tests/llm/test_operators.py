@@ -245,6 +245,22 @@ def test_extraction_edges(spark):
     assert got[2]["text"] == got[3]["text"] == ""
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<p>a <svg class="i"/>b</p><p>c', "a b|c"),
+    ("<p>a <math/>b <iframe src=x />c <object/>d <video/>e</p>f", "a b c d e|f"),
+    ("<p>a</p><script src=x /><p>b</p><script>var v = '<p>';</script>c", "a|b|c"),
+    ("<p>a</p><script src=x />var v = '<p>';</script><p>b", "a|b"),
+    ("<p>a</p><iframe src=x />old <p>browser</p></iframe><p>b", "a|b"),
+    ("<div>a<object data=x><div>no</div><p>no</div>b", "a|b"),
+    ("<div>a<video><source src=x>no</div><div>b<select><option>no</div><p>c<canvas>no</p>d", "a|b|c|d"),
+    ("<div>a<svg><g><path d=x /><svg/></g><title>no</title></svg>b</div>c", "ab|c"),
+    ("<head><noscript>no</head><body><p>a", "a"),
+    ("<div>a<style>p{}</div>no", "a"),
+])
+def test_silent_elements_end(html, want):
+    assert "|".join(extraction.block_texts(extraction.parse(html).nodes)) == want
+
+
 # -- op8
 
 
