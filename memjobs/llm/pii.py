@@ -40,8 +40,8 @@ _LOOSE = (
     ("phone", ("-", ".", " "), re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     ("card", (".", "/"), re.compile(r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])")),
     ("secret", ("AKIA",), re.compile(r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])")),
-    ("secret", ("ghp", "gho", "sk", "pk"), re.compile(r"(?:ghp|gho|sk|pk)[_-][A-Za-z0-9_-]{16,255}")),
-    ("secret", ("=", ":"), re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}\"?[^\s\"]{6,255}\"?")),
+    ("secret", ("ghp", "gho", "sk", "pk"), re.compile(r"(?:ghp|gho|sk|pk)[_-][A-Za-z0-9_-]{16,}+")),
+    ("secret", ("=", ":"), re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}\"?[^\s\"]{6,}+\"?")),
     ("iban", ("",), re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")),
 )
 
@@ -96,7 +96,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of the looser patterns that meet no base span; earlier and longer ones first, no overlaps."""
+    """Candidates of the looser patterns that meet no base span; earlier and longer ones first, no overlaps.
+
+    A secret of more than 255 characters is no email, card or the like, so it stays whole around a base span.
+    """
     found = []
     for kind, marks, pattern in _LOOSE:
         if any(m in text for m in marks):
@@ -107,7 +110,8 @@ def _more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     end = -1
     for k, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
         i = np.searchsorted(starts, e) - 1
-        if s >= end and not (i >= 0 and reach[i] > s):
+        long = KINDS[k] == "secret" and e - s > 255
+        if s >= end and (long or not (i >= 0 and reach[i] > s)):
             out.append((k, s, e))
             end = e
     return out
@@ -132,7 +136,7 @@ def vote_code(text: str, kind: int, start: int, end: int, strict: bool) -> int:
         votes[1] = 2 if 10 <= len(digits) <= 15 else 0
         votes[2] = 2 if span.startswith(CALLING_CODES) else 1
     elif name == "secret":
-        value = re.split(r"[=:]\s*", span)[-1].strip('"')
+        value = re.split(r"[=:]\s*", span, maxsplit=1)[-1].strip('"')
         mix = sum(any(t(c) for c in value) for t in (str.isdigit, str.islower, str.isupper))
         votes[1] = 2 if mix >= 2 and len(set(value)) >= 8 else 0
         votes[2] = 2 if re.match(r"AKIA|gh[po]_|[sp]k[_-]|(?i:passw|token|secret|api)", span) else 1

@@ -296,6 +296,18 @@ def test_pii_labels_and_redaction(spark):
     assert clean[0]["text"] == "mail me at [EMAIL] now" and clean[2]["text"] is None and clean[len(texts) - 1]["text"] == "call [PHONE]"
 
 
+def test_long_secrets_are_whole():
+    body = "".join(random.Random(4).choices("abcdefghijkXYZ_-", k=900))
+    for t in ("token=" + body, 'api_key: "' + body + '=="', "sk-" + body, f"secret={body[:300]}/4111111111111111/{body[:300]}"):
+        base = pii.base_spans(f"see {t} end")
+        assert pii._more_spans(f"see {t} end", base) == [(4, 4, 4 + len(t))]
+    code = pii.vote_code("token=" + body, 4, 0, 906, False)
+    assert pii.vote_code("token=" + body + "==", 4, 0, 908, False) == code
+    redacted = pii.spans_of(f"secret={body[:300]}/4111111111111111/{body[:300]}", pii.PiiModel(frozenset({code})))[1]
+    assert [s[0] for s in redacted] == [4, 2]
+    assert len(pii._more_spans("token=" * 100_000 + " " + "sk-" * 100_000, [])) == 2
+
+
 # -- op9
 
 
