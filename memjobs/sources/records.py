@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ANSWER = "struct<question:string,ground_truth:string,prediction:string,retrieved_ids:array<string>,evidence:array<string>,category:int,f1:double,judge_score:int,retrieved_tokens:int>"
 
@@ -37,7 +38,7 @@ def compacted(log: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def float32_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats as a vector; null and empty blobs are empty."""
     return blobs.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) else np.empty(0, np.float32))
