@@ -3,22 +3,29 @@
 The plan, by the method of token-combination prefixes:
 
 1. One pass makes each document's set of shingle hashes. Documents with equal sets are one *node* (its key is a 128-bit
-   digest of the set). Hashes go to the bucket of their value, packed by task, and each bucket finds the hashes that
-   several nodes have. All others can't be in an intersection; their number is all that is kept of them. This gives
-   exact document frequencies over all documents.
+   digest of the set). Hashes go to the bucket of their value, and each bucket finds those that several nodes have; all
+   others can't be in an intersection, and their number is all that is kept of them. This gives exact document
+   frequencies over all documents. Tokens travel packed: a row holds what a task has for one bucket, or a bucket for one
+   group of nodes, so there are never more rows than tokens, and far fewer while tasks hold many tokens a bucket.
 2. A node orders its tokens from rare to frequent. If two sets are similar enough, they share more tokens of their
    prefixes than could avoid a common signature: a rare token is a signature by itself; frequent tokens are dealt to
    ``GROUPS`` groups, and each two of a group form one. Each group with a token in the prefix lengthens it by one.
    Sets too small for that (see ``size_limits``) use single tokens throughout; sets near that size use both.
 3. Each node is compared with the most central node that it shares a signature with (the one with the fewest tokens of
-   its own), and the links found are contracted to components. Nodes that are then connected by signatures whose
-   nodes are in several components are compared in blocks of about ``BLOCK`` nodes, two blocks in a task, across
-   components only; pairs inside a component can't change the result. Pairs that don't link are never written out.
+   its own), and the links found are contracted to parts. Nodes that are then connected by signatures whose nodes are
+   in several parts form a cluster. In a cluster, the nodes outside its largest part are compared with all others, in
+   blocks; nodes of the largest part aren't compared with each other, as pairs inside a part can't change the result.
+   Pairs that don't link are never written out.
 4. A comparison intersects the nodes' shared hashes; the similarity is computed in whole numbers, without tolerance.
 
+Shingles are compared by their 64-bit hashes: for two sets of 500 shingles, the chance that unequal ones count as equal
+is below 2e-14. A bucket holds its share of all tokens at a time, and for a token that many nodes have ten bytes a node.
+
 Texts without words or null have an empty set, link with nothing and are components of their own. Texts of fewer than
-five words have their whole sequence as one shingle. Rows without an id get no component (null). Rows that repeat an
-id and a text are one row in the result; an id with several texts has a row for each set. Other columns aren't read.
+five words have their whole sequence as one shingle. Texts of any length are used whole. Rows without an id get no
+component (null). Rows that repeat an id and a text are one row in the result; an id with several texts has a row for
+each set, and links of any of them are links of the id. An empty table gives no rows. Other columns aren't read, so
+their names don't matter; ties between equal sets are settled by the smallest id.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,17 +90,30 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, owners, np.frombuffer(raw, "S16", m, at + 2 * n)
 
 
+def _packed_nodes(names: np.ndarray, sizes: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> bytes:
+    """Nodes, the number of keys of each, and all keys with their ranks, one node after the other."""
+    return b"".join([len(names).to_bytes(8, "little"), names.tobytes(), sizes.astype("<u4").tobytes(), keys.tobytes(), ranks.tobytes()])
+
+
+def _unpacked_nodes(raw: bytes) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    m = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, "<u4", m, 8 + 16 * m)
+    cuts, at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 8 + 20 * m
+    keys = np.frombuffer(raw, "<u8", cuts[-1], at)
+    ranks = np.frombuffer(raw, np.uint8, cuts[-1], at + 8 * int(cuts[-1]))
+    for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        yield raw[8 + 16 * k : 24 + 16 * k], keys[x:y], ranks[x:y]
+
+
 def _node(keys: np.ndarray) -> bytes:
     """A digest of a set. It never ends in a zero byte, which fixed-width byte strings would lose."""
     raw = xxhash.xxh3_128_digest(keys.tobytes())
     return raw[:15] + bytes([raw[15] | 1])
 
 
-def _emit(docs: DataFrame, n_gram: int, bucket_keys: list[int]) -> DataFrame:
+def _emit(docs: DataFrame, n_gram: int, n_buckets: int) -> DataFrame:
     """Rows (bucket, kind, payload): tokens of a task's nodes by bucket, and its documents."""
-    n_buckets = len(bucket_keys)
     edges = np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], dtype=np.uint64)
-    place = np.array(bucket_keys, dtype=np.int64)
 
     def flush(rows: list[tuple], sets: list[np.ndarray], nodes: list[bytes], turn: int):
         buckets, kinds, payloads = [], [], []
@@ -106,14 +126,14 @@ def _emit(docs: DataFrame, n_gram: int, bucket_keys: list[int]) -> DataFrame:
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if y > x:
-                    buckets.append(int(place[b]))
+                    buckets.append(b)
                     kinds.append(0)
                     payloads.append(_packed(keys[x:y], owners[x:y], names))
         for k, at in enumerate(range(0, len(rows), 5000)):
-            buckets.append(int(place[(turn + k) % n_buckets]))
+            buckets.append((turn + k) % n_buckets)
             kinds.append(1)
             payloads.append(np.array(rows[at : at + 5000], dtype=_DOC).tobytes())
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int64()), "kind": pa.array(kinds, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "kind": pa.array(kinds, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows, sets, nodes, seen, count, turn = WordHashes(150_000), [], [], [], set(), 0, 0
@@ -134,7 +154,7 @@ def _emit(docs: DataFrame, n_gram: int, bucket_keys: list[int]) -> DataFrame:
         if rows:
             yield flush(rows, sets, nodes, turn)
 
-    return docs.mapInArrow(run, "bucket long, kind int, payload binary")
+    return docs.mapInArrow(run, "bucket int, kind int, payload binary")
 
 
 SHARED = T.StructType(
@@ -142,14 +162,20 @@ SHARED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("node", T.BinaryType()),
-        T.StructField("keys", T.BinaryType()),
-        T.StructField("ranks", T.BinaryType()),
+        T.StructField("grp", T.LongType()),
+        T.StructField("pack", T.BinaryType()),
     ]
 )
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of each bucket, a row for each node with the hashes that other nodes have too and the log2 of their frequency."""
+def _group(node: Column, n_groups: int) -> Column:
+    """The group of nodes that a node is gathered with, by its first four bytes."""
+    return F.conv(F.hex(F.substring(node, 1, 4)), 16, 10).cast("long") % n_groups
+
+
+def _shared(rows: DataFrame, n_groups: int) -> DataFrame:
+    """The documents; and of each bucket, a row for each group of nodes: their hashes that other nodes have too, with the
+    log2 of the frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, names, base = [], [], [], 0
@@ -166,15 +192,20 @@ def _shared(rows: DataFrame) -> DataFrame:
                     base += len(n)
             if docs:
                 d = np.concatenate(docs)
-                none = pa.nulls(len(d), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(d["id"]), pa.array(d["n"]), pa.array(d["node"].tolist(), pa.binary()), none, none], names=SHARED.names)
+                columns = [pa.array(d["id"]), pa.array(d["n"]), pa.array(d["node"].tolist(), pa.binary()), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=SHARED.names)
         if not keys:
             return
         k, o = np.concatenate(keys), np.concatenate(owners)
         keys.clear(), owners.clear()
-        # equal sets of different tasks are one node
+        # equal sets of different tasks are one node; nodes stand in the order of their groups
         nodes, number = np.unique(np.concatenate(names), return_inverse=True)
-        o = number[o].astype(np.int32)
+        names.clear()
+        group = np.frombuffer(nodes.tobytes(), ">u4").reshape(-1, 4)[:, 0].astype(np.int64) % n_groups
+        order = np.argsort(group, kind="stable")
+        nodes, group, place = nodes[order], group[order], np.empty(len(nodes), dtype=np.int32)
+        place[order] = np.arange(len(nodes), dtype=np.int32)
+        o = place[number[o]]
         order = np.lexsort((o, k)).astype(np.int32)
         k, o = k[order], o[order]
         del order
@@ -183,21 +214,21 @@ def _shared(rows: DataFrame) -> DataFrame:
         k, o = k[new], o[new]
         first = np.ones(len(k), dtype=bool)
         first[1:] = k[1:] != k[:-1]
-        group = np.cumsum(first) - 1
-        frequency = np.bincount(group)[group]
+        token = np.cumsum(first) - 1
+        frequency = np.bincount(token)[token]
         several = frequency > 1
         k, o, rank = k[several], o[several], np.ceil(np.log2(frequency[several])).astype(np.uint8)
         order = np.argsort(o, kind="stable")
         k, o, rank = k[order], o[order], rank[order]
-        cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]])) if len(o) else np.array([0])
-        for at in range(0, len(cuts) - 1, 20_000):
-            part = [(x, y) for x, y in zip(cuts[at : at + 20_000], cuts[at + 1 : at + 20_001], strict=False)]
-            missing = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [missing, missing, pa.array([nodes[o[x]] for x, _ in part], pa.binary()),
-                 pa.array([k[x:y].tobytes() for x, y in part], pa.binary()), pa.array([rank[x:y].tobytes() for x, y in part], pa.binary())],
-                names=SHARED.names,
-            )
+        present, sizes = np.unique(o, return_counts=True)
+        if not len(present):
+            return
+        end = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = [0, *(np.flatnonzero(np.diff(group[present])) + 1).tolist(), len(present)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            pack = _packed_nodes(nodes[present[x:y]], sizes[x:y], k[end[x] : end[y]], rank[end[x] : end[y]])
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(1, pa.binary()), pa.array([int(group[present[x]])]), pa.array([pack], pa.binary())], names=SHARED.names)
 
     return rows.mapInArrow(run, SHARED)
 
@@ -238,28 +269,32 @@ def signatures(n: int, keys: np.ndarray, ranks: np.ndarray, percent: int = 75) -
     return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
 
 
-def _nodes(shared: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+NODES = "rep long, n long, keys binary, sigs array<long>"
+
+
+def _nodes(packs: DataFrame, names: DataFrame, n_groups: int, percent: int) -> DataFrame:
     """rep (smallest document of the node), n, keys, sigs of all nodes that have a signature."""
-    gathered = (
-        shared.where("keys is not null").groupBy("node").agg(F.collect_list(F.struct("keys", "ranks")).alias("parts")).join(names, "node").select("rep", "n", "parts")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for rep, n, parts in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "parts")), strict=True):
-                keys = np.frombuffer(b"".join(p["keys"] for p in parts), "<u8")
-                ranks = np.frombuffer(b"".join(p["ranks"] for p in parts), np.uint8)
+    def run(packs: pa.Table, names: pa.Table) -> pa.Table:
+        sets: dict[bytes, tuple[list, list]] = {}
+        for raw in packs.column("pack").to_pylist():
+            for node, keys, ranks in _unpacked_nodes(raw):
+                found = sets.setdefault(node, ([], []))
+                found[0].append(keys)
+                found[1].append(ranks)
+        rows: list[list] = [[], [], [], []]
+        for node, rep, n in zip(*(names.column(c).to_pylist() for c in ("node", "rep", "n")), strict=True):
+            if node in sets:
+                keys, ranks = map(np.concatenate, sets.pop(node))
                 sigs = signatures(n, keys, ranks, percent)
                 if len(sigs):
-                    rows.append((rep, n, np.sort(keys).tobytes(), sigs.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))],
-                names=["rep", "n", "keys", "sigs"],
-            )
+                    for column, value in zip(rows, (rep, n, np.sort(keys).tobytes(), sigs.view(np.int64)), strict=True):
+                        column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["rep", "n", "keys", "sigs"])
 
-    return gathered.mapInArrow(run, "rep long, n long, keys binary, sigs array<long>")
+    grouped = names.select("node", "rep", "n", _group(F.col("node"), n_groups).alias("grp")).groupBy("grp")
+    return packs.groupBy("grp").cogroup(grouped).applyInArrow(run, NODES)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -279,29 +314,31 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "keys_a", "keys_b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable): alternating stars, each a grouping and a join."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable): alternating stars, each a grouping and a join, until nothing changes.
+
+    The least neighbours are written before they are joined, so that Spark can split the rows of a hub.
+    """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before or not now[0]:
+            break
+        before = now
         # large star: the larger neighbours of each node go to its least neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = edges.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).distinct()
+        least = stored(both.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = edges.join(least, "b").select("a", F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a <> b").distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components didn't settle")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
-BLOCK = 256
+#: About how many nodes, or tokens, a block of a cluster has; two blocks are compared in a task.
+BLOCK, BLOCK_TOKENS = 256, 1_000_000
 
 
 def _block_links(percent: int):
@@ -335,51 +372,76 @@ def _block_links(percent: int):
     return run
 
 
+def _blocks(kind: str) -> Column:
+    """Into how many blocks a cluster's nodes of a kind go."""
+    several = F.greatest(F.ceil(F.col(f"{kind}_nodes") / BLOCK), F.ceil(F.col(f"{kind}_tokens") / BLOCK_TOKENS))
+    return several.cast("int").alias(f"{kind}_blocks")
+
+
+def _dealt(cluster: DataFrame) -> DataFrame:
+    """Rows of ``cluster`` (component, part, rep, n, keys), each once for every two blocks (i, j) that it is compared in.
+
+    The nodes of the largest part go to blocks of their own, which meet only the blocks of the others. With b nodes in
+    the largest part and s others this makes 2 b s / ``BLOCK`` + s^2 / ``BLOCK`` rows.
+    """
+    parts = cluster.groupBy("component", "part").agg(F.count("*").alias("nodes"), F.sum(F.octet_length("keys") / 8).alias("tokens"))
+    whole = parts.groupBy("component").agg(
+        F.max_by("part", F.struct("nodes", "part")).alias("largest"), F.max(F.struct("nodes", "part", "tokens")).alias("big"), F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens")
+    )
+    sized = whole.select(
+        "component", "largest", F.col("big.nodes").alias("big_nodes"), F.col("big.tokens").alias("big_tokens"),
+        (F.col("nodes") - F.col("big.nodes")).alias("other_nodes"), (F.col("tokens") - F.col("big.tokens")).alias("other_tokens"),
+    ).where("other_nodes > 0")
+    sized = stored(sized.select("component", "largest", _blocks("big"), _blocks("other")), "sizes")
+    rows = cluster.join(sized, "component").withColumn("is_big", F.col("part") == F.col("largest"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_big"), F.col("big_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    # blocks of others are 0, 1, ...; those of the largest part are -1, -2, ...
+    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    every = F.when(F.col("is_big"), others).otherwise(F.concat(others, F.sequence(-F.col("big_blocks"), F.lit(-1))))
+    block = F.when(F.col("is_big"), -1 - F.col("own")).otherwise(F.col("own"))
+    met = rows.withColumn("block", block).withColumn("met", F.explode(every))
+    return met.select("component", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"), "rep", "n", "part", "keys")
+
+
 def _links(nodes: DataFrame, percent: int) -> DataFrame:
     """Links that give the same components as all links do."""
     single = F.col("n") - (F.octet_length("keys") / 8).cast("long")  # tokens that no other node has
     sigs = nodes.select("rep", "n", single.alias("single"), F.explode("sigs").alias("sig"))
     # a node with few tokens of its own is at the centre of its group: most of the others link with it
     lead = sigs.groupBy("sig").agg(F.min(F.struct("single", "rep")).alias("lead"), F.min("rep").alias("y"), F.max("rep").alias("z")).where("y < z")
+    lead = stored(lead.select("sig", "lead"), "leads")
     star = sigs.join(lead, "sig").where(F.col("lead.rep") != F.col("rep")).groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("lead"))
     found = stored(_verified(star.select(F.col("lead.rep").alias("a"), "b"), nodes, percent), "links")
     part = stored(components(found), "parts")
     known = sigs.select("rep", "sig").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     known = stored(known.select("rep", "sig", "part"), "signatures")
-    # signatures whose nodes are still in several parts; nodes that such signatures connect are compared in blocks
+    # signatures whose nodes are still in several parts
     open_sigs = known.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("rep").alias("b")).where("p < q").select("sig", "b")
+    open_sigs = stored(open_sigs, "open-signatures")
     others = stored(components(known.join(open_sigs, "sig").select(F.col("rep").alias("a"), "b")), "clusters")
     # components() leaves out the smallest node of each
-    cluster = others.union(others.select("component", "component").distinct())
-    size = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cluster.join(size, "component").select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    rows = placed.join(nodes.select("rep", "n", "keys"), "rep").join(known.select("rep", "part").distinct(), "rep")
-    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("other", pairs).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    across = dealt.select("component", "i", "j", "rep", "n", "part", "keys").groupBy("component", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
-    return found.union(across)
-
-
-def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = 5) -> DataFrame:
-    """The rows of ``SHARED``: documents with set sizes and nodes; and nodes with their shared hashes, by bucket."""
-    spark = docs.sparkSession
+    cluster = others.union(others.select("component", "component").distinct()).withColumnRenamed("node", "rep")
+    rows = cluster.join(nodes.select("rep", "n", "keys"), "rep").join(part.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left")
+    rows = rows.select("component", "rep", F.coalesce("part", "rep").alias("part"), "n", "keys")
+    return found.union(_dealt(rows).groupBy("component", "i", "j").applyInPandas(_block_links(percent), "a long, b long"))
+
+
+def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = 5) -> tuple[DataFrame, int]:
+    """The rows of ``SHARED``: documents with set sizes and nodes; and nodes with their shared hashes. The number of groups."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * BUCKET_TOKENS) + 1)
-    # a value for each partition that hashes to it, so that every partition gets one bucket
-    place = F.pmod(F.hash(F.col("id")), F.lit(n_buckets))
-    values = {r[0]: r[1] for r in spark.range(64 * n_buckets).groupBy(place.alias("p")).agg(F.min("id")).collect()}
-    rows = _emit(base, n_gram, [values.get(p, p) for p in range(n_buckets)])
-    return stored(_shared(rows.repartition(n_buckets, "bucket")), "shared-tokens")
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (6 * BUCKET_TOKENS) + 1)
+    rows = _emit(base, n_gram, n_buckets).repartitionById(n_buckets, F.col("bucket"))
+    return stored(_shared(rows, n_buckets), "shared-tokens"), n_buckets
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id. ``percent``: the least Jaccard similarity, in hundredths."""
-    shared = document_sets(docs, id_col, text_col, n_gram)
-    members = shared.where("keys is null").select("doc_id", "n", "node").distinct()
-    names = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    nodes = stored(_nodes(shared, names, percent), "nodes")
-    part = components(_links(nodes, percent))
+    shared, n_groups = document_sets(docs, id_col, text_col, n_gram)
+    members = shared.where("pack is null").select("doc_id", "n", "node").distinct()
+    names = stored(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "names")
+    nodes = stored(_nodes(shared.where("pack is not null").select("grp", "pack"), names, n_groups, percent), "nodes")
+    part = stored(components(_links(nodes, percent)), "components")
     reps = members.where("n > 0").join(names.select("node", "rep"), "node")
     placed = reps.join(part, F.col("rep") == part["node"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     empty = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -389,11 +451,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one row, that of the smallest id, for each component; rows without id stay."""
+    """``docs`` with one row, that of the smallest id, for each component; rows without id stay.
+
+    Rows with the same id are one document: of those that stay, the one with the smallest text (null first) is kept.
+    """
     found = similar_components(docs, id_col, text_col, n_gram, percent)
     kept = found.groupBy("component_id").agg(F.min("doc_id").alias("__kept")).select("__kept")
     chosen = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return chosen.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    first = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).asc_nulls_first())
+    one = chosen.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return one.union(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
