@@ -9,7 +9,10 @@ dropped node nothing is kept. So an ancestor and a descendant can't contradict e
 Scripts, styles, comments and markup never give text. Character references are decoded, white space inside a block
 becomes one space, blocks stand in page order with an empty line between. Null and empty pages give an empty text.
 Broken markup is closed where the page ends; a silent element other than a script or style ends with the block around
-it. A self-closed silent element is empty unless its own closing tag comes next. Repeated rows are extracted alike; other columns pass through.
+it. A self-closed silent element is empty unless its own closing tag comes next. Form controls and their labels give no
+text. Pages of any length and depth are parsed whole, in linear time. Repeated rows are extracted alike; of two equally
+good decodings the one that keeps less is taken. An empty table gives no rows; other columns pass through, one named
+``text`` or ``n_chars`` is replaced.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from memjobs.llm.common import extended, table
 
 #: HTML elements by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg canvas iframe object audio video math head title textarea select datalist".split())
+SILENT = frozenset("script style noscript template svg canvas iframe object audio video math head title textarea select datalist button label output meter progress".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img button input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
 )
 #: Opening these ends an open paragraph.
 BREAKS_P = frozenset(
@@ -41,7 +44,9 @@ BREAKS_P = frozenset(
 )
 #: Opening the first closes an open element of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that stand between an element and an outer one that it would close.
 SCOPE = frozenset("ul ol dl table td th div article section main body aside nav header footer form blockquote".split())
+CLOSED = frozenset(("p", *(t for tags in CLOSES.values() for t in tags)))
 
 #: Attribute tokens that speak for or against main text.
 GOOD_TOKENS = frozenset("article content body entry post story text main page blog hentry prose markdown".split())
@@ -56,7 +61,7 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "tokens", "runs", "depth", "total", "links", "order", "words", "stops", "hidden", "n_blocks")
+    __slots__ = ("tag", "parent", "children", "tokens", "runs", "depth", "total", "links", "order", "words", "stops", "hidden", "n_blocks", "near")
 
     def __init__(self, tag: str, parent: Node | None, tokens: frozenset[str], hidden: bool):
         self.tag, self.parent, self.tokens, self.hidden = tag, parent, tokens, hidden
@@ -64,6 +69,11 @@ class Node:
         self.runs: list[tuple[int, str, bool]] = []  # place in the page, text, inside a link
         self.depth = parent.depth + 1 if parent else 0
         self.order = 0
+        # of each tag that others close: the nearest such node at or above this one, unless a scope lies between
+        above = parent.near if parent else {}
+        if tag in SCOPE:
+            above = {t: n for t, n in above.items() if t == tag}
+        self.near: dict[str, Node] = {**above, tag: self} if tag in CLOSED else above
 
 
 class _Tree(HTMLParser):
@@ -77,6 +87,7 @@ class _Tree(HTMLParser):
         self.start = 0
         self.links = self.place = 0
         self.nodes = [self.root]
+        self.open: Counter[str] = Counter()  # tags of the nodes from the root down
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
@@ -96,11 +107,11 @@ class _Tree(HTMLParser):
                 self.handle_data(" ")
             return
         if tag in BREAKS_P:
-            self._close(("p",), SCOPE)
+            self._close("p")
             if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.at.tag):
-                self.at = self.at.parent
+                self._leave(self.at)
         for closing in CLOSES.get(tag, ()):
-            self._close((closing,), SCOPE - {closing})
+            self._close(closing)
         if tag in VOID:
             return
         found, hidden = [tag] if tag in ("main", "article") else [], False
@@ -113,27 +124,27 @@ class _Tree(HTMLParser):
         self.at.order = len(self.at.parent.children)
         self.at.parent.children.append(self.at)
         self.nodes.append(self.at)
+        self.open[tag] += 1
         self.links = 0
 
-    def _close(self, tags, scope):
-        node = self.at
-        while node.parent and node.tag not in scope:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
-        if node.parent and node.tag in tags:
-            self.at = node.parent
+    def _leave(self, node):
+        """Close all nodes up to ``node``; each node is left once, so this is linear in all."""
+        last = None
+        while last is not node:
+            last = self.at
+            self.open[last.tag] -= 1
+            self.at = last.parent
+
+    def _close(self, tag):
+        if node := self.at.near.get(tag):
+            self._leave(node)
 
     def _silence(self, tag):
         self.silent.append(tag)
         self.inside[tag] += 1
 
     def _encloses(self, tag):
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        return node.parent is not None or tag in ("html", "body", "head")
+        return self.open[tag] > 0 or tag in ("html", "body", "head")
 
     def parse_starttag(self, i):
         self.start = i
@@ -170,11 +181,12 @@ class _Tree(HTMLParser):
             return
         if tag in VOID or tag in ("html", "body", "head"):
             return
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at, self.links = node.parent, 0
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._leave(node)
+            self.links = 0
 
     def handle_data(self, data):
         if not self.silent:
