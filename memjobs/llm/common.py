@@ -30,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none is one made here."""
+    """The folder that driver and executors share. In local mode, where all are one process, one is made if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -74,14 +76,14 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before; forgets all when it grows past ``limit``."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 400_000, seed: int = 0):
         super().__init__()
-        self.limit = limit
+        self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        self[word] = found = xxhash.xxh3_64_intdigest(word, self.seed)
         return found
 
     def of(self, words: Sequence[bytes]) -> np.ndarray:

@@ -10,7 +10,7 @@ so it couldn't remove other words.
 * First level: of the half-length windows only those are kept whose hash is the least among those inside some
   full-length window (about one in thirteen for 50 words). Equal full windows keep the same ones, so no repeat is
   lost. Those that only one document has are dropped.
-* Second level: only full windows around surviving ones are hashed, with 128 bits.
+* Second level: only full windows around surviving ones are hashed, twice with 64 bits, over word hashes of two seeds.
 
 Each task settles what it can by itself before rows are shuffled: of the documents that share a window within a task,
 the smallest speaks for all. A window that a third of all documents share thus has a row for each task, not for each
@@ -18,7 +18,9 @@ document, in the group that is compared.
 
 Null texts have no words. Documents without an id are never less than others, so they remove and lose nothing. An id
 that is repeated with the same text gives the same result on each row; repeated with other texts, its rows share
-their removed places. Ids are whole numbers. Columns other than id and text pass through ``remove_repeats``.
+their removed places. Ids are whole numbers. An empty table gives no rows, texts of
+any length are used whole. Columns other than id and text pass through ``remove_repeats``, whatever their names (but
+``__starts`` and ``__at_id``).
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from pyspark.sql import types as T
 
 from memjobs.llm.common import WordHashes, extended, mixed, raw_texts, sliced, space_words, stored, table, window_hashes
 
-_SECOND = 0xD6E8FEB86659FD93
 #: Windows that a task gathers before it settles them; bounds its memory, not the result.
 CHUNK = 1_000_000
 
@@ -147,7 +148,7 @@ def _full_windows(suspects: DataFrame, length: int) -> DataFrame:
     half = length // 2
 
     def parts(batches):
-        hashes = WordHashes(150_000)
+        hashes, again = WordHashes(100_000), WordHashes(100_000, seed=1)
         for batch in sliced(batches):
             places = batch.column("places")
             for k, (doc, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), raw_texts(batch, "text"), strict=True)):
@@ -160,7 +161,7 @@ def _full_windows(suspects: DataFrame, length: int) -> DataFrame:
                 np.add.at(edge, np.clip(at - (length - half), 0, last + 1), 1)
                 np.add.at(edge, np.clip(at + 1, 0, last + 1), -1)
                 start = np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
-                yield window_hashes(h, length)[start], window_hashes(h, length, _SECOND)[start], doc, start
+                yield window_hashes(h, length)[start], window_hashes(again.of(words), length)[start], doc, start
 
     return suspects.mapInArrow(lambda batches: _gathered(parts(batches), smaller_only=True), ROWS)
 
@@ -209,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([f for f in rows.schema.fields if f.name != "__starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_col).to_pylist()
             for k, starts in enumerate(_places(batch)):
                 if len(starts) and texts[k]:
