@@ -3,12 +3,13 @@
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A benchmark item's windows are its runs
 of ``window`` consecutive words; an item with fewer words, but not none, is one window. The hashes of all distinct
 windows form a small table that is broadcast as long as it has at most ``broadcast_rows`` rows, else joined by a
-shuffle. Each document's windows are hashed and looked up in one pass over its words; a hit counts only if the words
+shuffle of hashes. Each document's windows are hashed and looked up in one pass over its words; a hit counts only if the words
 themselves are equal. Only hits, and one row for each document, leave that pass.
 
 A null or empty text has no words and isn't contaminated; such items have no windows. An empty benchmark or table of
 documents gives no hits or no rows. Rows with equal id and text count as one document; rows with equal id and other
-texts are documents of their own. Items that repeat an id count once. Other columns aren't read.
+texts are documents of their own. Items that repeat an id count once; a window that several items have counts for each.
+Texts of any length are used whole. Other columns aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -68,8 +69,6 @@ def find_hits(
     items = stored(benchmark_windows(benchmark, item_col, item_text_col, window), "benchmark-windows")
     sizes = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most ``window`` rows
     distinct = items.select(F.col("length").alias("b_length"), F.col("hash").alias("b_hash"), F.col("words").alias("b_words")).distinct()
-    if sum(sizes.values()) <= broadcast_rows:
-        distinct = F.broadcast(distinct)
     words = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), normal_words(F.col(text_col)).alias("words")
     ).withColumn("n_words", F.size("words").cast("long"))
@@ -77,14 +76,29 @@ def find_hits(
     own = F.struct(F.lit(None).cast("int").alias("length"), F.array(F.lit(None).cast("long")).alias("hashes"))
     every = F.array(own, *(F.struct(F.lit(n).alias("length"), _hashes(F.col("words"), n).alias("hashes")) for n in sorted(sizes)))
     kept = ("doc_id", "text_hash", "n_words", "words")
+    if sum(sizes.values()) > broadcast_rows:
+        return items, _shuffled_hits(words, every, distinct)
     rows = words.select(*kept, F.explode(every).alias("of")).select(*kept, F.col("of.length").alias("length"), F.posexplode("of.hashes").alias("start", "hash"))
     equal = (F.col("length") == F.col("b_length")) & (F.slice("words", F.col("start") + 1, F.coalesce("length", F.lit(0))) == F.col("b_words"))
     # the hash alone is the join's key; the words of a hit are compared after it
-    found = rows.join(distinct, F.col("hash") == F.col("b_hash"), "left").where(F.col("length").isNull() | (F.col("b_hash").isNotNull() & equal))
+    found = rows.join(F.broadcast(distinct), F.col("hash") == F.col("b_hash"), "left").where(F.col("length").isNull() | (F.col("b_hash").isNotNull() & equal))
     found = found.withColumn("start", F.when(F.col("length").isNotNull(), F.col("start")))
     return items, found.select("doc_id", "text_hash", "n_words", "start", "length", "hash")
 
 
+def _shuffled_hits(words: DataFrame, every: Column, distinct: DataFrame) -> DataFrame:
+    """The same rows without a broadcast: windows travel as hashes, and the words are fetched for those that are met."""
+    key = ("doc_id", "text_hash", "n_words")
+    each = words.select(*key, F.explode(F.slice(every, 2, F.size(every))).alias("of")).select(*key, F.col("of.length").alias("length"), F.posexplode("of.hashes").alias("start", "hash"))
+    met = each.join(distinct, (F.col("hash") == F.col("b_hash")) & (F.col("length") == F.col("b_length"))).withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"})
+    texts = words.select("doc_id", "text_hash", "words")
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & F.col("text_hash").eqNullSafe(F.col("at_hash"))
+    found = met.join(texts, same).where(F.slice("words", F.col("start") + 1, F.col("length")) == F.col("b_words"))
+    columns = ("doc_id", "text_hash", "n_words", "start", "length", "hash")
+    own = words.select(*key, F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("hash"))
+    return found.select(*columns).union(own.select(*columns))
+
+
 def _merged(spans: Column) -> Column:
     """Sorted (start, end) ranges without overlaps, of (start, length) pairs."""
     kind = "array<struct<start:int,end:int>>"
