@@ -7,7 +7,9 @@ kinds x 3^6 votes x 4 lengths), estimates by EM how reliable each labeler is, an
 classifier on the EM posteriors. ``label_spans`` and ``redact`` then run it over every text in one pass.
 
 Null texts are empty and have no spans. Offsets count code points, ends are exclusive. Repeated rows are
-labelled alike; other columns pass through and don't count.
+labelled alike; other columns pass through and don't count, one named as a computed column is replaced. Of candidates
+that overlap, the earlier and then the longer one is taken, then the kind listed first. An empty table gives no rows and
+a model that accepts no candidates. Texts of any length are searched whole, in linear time.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjobs.llm.common import extended, table
+from memjobs.llm.common import extended, sliced, table
 
 #: Kinds in the order of the contract, then the kinds that only the method finds.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban")
@@ -36,7 +38,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Candidates beyond the base rules: kind, strings of which the text must have one, pattern.
 _LOOSE = (
-    ("email", ("at)", "at]", "AT)", "AT]"), re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]{1,63}){1,4}")),
+    ("email", ("at)", "at]", "AT)", "AT]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]++(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?)[A-Za-z0-9-]++)++")),
     ("phone", ("-", ".", " "), re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     ("card", (".", "/"), re.compile(r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])")),
     ("secret", ("AKIA",), re.compile(r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])")),
@@ -209,7 +211,7 @@ def fit_pii(docs: DataFrame, text_col: str = "text") -> PiiModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 base = base_spans(text)
                 for strict, spans in ((True, base), (False, _more_spans(text, base))):
@@ -268,7 +270,7 @@ def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFram
         return "".join([*out, text[end:]]) if end else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             i = batch.schema.get_field_index(text_col)
             yield batch.set_column(i, batch.schema.field(i), pa.array([clean(t) for t in batch.column(i).to_pylist()], batch.schema.field(i).type))
 
