@@ -15,7 +15,9 @@ Characters without a piece become byte pieces, or the unknown id in models witho
 public library with an identity normaliser, dummy prefix and no removal of extra spaces; ``load_model`` refuses others.
 
 Null texts have null ids when encoded and null text when decoded; empty texts have no ids. Decoding gives the text
-back, but for U+2581 itself, which reads as a space. Repeated rows are encoded alike.
+back, but for U+2581 itself, which reads as a space. Repeated rows are encoded alike, ties between segmentations go to
+the longest last piece (``bpe``: the only fitting one). An empty table gives no rows, texts of any length are encoded
+whole. Other columns pass through; one named as a computed column is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, pairwise
 
 import numpy as np
@@ -48,6 +51,11 @@ class PieceModel:
     unknown: int
     kind: str
 
+    @cached_property
+    def key(self) -> str:
+        """A digest of everything that encoding depends on."""
+        return hashlib.sha256(repr((self.pieces, self.scores, self.normal, self.byte_ids, self.unknown, self.kind)).encode()).hexdigest()
+
 
 def load_model(path: str) -> PieceModel:
     """Read a ``.model`` file on the driver; the result (a megabyte or so) travels with the tasks."""
@@ -271,16 +279,15 @@ class Encoder:
         return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(model: PieceModel) -> Encoder:
     """One encoder for each worker process and model, so that words stay known from batch to batch."""
-    key = hash((len(model.pieces), model.kind, tuple(model.pieces[:2000])))
-    if key not in _encoders:
+    if model.key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+        _encoders[model.key] = Encoder(model)
+    return _encoders[model.key]
 
 
 def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, rows: int = 500) -> DataFrame:
