@@ -10,7 +10,10 @@ hash of the text (so copies stay together) and learns in turn
 ``score_toxicity`` then scores every row of any table in one pass, batch by batch, without a shuffle.
 
 Null and empty texts have no words; they get the score of an all-zero feature row. Rows whose label is null
-or not 0/1 aren't learned from; with no labelled rows at all every score is 0. Repeated rows are scored alike.
+or not 0/1 aren't learned from; with no labelled rows at all every score is 0. Repeated rows are scored alike; equal
+margins get equal scores. An id with several labels has the larger one. An empty table gives no rows. Texts of any
+length are read whole, words of any length can enter the lexicon. Other columns pass through; one named ``score`` or
+``predicted`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memjobs.llm.boosting import Boosted, Isotonic, fit_boosted, fit_isotonic
-from memjobs.llm.common import crc_fold, extended, labelled_sample, raw_texts, stored, table
+from memjobs.llm.common import crc_fold, extended, labelled_sample, raw_texts, sliced, stored, table
 
 #: Second-person words of the four languages.
 SECOND_PERSON = frozenset(
@@ -125,19 +128,21 @@ def _word_counts(train: DataFrame) -> DataFrame:
     """word, toxic and clean: in how many documents with either label the word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[str, list[int]] = {}
+        counts: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            clean, toxic = ([c[y] for c in counts.values()] for y in (0, 1))
+            made = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "clean": pa.array(clean, pa.int64()), "toxic": pa.array(toxic, pa.int64())})
+            counts.clear()
+            return made
+
+        for batch in sliced(batches):
             for raw, y in zip(raw_texts(batch, "text"), batch.column("y").to_pylist(), strict=True):
                 for w in set(_WORD.findall(raw.decode("utf-8", "replace").lower())):
-                    if 2 < len(w) < 40:
-                        counts.setdefault(w, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "word": pa.array(list(counts), pa.string()),
-                    "clean": pa.array([c[0] for c in counts.values()], pa.int64()),
-                    "toxic": pa.array([c[1] for c in counts.values()], pa.int64()),
-                }
-            )
+                    counts.setdefault(w, [0, 0])[y] += 1
+            if len(counts) > 300_000:
+                yield flush()
+        yield flush()
 
     rows = train.select("text", "y").mapInArrow(run, "word string, clean long, toxic long")
     return rows.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
