@@ -9,10 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that are no keywords.
-IGNORED_TERMS = (
-    "topic core entity intent query question user related what when where who why how did does do is are was were "
-    "the a an of to from in on for with about this that it"
-).split()
+IGNORED_TERMS = [
+    "主题", "核心实体", "用户意图", "相关实体", "问题",
+    "topic", "core", "entity", "intent", "query", "question", "user", "related",
+    "what", "when", "where", "who", "why", "how", "did", "does", "do", "is", "are", "was", "were",
+    "the", "a", "an", "of", "to", "from", "in", "on", "for", "with", "about", "this", "that", "it",
+]
 CJK = r"\x{4e00}-\x{9fff}"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 BLANKS = r"[ \t\n\r\f\x0b]+"
@@ -96,18 +98,30 @@ def keyword_score(terms: Column, candidate: Column) -> Column:
     return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(lexical_overlap(F.array_join(terms, " "), candidate))
 
 
-def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the token counts of two short texts; 0 if either has no tokens."""
-    x, y = memory_tokens(a), memory_tokens(b)
+def numbered(words: Column) -> Column:
+    """Distinct texts, one for each word: the word and how many equal ones stand before it. As multisets words turn into sets."""
+    return F.transform(F.array(F.array_sort(words)), lambda s: F.transform(s, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(s, w)).cast("string"))))[0]
+
+
+def _meetings(x: Column, y: Column) -> Column:
+    """How many pairs of equal words there are; both arrays are sorted, so that equal words stand together."""
+
+    def times(w: Column) -> Column:
+        first = F.array_position(y, w)
+        return F.when(first > 0, F.size(y) + 2 - first - F.array_position(F.reverse(y), w)).otherwise(F.lit(0))
 
-    def count(words: Column, w: Column) -> Column:
-        return F.size(F.filter(words, lambda v: v == w)).cast("double")
+    return F.aggregate(x, F.lit(0.0), lambda s, w: s + times(w))
+
+
+def bag_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the token counts of two texts; 0 if either has no tokens. The tokens are bound once."""
+    both = F.array(F.struct(F.array_sort(memory_tokens(a)).alias("x"), F.array_sort(memory_tokens(b)).alias("y")))
 
-    def norm(words: Column) -> Column:
-        return F.sqrt(F.aggregate(F.array_distinct(words), F.lit(0.0), lambda s, w: s + count(words, w) * count(words, w)))
+    def cosine(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(_meetings(x, y) / (F.sqrt(_meetings(x, x)) * F.sqrt(_meetings(y, y))))
 
-    dot = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, w: s + count(x, w) * count(y, w))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(dot / (norm(x) * norm(y)))
+    return F.transform(both, cosine)[0]
 
 
 def word_count(text: Column) -> Column:
@@ -149,7 +163,7 @@ def headed_sections(text: Column, headers: list[str]) -> Column:
 def kept_sections(text: Column, headers: list[str], retained: list[str]) -> Column:
     """Only the ``retained`` sections, in that order; a text without headers stays as it is."""
     sections = headed_sections(text, headers)
-    rendered = F.filter(F.array(*(F.when(F.map_contains_key(sections, F.lit(h)), F.concat(F.lit(f"{h}: "), sections[h])) for h in retained)), lambda s: s.isNotNull())
+    rendered = F.filter(F.array(*(F.when(F.map_contains_key(sections, F.lit(h)), F.concat(F.lit(f"{h}："), sections[h])) for h in retained)), lambda s: s.isNotNull())
     return F.when(F.size(sections) == 0, F.trim(text)).otherwise(F.array_join(rendered, "\n\n"))
 
 

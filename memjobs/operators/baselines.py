@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +50,50 @@ def flat_retrieval(turns: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return _near(asked, items, k).groupBy("query_id").agg(found.alias("r")).select("query_id", F.col("r.id").alias("retrieved_ids"), F.array_join(F.col("r.document"), "\n").alias("context"))
 
 
-def note_links(notes: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:
-    """Edges, both ways, between each note and the nearest of the earlier notes of its conversation.
+#: About how many notes a block has; two blocks of a conversation are compared in a task.
+NOTE_BLOCK = 1024
+
+
+def nearest_earlier(notes: DataFrame, k: int) -> DataFrame:
+    """(a, b, s): of each note ``b`` the ``k`` nearest ``a`` of the earlier notes of its conversation, by ``s`` and then id.
 
-    ``notes`` (conv_id, note_id, ord, embedding). The join stays inside a conversation.
+    ``notes`` (conv_id long, note_id, ord, embedding). A conversation's notes are dealt into blocks. Each two blocks meet
+    in one task, which hands on ``k`` rows a note: pairs are never written out, and a conversation of any length is spread.
     """
-    new = notes.select("conv_id", F.col("note_id").alias("b"), F.col("ord").alias("ord_b"), F.col("embedding").alias("v_b"))
-    old = notes.select("conv_id", F.col("note_id").alias("a"), F.col("ord").alias("ord_a"), F.col("embedding").alias("v_a"))
-    pairs = new.join(old, "conv_id").where("ord_a < ord_b").select("a", "b", F.round(similarity(F.col("v_a"), F.col("v_b")), 10).alias("s"))
+    blocks = notes.groupBy("conv_id").agg(F.ceil(F.count("*") / NOTE_BLOCK).cast("int").alias("blocks"))
+    dealt = notes.join(blocks, "conv_id").withColumn("own", F.pmod(F.xxhash64("note_id"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    id_type = notes.schema["note_id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("note_id", ignore_index=True)
+        v = np.array(rows["embedding"].tolist(), dtype=np.float64)
+        norm = np.sqrt((v**2).sum(axis=1, keepdims=True))
+        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        ids, order, own = rows["note_id"].to_numpy(), rows["ord"].to_numpy(), rows["own"].to_numpy()
+        left = rows["met"].to_numpy()
+        out_a, out_b, out_s = [], [], []
+        for at in range(0, len(rows), 512):
+            s = np.round(np.clip(v[at : at + 512] @ v.T, 0.0, 1.0), 10)
+            # two notes of one block meet where the block meets itself
+            meet = (own[None, :] == left[at : at + 512, None]) & (order[None, :] < order[at : at + 512, None])
+            s[~meet] = -1.0
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are sorted, so ties go to the smaller one
+            found = np.take_along_axis(s, best, 1)
+            i, j = np.nonzero(found >= 0)
+            out_a.append(ids[best[i, j]])
+            out_b.append(ids[at + i])
+            out_s.append(found[i, j])
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "s": np.concatenate(out_s)})
+
+    met = dealt.select("conv_id", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "met", "note_id", "ord", "embedding")
+    near = met.groupBy("conv_id", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}, s double")
     w = Window.partitionBy("b").orderBy(F.desc("s"), "a")
-    kept = pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("s") >= least))
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
+def note_links(notes: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:
+    """Edges, both ways, between each note and the nearest of the earlier notes of its conversation."""
+    kept = nearest_earlier(notes, k).where(F.col("s") >= least)
     return kept.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(kept.select("b", "a")).distinct()
 
 

@@ -7,6 +7,7 @@ trees stay where they are, without a shuffle. Sizes are kept and subtracted, not
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,12 @@ from pyspark.sql import DataFrame
 
 Tree = list[dict]
 
+#: The headers that summaries may have, and those of them that stay when a tree is too large.
+EXPERIENCE_HEADERS = ["目标", "总体状态", "阶段总结", "当前推进", "长期信息", "下一步"]
+EXPERIENCE_KEPT = ["阶段总结", "长期信息"]
+SEGMENT_HEADERS = ["阶段概述", "关键过程", "阶段结论", "关键事实"]
+SEGMENT_KEPT = ["关键过程", "阶段结论", "关键事实"]
+
 
 def size_of(node: object) -> int:
     """UTF-8 bytes of the compact JSON of a node."""
@@ -43,6 +50,33 @@ def shortened(text: str, limit: int) -> str:
     return text if len(text) <= limit else text[:limit].rstrip() + "..."
 
 
+def named_sections(text: str, headers: list[str]) -> dict[str, str]:
+    """Header to body. A header opens a line and is followed by a colon; a body ends where the next header stands."""
+    pieces = re.split(rf"(?m)^\s*({'|'.join(map(re.escape, headers))})\s*[：:]\s*", (text or "").strip())
+    return {name: body.strip() for name, body in zip(pieces[1::2], pieces[2::2], strict=True)}
+
+
+def with_sections(sections: dict[str, str], kept: list[str]) -> str:
+    return "\n\n".join(f"{name}：{sections[name]}" for name in kept if name in sections)
+
+
+def kept_summary(text: str, headers: list[str], kept: list[str]) -> str:
+    """Only the ``kept`` sections; a summary without any of the headers stays as it is."""
+    sections = named_sections(text, headers)
+    return with_sections(sections, kept) if sections else (text or "").strip()
+
+
+def cut_by_a_fifth(text: str) -> str:
+    """Each section cut by a fifth, down to 32 characters; a summary without sections as a whole, down to 96."""
+    sections = named_sections(text, EXPERIENCE_KEPT + SEGMENT_KEPT)
+    if not sections:
+        return text if len(text) <= 96 else shortened(text, max(96, int(len(text) * 0.8)))
+    limits = {name: max(32, int(len(body) * 0.8)) for name, body in sections.items()}
+    if all(len(body) <= limits[name] for name, body in sections.items()):
+        return text
+    return with_sections({name: shortened(body, limits[name]) for name, body in sections.items()}, list(sections))
+
+
 class _Fit:
     """A tree and its size in bytes; ``total`` follows every change."""
 
@@ -57,6 +91,12 @@ class _Fit:
         self.total -= size_of(node) + (len(items) > 1)  # with its comma
         items.remove(node)
 
+    def keep_sections(self) -> None:
+        for e in self.tree:
+            self.put(e, "summary", kept_summary(e["summary"], EXPERIENCE_HEADERS, EXPERIENCE_KEPT))
+            for s in e["segments"]:
+                self.put(s, "summary", kept_summary(s["summary"], SEGMENT_HEADERS, SEGMENT_KEPT))
+
     def put(self, node: dict, field: str, value: str) -> bool:
         if node[field] == value:
             return False
@@ -72,7 +112,8 @@ def fit(
     """The fitted tree and what was done. Lowest score goes first, ties by id; it stops as soon as the tree fits.
 
     1. exchanges, as long as their segment keeps one; 2. segments, as long as their experience keeps one and
-    ``least_segments`` stay in all; 3. experiences, within both minima; 4. summaries cut to the limits of ``clips``;
+    ``least_segments`` stay in all; 3. experiences, within both minima; 4. summaries reduced to their kept sections, then
+    cut to the limits of ``clips``;
     5. the longest exchange text cut by a quarter, down to 96 characters, 256 times at most.
     """
     tree = json.loads(json.dumps(tree))
@@ -107,6 +148,8 @@ def fit(
         f.drop(tree, e)
         n_exp, n_seg = n_exp - 1, n_seg - len(e["segments"])
         done["removed_experiences"].append(name)
+    if f.over():
+        f.keep_sections()
     for top, low in clips:
         if f.over():
             for e in tree:
@@ -131,17 +174,18 @@ def old_branch_score(e: dict) -> float:
 
 
 def fit_branches(tree: Tree, budget: int = 30_000, least_experiences: int = 6, count: Callable[[Tree], int] | None = None) -> tuple[Tree, dict]:
-    """The older policy: whole experiences go, the lowest first; then the longest summary is cut by a fifth, 24 times at most."""
+    """The older policy: whole experiences go, the lowest first; then summaries are reduced to their kept sections, and the
+    longest one that can be is cut by a fifth, 24 times at most."""
     tree = sorted(json.loads(json.dumps(tree)), key=lambda e: (-old_branch_score(e), e["id"]))
     f, removed = _Fit(tree, budget, count), []
     while f.over() and len(tree) > max(1, least_experiences):
         removed.append(tree[-1]["id"])
         f.drop(tree, tree[-1])
+    if f.over():
+        f.keep_sections()
     for _ in range(24):
-        nodes = sorted((n for e in tree for n in [e, *e["segments"]] if len(n["summary"] or "") > 96), key=lambda n: (-len(n["summary"]), n["id"]))
-        if not f.over() or not nodes:
-            break
-        if not any(f.put(n, "summary", shortened(n["summary"], max(96, int(len(n["summary"]) * 0.8)))) for n in nodes):
+        nodes = sorted((n for e in tree for n in [e, *e["segments"]] if n["summary"]), key=lambda n: (-len(n["summary"]), n["id"]))
+        if not f.over() or not any(f.put(n, "summary", cut_by_a_fifth(n["summary"])) for n in nodes):
             break
     return tree, {"removed_experiences": removed, "context_overflow_unresolved": f.over(), "tokens_after": (count or tokens)(tree)}
 

@@ -9,20 +9,23 @@ from memjobs.functions import text as X
 
 
 def token_scores(prediction: Column, truth: Column) -> Column:
-    """(precision, recall, f1) of the tokens as multisets; both empty 1, one empty or nothing shared 0."""
-    p, g = X.answer_tokens(prediction), X.answer_tokens(truth)
+    """(precision, recall, f1) of the tokens as multisets; both empty 1, one empty or nothing shared 0.
 
-    def count(words: Column, w: Column) -> Column:
-        return F.size(F.filter(words, lambda v: v == w))
+    The tokens of both texts are bound once; equal ones are told apart by their number, so that a set intersection counts.
+    """
+    both = F.array(F.struct(X.numbered(X.answer_tokens(prediction)).alias("p"), X.numbered(X.answer_tokens(truth)).alias("g")))
+    sizes = F.transform(both, lambda s: F.struct(F.size(s["p"]).alias("p"), F.size(s["g"]).alias("g"), F.size(F.array_intersect(s["p"], s["g"])).cast("double").alias("shared")))
+
+    def scores(s: Column) -> Column:
+        neither, none = (s["p"] == 0) & (s["g"] == 0), s["shared"] == 0
+        precision, recall = s["shared"] / s["p"], s["shared"] / s["g"]
 
-    shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w))).cast("double")
-    neither, either = (F.size(p) == 0) & (F.size(g) == 0), (F.size(p) == 0) | (F.size(g) == 0)
-    precision, recall = shared / F.size(p), shared / F.size(g)
+        def guarded(value: Column) -> Column:
+            return F.when(neither, 1.0).when(none, 0.0).otherwise(value)
 
-    def guarded(value: Column) -> Column:
-        return F.when(neither, 1.0).when(either | (shared == 0), 0.0).otherwise(value)
+        return F.struct(guarded(precision).alias("precision"), guarded(recall).alias("recall"), guarded(2 * precision * recall / (precision + recall)).alias("f1"))
 
-    return F.struct(guarded(precision).alias("precision"), guarded(recall).alias("recall"), guarded(2 * precision * recall / (precision + recall)).alias("f1"))
+    return F.transform(sizes, scores)[0]
 
 
 def scores_at(retrieved: Column, evidence: Column, k: Column) -> Column:
@@ -93,26 +96,27 @@ def recount_audit(rows: DataFrame, by: str, text_col: str, stored: str) -> DataF
     return found.select(by, F.round("fresh", 6).alias("recounted"), F.round("kept", 6).alias("stored_mean"), F.round(F.col("fresh") - F.col("kept"), 6).alias("delta"))
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], points: list[int]) -> DataFrame:
-    """The value at index max(0, int(n p / 100) - 1) of the sorted values, for each p. Ranks, no collected lists."""
-    kept = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by)
-    placed = kept.select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = [F.max(F.when(F.col("i") == F.greatest(F.lit(0), F.floor(F.col("n") * p / 100).cast("long") - 1), F.col("v"))).alias(f"p{p}") for p in points]
-    return placed.groupBy(*by).agg(*at)
-
-
-def overall_percentiles(rows: DataFrame, value: str, points: list[int], buckets: int = 256) -> DataFrame:
-    """The same over all rows, without sorting them in one task.
+def percentiles(rows: DataFrame, value: str, by: list[str], points: list[int], buckets: int = 256) -> DataFrame:
+    """The value at index max(0, int(n p / 100) - 1) of the sorted values of each group, for each p.
 
-    Rows are range-partitioned by value; counts of the partitions tell in which one a rank lies and where.
+    Rows are range-partitioned by group and value, so that a group of any size is sorted by several tasks; the counts of
+    the parts tell in which one a rank lies and where. Without ``by`` all rows are one group.
     """
-    spread = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).repartitionByRange(buckets, "v").withColumn("part", F.spark_partition_id())
-    counts = spread.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    local = spread.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1).join(F.broadcast(before), "part")
+    keys = [F.col(c) for c in by]
+    spread = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")).repartitionByRange(buckets, *keys, "v").withColumn("part", F.spark_partition_id())
+    counts = spread.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*(by or [F.lit(1)]))
+    # a row for each group and part that it reaches: at most ``buckets`` more than groups
+    before = counts.select(*by, "part", (F.sum("n").over(group.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"))
+    local = spread.withColumn("i", F.row_number().over(Window.partitionBy("part", *by).orderBy("v")) - 1)
+    if by:
+        named = before.withColumnsRenamed({c: f"__{c}" for c in by}).withColumnRenamed("part", "__part")
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+        placed = local.join(named, [F.col("part") == F.col("__part"), *same])
+    else:
+        placed = local.join(before, "part")
     at = [F.max(F.when(F.col("i") + F.col("before") == F.greatest(F.lit(0), F.floor(F.col("total") * p / 100).cast("long") - 1), F.col("v"))).alias(f"p{p}") for p in points]
-    return local.agg(*at)
+    return placed.groupBy(*by).agg(*at)
 
 
 def reduction(off: Column, on: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memjobs.operators import baselines
+
 
 def call_model(rows: DataFrame, prompt_col: str, model: Callable[[list[str]], list[str]], fallback: str = "", retries: int = 1, batch: int = 64) -> DataFrame:
     """``rows`` with ``response`` and ``error``. Each distinct prompt is sent once; no row is lost.
@@ -57,6 +59,34 @@ class MemoryMethod(Protocol):
     def retrieve(self, questions: DataFrame) -> DataFrame: ...
 
 
+class FullContext:
+    """Remembers whole conversations: every question gets all turns of its own."""
+
+    name = "full_context"
+
+    def build(self, turns: DataFrame) -> None:
+        self.memory = baselines.full_context(turns)
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        found = questions.select("query_id", "conv_id").join(self.memory, "conv_id")
+        return found.select("query_id", F.col("dia_ids").alias("retrieved_ids"), "context")
+
+
+class FlatRetrieval:
+    """Remembers turns by their vectors: a question gets the ``k`` nearest of its conversation."""
+
+    name = "flat_retrieval"
+
+    def __init__(self, k: int = 5):
+        self.k = k
+
+    def build(self, turns: DataFrame) -> None:
+        self.turns = turns
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        return baselines.flat_retrieval(self.turns, questions, self.k)
+
+
 def compare(methods: list[MemoryMethod], turns: DataFrame, questions: DataFrame) -> DataFrame:
     """The retrievals of every method for the same questions, with ``method``."""
     out = None

@@ -13,6 +13,7 @@ similarity).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -172,11 +173,12 @@ def _tags(similarity: Column, name: str) -> Column:
 
 def rescue(
     queries: DataFrame, exp: DataFrame, seg: DataFrame, leaves: DataFrame, experiences: DataFrame, segments: DataFrame, qa: DataFrame, hits: DataFrame,
-    below: float = 0.8, limit: int = 40,
+    below: float = 0.8, limit: int = 40, step: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For queries of low confidence: exchanges from the whole conversation, with only their own ancestors.
 
-    A rescued exchange replaces one already there only with a higher score.
+    A rescued exchange replaces one already there only with a higher score. ``step`` may write what later steps read
+    several times and return it as read again.
     """
     unsure = queries.where(F.col("confidence") < below)
     by_vector = first(hits.join(unsure.select("query_id"), "query_id", "left_semi"), ["query_id"], [F.desc("similarity"), F.col("id")], limit).select("query_id", "id", "similarity")
@@ -186,10 +188,10 @@ def rescue(
     new = candidate(both.withColumn("sources", sources), qa.where("status = 'active'"), queries, "qa").select("query_id", F.col("id").alias("qa_id"), "segment_id", "score", "sources", F.lit(1).alias("turn"))
     every = leaves.withColumn("turn", F.lit(0)).unionByName(new)
     best = Window.partitionBy("query_id", "qa_id").orderBy(F.desc(F.round("score", 12)), "turn")
-    leaves = every.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "turn")
+    leaves = step(every.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "turn"))
     wanted = leaves.select("query_id", "segment_id").distinct().join(seg, ["query_id", "segment_id"], "left_anti")
     more = candidate(wanted.select("query_id", F.col("segment_id").alias("id"), F.lit(None).cast("double").alias("similarity")), segments.where("status <> 'deleted'"), queries, "segment")
-    seg = seg.unionByName(more.select("query_id", F.col("id").alias("segment_id"), "experience_id", "score", F.array(F.lit("qa_rescue_ancestor")).alias("sources")))
+    seg = step(seg.unionByName(more.select("query_id", F.col("id").alias("segment_id"), "experience_id", "score", F.array(F.lit("qa_rescue_ancestor")).alias("sources"))))
     wanted = seg.select("query_id", "experience_id").distinct().join(exp, ["query_id", "experience_id"], "left_anti")
     more = candidate(wanted.select("query_id", F.col("experience_id").alias("id"), F.lit(None).cast("double").alias("similarity")), experiences, queries, "experience", keywords=False)
     exp = exp.unionByName(more.select("query_id", F.col("id").alias("experience_id"), "score", F.array(F.lit("qa_rescue_ancestor")).alias("sources")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries that are compared at once; the block that travels to the tasks has this many rows at most.
 BLOCK = 2048
@@ -54,13 +56,13 @@ def top_k(
     pool = items.select(*columns).where("v is not null")
     out = None
     for b in range(n_blocks):  # each block is small; the work is in the tasks
-        rows = dealt.where(F.col("block") == b).orderBy("q").collect()
-        if not rows:
-            continue
-        matrix = _unit(np.array([r["v"] for r in rows], dtype=np.float64))
-        block = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), matrix, np.array([r["s"] for r in rows], dtype=object) if same else None))
-        found = pool.mapInArrow(_local_top(block, k, bool(same), least), "query_id long, id long, similarity double")
-        out = found if out is None else out.union(found)
+        every = dealt.where(F.col("block") == b).orderBy("q").collect()
+        for at in range(0, len(every), BLOCK):  # blocks are dealt by hash, so one may be larger
+            rows = every[at : at + BLOCK]
+            matrix = _unit(np.array([r["v"] for r in rows], dtype=np.float64))
+            block = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), matrix, np.array([r["s"] for r in rows], dtype=object) if same else None))
+            found = pool.mapInArrow(_local_top(block, k, bool(same), least), "query_id long, id long, similarity double")
+            out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], "query_id long, id long, similarity double")
     return ranked(out, k)
@@ -114,20 +116,62 @@ def nearest_above(queries: DataFrame, items: DataFrame, least: float = 0.82, k:
     return top_k(queries, items, k, **names).where((F.col("similarity") >= least) & (F.col("rank") == 1))
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, k: int, radius: float = 1.2, bucket: float = 0.8, tables: int = 8) -> DataFrame:
-    """Neighbours within ``radius`` by locality-sensitive hashing of unit vectors, then ranked exactly; may miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate_top_k(queries: DataFrame, items: DataFrame, k: int, cells: int = 64, probes: int = 36, sample_rows: int = 20_000, seed: int = 5) -> DataFrame:
+    """Neighbours from an inverted file: every item lies in the cell of its nearest centre, a query looks into the ``probes``
+    nearest cells and ranks what lies there exactly; it may miss neighbours in other cells.
 
-    def unit(c: Column) -> Column:
-        n = F.sqrt(_dot(c, c))
-        return array_to_vector(F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-
-    left = queries.select("query_id", unit(F.col("query").cast("array<double>")).alias("v"))
-    right = items.select("id", unit(F.col("embedding").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(right)
-    pairs = model.approxSimilarityJoin(left, right, radius, distCol="d")
-    return ranked(pairs.select("datasetA.query_id", "datasetB.id", F.round(1 - F.col("d") ** 2 / 2, 12).alias("similarity")), k)
+    Only the centres are fitted on a sample, of at most ``sample_rows`` items chosen by a hash of their id; all items are
+    indexed. Items of a cell are dealt into parts of about ``BLOCK`` rows, so that a cell of any size is spread, and each
+    part hands on ``k`` rows a query. ``queries`` (query_id, query), ``items`` (id, embedding).
+    """
+    v = F.col("embedding").cast("array<float>")
+    pool = items.select(F.col("id").cast("long").alias("id"), v.alias("v")).where("v is not null")
+    sample = pool.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
+    centres = _centres(_unit(np.array([r["v"] for r in sample.select("v").collect()], dtype=np.float64).reshape(-1, 1 if sample.isEmpty() else len(sample.first()["v"]))), cells, seed)
+    shared = items.sparkSession.sparkContext.broadcast(centres)
+
+    def nearest(n: int):
+        def run(vectors: pd.Series) -> pd.Series:
+            near = _unit(np.array(vectors.tolist(), dtype=np.float64)) @ shared.value.T
+            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
+
+    stored = pool.withColumn("cell", nearest(1)("v")[0])
+    parts = stored.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    stored = stored.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query").cast("array<float>").alias("v")).where("v is not null")
+    asked = asked.withColumn("cell", F.explode(nearest(probes)("v"))).join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def ranked_part(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            ids, found = np.asarray(right.column("id")), _unit(np.array(right.column("v").to_pylist(), dtype=np.float64))
+            asked_ids, vectors = np.asarray(left.column("id")), _unit(np.array(left.column("v").to_pylist(), dtype=np.float64))
+            pieces = []
+            for at in range(0, len(asked_ids), BLOCK):
+                score = np.round(np.clip(vectors[at : at + BLOCK] @ found.T, 0.0, 1.0), 12)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                pieces.append((np.repeat(asked_ids[at : at + BLOCK], best.shape[1]), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+            out = [np.concatenate(c) for c in zip(*pieces, strict=True)]
+        return pa.table({"query_id": out[0], "id": out[1], "similarity": out[2]})
+
+    columns = ("cell", "part", "id", "v")
+    pairs = asked.select(*columns).groupBy("cell", "part").cogroup(stored.select(*columns).groupBy("cell", "part"))
+    return ranked(pairs.applyInArrow(ranked_part, "query_id long, id long, similarity double"), k)
+
+
+def _centres(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Unit centres by the usual alternation of assigning and averaging; fewer if there are fewer rows."""
+    centres = sample[np.random.default_rng(seed).permutation(len(sample))[:cells]]
+    for _ in range(rounds):
+        near = np.argmax(sample @ centres.T, axis=1) if len(sample) else np.empty(0, dtype=np.int64)
+        for c in range(len(centres)):
+            if (near == c).any():
+                centres[c] = sample[near == c].mean(axis=0)
+        centres = _unit(centres)
+    return centres
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

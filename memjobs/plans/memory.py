@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memjobs.operators import baselines, hierarchy, routing
 from memjobs.plans.scalar import s_memory, s_words
-from memjobs.plans.tables import RECORDS, TURNS, records, table, turns
+from memjobs.plans.tables import RECORDS, TURNS, query_id, records, table, turns
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -223,32 +223,33 @@ def h15(spark, sf_dir):
 
 @query("f2_flat_retrieval")
 def f2(spark, sf_dir):
-    """Every turn retrieved for the first turn of its conversation."""
+    """Every turn of a conversation retrieved for those whose number is divisible by 100."""
     rows = turns(spark, sf_dir)
-    asked = rows.where("turn_ord = 0").select("conv_id", F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
+    asked = rows.where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
     return baselines.flat_retrieval(rows, asked, 3)
 
 
 @query(
     "f3_note_links",
     """WITH p AS (SELECT b.vec_id AS b, a.vec_id AS a, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 10) DESC, a.vec_id) AS rank,
-    list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id // 200 = b.vec_id // 200 AND a.vec_id < b.vec_id),
+    list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id < b.vec_id),
     k AS (SELECT a, b FROM p WHERE rank <= 5 AND s >= 0.3) SELECT a AS src, b AS dst FROM k UNION SELECT b, a FROM k""",
 )
 def f3(spark, sf_dir):
-    notes = table(spark, sf_dir, "embeddings").select(F.struct("label", F.floor(F.col("vec_id") / 200).alias("block")).alias("conv_id"), F.col("vec_id").alias("note_id"), F.col("vec_id").alias("ord"), "embedding")
+    """Every vector as a note in the conversation of its label."""
+    notes = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("conv_id"), F.col("vec_id").alias("note_id"), F.col("vec_id").alias("ord"), "embedding")
     return baselines.note_links(notes, 5, 0.3)
 
 
 @query("f4_note_search")
 def f4(spark, sf_dir):
     rows = turns(spark, sf_dir)
-    asked = rows.where("turn_ord = 0").select("conv_id", F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
+    asked = rows.where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
     return baselines.note_search_of_turns(rows, asked, 5)
 
 
 @query("f5_layer_variants")
 def f5(spark, sf_dir):
     qa = memory(spark, sf_dir)
-    asked = turns(spark, sf_dir).where("turn_ord = 0").select("conv_id", F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
+    asked = turns(spark, sf_dir).where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
     return baselines.layer_retrieval(qa, asked, 3, 2)

@@ -1,4 +1,4 @@
-"""Queries of batch recall: the first turn of every conversation asks the memory of its conversation."""
+"""Queries of batch recall: every turn whose number is divisible by 100 asks the memory of its conversation."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from memjobs.operators import recall as R
 from memjobs.operators.vectors import scoped_top_k, similarity
 from memjobs.plans.memory import MEMORY
 from memjobs.plans.scalar import s_overlap, s_terms
-from memjobs.plans.tables import kept, records
+from memjobs.plans.tables import kept, query_id, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -30,20 +30,12 @@ def query(name: str, sql: str | None = None):
 
 
 def asked(spark, sf_dir):
-    rows = records(spark, sf_dir).where("turn_ord = 0")
-    return rows.select(F.col("conv_id").alias("query_id"), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question"))
+    rows = records(spark, sf_dir).where("turn_ord % 100 = 0")
+    return rows.select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question"))
 
 
 def layers(spark, sf_dir):
-    """Experiences, segments and exchanges with their summaries."""
-    qa = hierarchy.exact_topic_memory(records(spark, sf_dir))
-    segments = hierarchy.segments_of(qa).join(hierarchy.segment_summaries(qa).select("conv_id", "segment_id", "summary"), ["conv_id", "segment_id"])
-    experiences = hierarchy.experiences_of(qa).join(hierarchy.experience_summaries(qa), ["conv_id", "experience_id"])
-    return experiences, segments, qa
-
-
-def kept_layers(spark, sf_dir):
-    """The layers, made once: recall reads each of them many times."""
+    """Experiences, segments and exchanges with their summaries, made once: recall reads each of them many times."""
     qa = kept(hierarchy.exact_topic_memory(records(spark, sf_dir)))
     segments = hierarchy.segments_of(qa).join(hierarchy.segment_summaries(qa).select("conv_id", "segment_id", "summary"), ["conv_id", "segment_id"])
     experiences = hierarchy.experiences_of(qa).join(hierarchy.experience_summaries(qa), ["conv_id", "experience_id"])
@@ -56,7 +48,7 @@ def overlap_hits(queries, rows, id_col, text):
     return pairs.select("query_id", "id", F.round(X.lexical_overlap(F.col("question"), F.col("text")), 6).alias("similarity")).where("similarity > 0")
 
 
-_Q = "q0 AS (SELECT conv_id AS query_id, conv_id AS qc, topic AS qt, core_entity AS qe, intent AS qi, entities AS qents, confidence AS qconf, user_input AS question FROM qa WHERE turn_ord = 0)"
+_Q = "q0 AS (SELECT conv_id * 1000000 + turn_ord AS query_id, conv_id AS qc, topic AS qt, core_entity AS qe, intent AS qi, entities AS qents, confidence AS qconf, user_input AS question FROM qa WHERE turn_ord % 100 = 0)"
 _EXP = """ex AS (SELECT conv_id, experience_id, arg_min(topic, seq) AS topic, arg_min(core_entity, seq) AS core_entity, list(DISTINCT intent) AS intents, max(seq) AS updated_at, min(seq) AS created_at, count(*) AS n_qas FROM qa GROUP BY ALL)"""
 _KW = "array_to_string(list_filter(list_concat([qt, qe, qi], qents, [trim(question)]), lambda p: trim(p) <> ''), chr(10))"
 
@@ -134,8 +126,8 @@ def g6(spark, sf_dir):
 # -- candidate frames with plain scores: exchanges their confidence, parents a share of their size
 
 
-def plain(spark, sf_dir):
-    exp, seg, qa = layers(spark, sf_dir)
+def plain(spark, sf_dir, made=None):
+    exp, seg, qa = made or layers(spark, sf_dir)
     key = F.col("conv_id").alias("query_id")
     return (
         exp.select(key, "experience_id", (F.col("n_qas") % 7 / 7).alias("score")),
@@ -171,8 +163,8 @@ def g19(spark, sf_dir):
 _PART = ", ax AS (SELECT * FROM px WHERE experience_id NOT LIKE '%_2'), asg AS (SELECT * FROM ps WHERE segment_id NOT LIKE '%_1_2'), aq AS (SELECT * FROM pq WHERE seq % 3 > 0)"
 
 
-def _partial(spark, sf_dir):
-    exp, seg, qa = plain(spark, sf_dir)
+def _partial(spark, sf_dir, made=None):
+    exp, seg, qa = plain(spark, sf_dir, made)
     return exp.where("experience_id NOT LIKE '%_2'"), seg.where("segment_id NOT LIKE '%_1_2'"), qa.where("seq % 3 > 0")
 
 
@@ -191,9 +183,9 @@ def g9(spark, sf_dir):
     SELECT query_id, experience_id AS id FROM x2 UNION ALL SELECT query_id, segment_id FROM s2 UNION ALL SELECT query_id, qa_id FROM aq""",
 )
 def g10(spark, sf_dir):
-    exp, seg, qa = _partial(spark, sf_dir)
-    all_exp, all_seg, _ = layers(spark, sf_dir)
-    return _ids(*R.complete_ancestors(exp, seg, qa, all_seg, all_exp))
+    made = layers(spark, sf_dir)
+    exp, seg, qa = map(kept, _partial(spark, sf_dir, made))
+    return _ids(*map(kept, R.complete_ancestors(exp, seg, qa, made[1], made[0])))
 
 
 @query(
@@ -234,8 +226,9 @@ def g13(spark, sf_dir):
 
 
 def _trees(spark, sf_dir):
-    exp, seg, qa = plain(spark, sf_dir)
-    return R.candidate_tree(exp, seg, qa.drop("seq"), *layers(spark, sf_dir))
+    made = layers(spark, sf_dir)
+    exp, seg, qa = plain(spark, sf_dir, made)
+    return R.candidate_tree(exp, seg, qa.drop("seq"), *made)
 
 
 @query(
@@ -252,10 +245,9 @@ def g14(spark, sf_dir):
 @query("g15_tree_violations", MEMORY + "SELECT conv_id AS query_id, 'qa' AS level, 'twice' AS id, 'repeated id' AS problem FROM qa GROUP BY conv_id HAVING count(*) > 1")
 def g15(spark, sf_dir):
     """Violations in trees whose exchanges all got the same id."""
-    exp, seg, qa = plain(spark, sf_dir)
-    t = R.candidate_tree(exp, seg, qa.drop("seq"), *layers(spark, sf_dir))
+    t = _trees(spark, sf_dir)
     same = F.transform("tree", lambda e: e.withField("segments", F.transform(e["segments"], lambda s: s.withField("qas", F.transform(s["qas"], lambda q: q.withField("id", F.lit("twice")))))))
-    return R.tree_violations(t.withColumn("tree", same))
+    return R.tree_violations(kept(t.withColumn("tree", same)))
 
 
 @query("g16_fitted_trees")
@@ -339,7 +331,7 @@ def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2,
     below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
     qa_hits = scoped_hits(queries, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
     segments, leaves = map(kept, R.descend(queries, found, seg, qa, seg_hits, qa_hits))
-    every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40))
+    every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40), step=kept)
     whole = tuple(map(kept, R.prune_orphans(*map(kept, every))))
     fitted = kept(budget.fit_trees(R.candidate_tree(*whole, exp, seg, qa).select("query_id", F.to_json("tree").alias("tree")), budget=token_budget))
     ids = "array<struct<id:string,segments:array<struct<id:string,qas:array<struct<id:string>>>>>>"
@@ -358,7 +350,7 @@ def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2,
 
 @query("g7_descendants")
 def g7(spark, sf_dir):
-    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), kept_layers(spark, sf_dir)
+    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
     found = R.roots(q, exp, vector_hits(q, exp, "experience_id", F.col("summary"), 12))
     below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
     hits = scoped_hits(q, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
@@ -374,16 +366,17 @@ def g7(spark, sf_dir):
 )
 def g8(spark, sf_dir):
     """Rescue alone: no roots, no vector hits; what relational search finds, with its ancestors."""
-    q, (exp, seg, qa) = asked(spark, sf_dir), layers(spark, sf_dir)
+    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
     tags = F.array().cast("array<string>")
-    none = [df.withColumn("sources", tags).where("false") for df in plain(spark, sf_dir)]
+    none = [kept(df.withColumn("sources", tags).where("false")) for df in plain(spark, sf_dir, (exp, seg, qa))]
     hits = q.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("similarity")).where("false")
-    return _ids(*R.rescue(q, none[0], none[1], none[2].drop("seq"), exp, seg, qa, hits))
+    found = R.rescue(q, none[0], none[1], none[2].drop("seq"), exp, seg, qa, hits, step=kept)
+    return _ids(*found)
 
 
 @query("g23_recall")
 def g23(spark, sf_dir):
-    q, frames = kept(asked(spark, sf_dir)), kept_layers(spark, sf_dir)
+    q, frames = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
     _, _, leaves, fitted = recalled(q, *frames)
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "qa_id"))), lambda s: s["qa_id"])
     return leaves.groupBy("query_id").agg(order.alias("qa_ids")).join(fitted.select("query_id", "tokens_after", "overflow"), "query_id")
@@ -392,7 +385,7 @@ def g23(spark, sf_dir):
 @query("g24_layered_recall")
 def g24(spark, sf_dir):
     """The older recall, one layer at a time, completed and pruned."""
-    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), kept_layers(spark, sf_dir)
+    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
     rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20), n).select("query_id", "id", F.col("final_score").alias("score"))
             for m, level, text, n in ((exp, "experience", F.col("summary"), 8), (seg, "segment", F.col("summary"), 20), (qa, "qa", F.col("user_input"), 32))]
     rows = [kept(r) for r in rows]

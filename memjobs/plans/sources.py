@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memjobs.functions import parse
-from memjobs.operators import hierarchy, models
-from memjobs.plans.tables import TURNS, records, shared_folder, table, turns
+from memjobs.operators import evaluation, hierarchy, models
+from memjobs.plans.tables import TURNS, query_id, records, shared_folder, table, turns
 from memjobs.sources import dialogue, records as stored_records
 from memjobs.streaming import ingest
 
@@ -101,9 +104,10 @@ def a8(spark, sf_dir):
 @query("a9_decoded_vectors")
 def a9(spark, sf_dir):
     """Vectors packed as little-endian floats and decoded again."""
-    import struct
+    @F.pandas_udf(T.BinaryType())
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: np.asarray(v, dtype="<f4").tobytes())
 
-    pack = F.udf(lambda v: struct.pack(f"<{len(v)}f", *v), "binary")
     rows = table(spark, sf_dir, "embeddings").withColumn("blob", pack("embedding"))
     return rows.select("vec_id", stored_records.float32_vector("blob").alias("vector"), (stored_records.float32_vector("blob") == F.col("embedding").cast("array<float>")).alias("same"))
 
@@ -135,6 +139,31 @@ def u1(spark, sf_dir):
     return models.call_model(rows, "prompt", model, fallback="none", retries=0).select("conv_id", "turn", "response", F.col("error").isNotNull().alias("failed"))
 
 
+@query(
+    "u2_compared_methods",
+    f"""SELECT method, a.conv_id * 1000000 + a.turn_ord AS query_id, CASE method WHEN 'full_context' THEN n ELSE least(n_text, 3) END AS n_retrieved FROM ({TURNS}) AS a
+    JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (trim(text) <> '') AS n_text FROM ({TURNS}) GROUP BY conv_id) AS c ON c.conv_id = a.conv_id, (SELECT unnest(['full_context', 'flat_retrieval']) AS method)
+    WHERE a.turn_ord % 100 = 0 AND (method = 'full_context' OR n_text > 0)""",
+)
+def u2(spark, sf_dir):
+    """Two memory methods behind one interface, asked the same questions."""
+    rows = turns(spark, sf_dir)
+    questions = rows.where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
+    found = models.compare([models.FullContext(), models.FlatRetrieval(3)], rows, questions)
+    return found.select("method", "query_id", F.size("retrieved_ids").cast("long").alias("n_retrieved"))
+
+
+@query("a5_report_files", "SELECT f AS format, role AS method, count(*) AS n_questions, max(turn) AS last FROM conversations, (SELECT unnest(['json', 'csv']) AS f) GROUP BY ALL")
+def a5b(spark, sf_dir):
+    """A report written as JSON, CSV and Markdown, and read again."""
+    report = table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("method")).agg(F.count("*").alias("n_questions"), F.max("turn").cast("long").alias("last"))
+    path = shared_folder(spark)
+    stored_records.write_report(report, evaluation.markdown_rows(report, ["method"]), path)
+    read = {"json": spark.read.schema(report.schema).json(f"{path}/json"), "csv": spark.read.schema(report.schema).option("header", True).csv(f"{path}/csv")}
+    first, second = (rows.select(F.lit(name).alias("format"), *report.columns) for name, rows in read.items())
+    return first.union(second)
+
+
 def _streamed(spark, rows, job, mode="append"):
     """Run a streaming job over ``rows``, written to files first, until all are read; its output as a table."""
     path = shared_folder(spark)

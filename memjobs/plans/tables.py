@@ -38,6 +38,11 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def query_id():
+    """The number of a turn that asks: its conversation and its place in it."""
+    return (F.col("conv_id") * 1_000_000 + F.col("turn_ord")).alias("query_id")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         "conv_id", F.lit(1).alias("session_num"), F.col("turn").cast("int").alias("turn_ord"),
