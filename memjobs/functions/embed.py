@@ -32,8 +32,8 @@ class HashingEmbedder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         out = np.zeros(self.dimensions)
-        for token in _TOKEN.findall((text or "").lower()):
-            bucket, sign = self.place(token)
+        for token in _TOKEN.findall(text or ""):
+            bucket, sign = self.place(token.lower())
             out[bucket] += sign
         norm = np.sqrt((out**2).sum())
         return out / norm if norm else out
