@@ -89,8 +89,12 @@ def keyword_terms(query: Column, *excluded: Column, limit: int = MOST_TERMS) ->
 
 def lexical_overlap(query: Column, candidate: Column) -> Column:
     """Share of the query's units (twelve count at most) that the candidate has."""
-    q, c = lexical_units(query), lexical_units(candidate)
-    return F.least(F.size(F.array_intersect(q, c)) / F.greatest(F.lit(1), F.least(F.size(q), F.lit(MOST_TERMS))), F.lit(1.0))
+    return unit_overlap(lexical_units(query), lexical_units(candidate))
+
+
+def unit_overlap(query: Column, candidate: Column) -> Column:
+    """``lexical_overlap`` of units that are already taken apart; 0 if the query has none."""
+    return F.least(F.size(F.array_intersect(query, candidate)) / F.greatest(F.lit(1), F.least(F.size(query), F.lit(MOST_TERMS))), F.lit(1.0))
 
 
 def keyword_score(terms: Column, candidate: Column) -> Column:

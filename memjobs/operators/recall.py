@@ -122,12 +122,10 @@ def scored(rows: DataFrame, cached: Column | None = None) -> DataFrame:
 
 
 def with_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    return rows.join(queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("topic", "core_entity", "intent", "entities", "question"))), "query_id")
-
-
-def _keyword_score(text: Column) -> Column:
-    q = [F.col(f"q_{c}") for c in ("topic", "core_entity", "intent", "entities", "question")]
-    return X.keyword_score(X.keyword_terms(render.keyword_query_text(*q), *q[:3]), text)
+    """The query's fields as ``q_*``, and the units of its keywords, taken apart before the join: once a query, not once a row."""
+    terms = X.keyword_terms(keyword_text(), F.col("topic"), F.col("core_entity"), F.col("intent"))
+    units = X.lexical_units(F.array_join(terms, " ")).alias("q_units")
+    return rows.join(queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("topic", "core_entity", "intent", "entities", "question")), units), "query_id")
 
 
 def candidate(rows: DataFrame, memory: DataFrame, queries: DataFrame, level: str, keywords: bool = True) -> DataFrame:
@@ -137,7 +135,7 @@ def candidate(rows: DataFrame, memory: DataFrame, queries: DataFrame, level: str
     intents = F.col("intents_link") if level == "experience" else F.array("intent")
     text = searchable(joined, level)
     joined = joined.withColumn("structure_score", structure(F.col("topic"), F.col("core_entity"), intents))
-    joined = joined.withColumn("keyword_score", _keyword_score(text) if keywords else F.lit(0.0))
+    joined = joined.withColumn("keyword_score", X.unit_overlap(F.col("q_units"), X.lexical_units(text)) if keywords else F.lit(0.0))
     out = scored(joined)
     if level == "qa":
         out = out.withColumn("score", clamp(0.95 * F.col("score") + 0.05 * F.coalesce("confidence", F.lit(0.0))))

@@ -34,18 +34,23 @@ def asked(spark, sf_dir):
     return rows.select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question"))
 
 
+def exchanges(spark, sf_dir):
+    return kept(hierarchy.exact_topic_memory(records(spark, sf_dir)))
+
+
 def layers(spark, sf_dir):
     """Experiences, segments and exchanges with their summaries, made once: recall reads each of them many times."""
-    qa = kept(hierarchy.exact_topic_memory(records(spark, sf_dir)))
+    qa = exchanges(spark, sf_dir)
     segments = hierarchy.segments_of(qa).join(hierarchy.segment_summaries(qa).select("conv_id", "segment_id", "summary"), ["conv_id", "segment_id"])
     experiences = hierarchy.experiences_of(qa).join(hierarchy.experience_summaries(qa), ["conv_id", "experience_id"])
     return kept(experiences), kept(segments), qa
 
 
 def overlap_hits(queries, rows, id_col, text):
-    """A stand-in for vector hits that SQL can express: lexical overlap of the question with a text."""
-    pairs = queries.select("query_id", "conv_id", "question").join(rows.select("conv_id", F.col(id_col).alias("id"), text.alias("text")), "conv_id")
-    return pairs.select("query_id", "id", F.round(X.lexical_overlap(F.col("question"), F.col("text")), 6).alias("similarity")).where("similarity > 0")
+    """A stand-in for vector hits that SQL can express: lexical overlap of the question with a text, both taken apart before they meet."""
+    asking = queries.select("query_id", "conv_id", X.lexical_units(F.col("question")).alias("asked"))
+    pairs = asking.join(rows.select("conv_id", F.col(id_col).alias("id"), X.lexical_units(text).alias("told")), "conv_id")
+    return pairs.select("query_id", "id", F.round(X.unit_overlap(F.col("asked"), F.col("told")), 6).alias("similarity")).where("similarity > 0")
 
 
 _Q = "q0 AS (SELECT conv_id * 1000000 + turn_ord AS query_id, conv_id AS qc, topic AS qt, core_entity AS qe, intent AS qi, entities AS qents, confidence AS qconf, user_input AS question FROM qa WHERE turn_ord % 100 = 0)"
@@ -71,7 +76,7 @@ def g1(spark, sf_dir):
     SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq DESC, id) AS rank FROM m) WHERE rank <= 40""",
 )
 def g2(spark, sf_dir):
-    return R.qa_search(asked(spark, sf_dir), layers(spark, sf_dir)[2], 40).select("query_id", "id", "rank")
+    return R.qa_search(asked(spark, sf_dir), exchanges(spark, sf_dir), 40).select("query_id", "id", "rank")
 
 
 @query(
@@ -91,7 +96,7 @@ def g3(spark, sf_dir):
     SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq DESC, id) AS rank FROM m) WHERE rank <= 32""",
 )
 def g4(spark, sf_dir):
-    return R.keyword(asked(spark, sf_dir), layers(spark, sf_dir)[2], "qa", 32).select("query_id", "id", "rank")
+    return R.keyword(asked(spark, sf_dir), exchanges(spark, sf_dir), "qa", 32).select("query_id", "id", "rank")
 
 
 _TEXT = "lower(topic || ' ' || core_entity || ' ' || intent || ' ' || user_input || ' ' || assistant_output || ' ' || array_to_string(entities, ' '))"
@@ -101,7 +106,7 @@ _SCORE = f"""c AS (SELECT *, round({s_overlap('question', 'user_input')}, 6) AS
 
 @query("g5_candidate_scores", MEMORY + f", {_Q}, {_SCORE} SELECT query_id, qa_id AS id, round(kw, 6) AS keyword_score, round(0.95 * least(1.0, 0.35 * sim + 0.35 * kw + 0.3 * st) + 0.05 * confidence, 6) AS score FROM c")
 def g5(spark, sf_dir):
-    q, qa = asked(spark, sf_dir), layers(spark, sf_dir)[2]
+    q, qa = asked(spark, sf_dir), exchanges(spark, sf_dir)
     every = q.select("query_id", "conv_id").join(qa.select("conv_id", F.col("qa_id").alias("id")), "conv_id").drop("conv_id")
     rows = every.join(overlap_hits(q, qa, "qa_id", F.col("user_input")), ["query_id", "id"], "left")
     return R.candidate(rows, qa, q, "qa").select("query_id", "id", F.round("keyword_score", 6).alias("keyword_score"), F.round("score", 6).alias("score"))
@@ -208,7 +213,7 @@ _CH = "SELECT conv_id AS query_id, qa_id AS id, seq AS updated_at, CASE WHEN seq
     SELECT query_id, id, round(final, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS rank FROM p WHERE pl <= 4""",
 )
 def g11(spark, sf_dir):
-    qa = layers(spark, sf_dir)[2]
+    qa = exchanges(spark, sf_dir)
     rows = qa.select(
         F.col("conv_id").alias("query_id"), F.col("qa_id").alias("id"), F.col("seq").alias("updated_at"), F.when(F.col("seq") % 3 > 0, F.col("confidence")).otherwise(0.0).alias("vector_channel"),
         F.when(F.col("seq") % 4 > 0, F.length("user_input") % 7 / 7).otherwise(0.0).alias("keyword_channel"), F.col("confidence").alias("score"),
@@ -302,7 +307,7 @@ def g21(spark, sf_dir):
     UNION ALL SELECT DISTINCT query_id, 'segment', segment_id FROM q0 JOIN qa ON conv_id = qc AND topic = qt AND core_entity = qe AND intent = qi)""",
 )
 def g22(spark, sf_dir):
-    q, (_, _, qa) = asked(spark, sf_dir).withColumn("state_key", F.col("conv_id")), layers(spark, sf_dir)
+    q, qa = asked(spark, sf_dir).withColumn("state_key", F.col("conv_id")), exchanges(spark, sf_dir)
     cache = qa.groupBy(F.col("conv_id").alias("state_key"), "topic", "core_entity", "intent").agg(F.collect_set("experience_id").alias("experience_ids"), F.collect_set("segment_id").alias("segment_ids"))
     return R.reused(q, cache)
 
@@ -324,13 +329,19 @@ def scoped_hits(queries, scope, rows, id_col, parent, text, limit):
     return scoped_top_k(q, scope.select("query_id", parent), i, limit, parent)
 
 
-def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2, n_seg: int = 3, n_qa: int = 8):
-    """Roots, descendants, rescue, pruning, tree, budget, selection and context for each query."""
+def descended(queries, exp, seg, qa):
+    """Roots by vector and relational recall, and what stands below them, scored with scoped vector hits."""
     found = kept(R.roots(queries, exp, vector_hits(queries, exp, "experience_id", F.col("summary"), 12)))
     seg_hits = scoped_hits(queries, found, seg, "segment_id", "experience_id", F.col("summary"), 32)
     below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
     qa_hits = scoped_hits(queries, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
-    segments, leaves = map(kept, R.descend(queries, found, seg, qa, seg_hits, qa_hits))
+    return found, *R.descend(queries, found, seg, qa, seg_hits, qa_hits)
+
+
+def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2, n_seg: int = 3, n_qa: int = 8):
+    """Roots, descendants, rescue, pruning, tree, budget, selection and context for each query."""
+    found, *below = descended(queries, exp, seg, qa)
+    segments, leaves = map(kept, below)
     every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40), step=kept)
     whole = tuple(map(kept, R.prune_orphans(*map(kept, every))))
     fitted = kept(budget.fit_trees(R.candidate_tree(*whole, exp, seg, qa).select("query_id", F.to_json("tree").alias("tree")), budget=token_budget))
@@ -350,11 +361,8 @@ def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2,
 
 @query("g7_descendants")
 def g7(spark, sf_dir):
-    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
-    found = R.roots(q, exp, vector_hits(q, exp, "experience_id", F.col("summary"), 12))
-    below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
-    hits = scoped_hits(q, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
-    return R.descend(q, found, seg, qa, scoped_hits(q, found, seg, "segment_id", "experience_id", F.col("summary"), 32), hits)[1].withColumn("score", F.round("score", 6))
+    _, _, leaves = descended(kept(asked(spark, sf_dir)), *layers(spark, sf_dir))
+    return leaves.withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -385,7 +393,10 @@ def g23(spark, sf_dir):
 @query("g24_layered_recall")
 def g24(spark, sf_dir):
     """The older recall, one layer at a time, completed and pruned."""
-    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
+    return layered_recall(kept(asked(spark, sf_dir)), *layers(spark, sf_dir))
+
+
+def layered_recall(q, exp, seg, qa):
     rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20), n).select("query_id", "id", F.col("final_score").alias("score"))
             for m, level, text, n in ((exp, "experience", F.col("summary"), 8), (seg, "segment", F.col("summary"), 20), (qa, "qa", F.col("user_input"), 32))]
     rows = [kept(r) for r in rows]
