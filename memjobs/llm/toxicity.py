@@ -11,7 +11,8 @@ hash of the text (so copies stay together) and learns in turn
 
 Null and empty texts have no words; they get the score of an all-zero feature row. Rows whose label is null
 or not 0/1 aren't learned from; with no labelled rows at all every score is 0. Repeated rows are scored alike; equal
-margins get equal scores. An id with several labels has the larger one. An empty table gives no rows. Texts of any
+margins get equal scores. An id with several labels has the larger one. A row without an id is in no fold
+(``held_out`` null). An empty table gives no rows. Texts of any
 length are read whole, words of any length can enter the lexicon. Other columns pass through; one named ``score`` or
 ``predicted`` is replaced.
 """
@@ -40,7 +41,8 @@ SECOND_PERSON = frozenset(
 DISGUISE = str.maketrans("@4310!|57$8+", "aaeioiistsbt")
 
 _WORD = re.compile(r"[^\W_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[@$!*|+.\-_0-9][^\W_]+)+")
+#: Starts where a run of letters starts: a search from within a run finds nothing more, and makes long runs quadratic.
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[@$!*|+.\-_0-9][^\W_]+)+")
 _STEMS = (4, 5, 6, 7, 8)
 N_FEATURES = 16
 
