@@ -7,6 +7,8 @@ expressions, so the verdict itself is an ordinary column that Spark plans and co
 
 Null and empty texts have no words, all statistics are 0 (and fail the base rule). Rows without a 0/1 label aren't
 learned from; with no labels the list is empty and the base rule alone decides. Repeated rows get the same verdict.
+An empty table gives no rows. Texts of any length are counted whole. Of conditions with equal gain the first measure and
+the lowest threshold are taken. Other columns pass through; one named as a computed column is replaced.
 """
 
 from __future__ import annotations
