@@ -193,6 +193,20 @@ def test_rescue_adds_only_the_ancestors_of_what_it_finds(spark, confidence, want
     assert {r.id for r in plans._ids(*R.prune_orphans(*map(kept, every))).collect()} == want
 
 
+def test_recall_end_to_end(spark):
+    # by hand: q2 has the question's words (0.35 + 0.35), q1 the structure (0.3), q2-sibling one of two keywords (0.35 / 2)
+    made = tuple(map(kept, frames(spark, 0.9)))
+    found, _, leaves = plans.descended(*made)
+    assert {r.experience_id for r in found.collect()} == {"e1", "e2"}
+    score = {r.qa_id: r.score for r in leaves.collect()}
+    assert math.isclose(score["q2"], 0.95 * 0.7 + 0.05 * 0.9, abs_tol=1e-6) and score["q1"] >= 0.95 * 0.3 + 0.045 - 1e-9 and score["q2-sibling"] >= 0.95 * 0.175 + 0.045 - 1e-9
+    x, s, q, fitted = plans.recalled(*made, n_exp=1, n_seg=1, n_qa=2)
+    assert [[r[0] for r in df.select(c).collect()] for df, c in ((x, "experience_id"), (s, "segment_id"), (q, "qa_id"))] == [["e2"], ["s2"], ["q2"]]
+    assert not fitted.first().overflow
+    every = {r.id for r in plans.layered_recall(*made).collect()}
+    assert every == {"e1", "e2", "s1", "s2", "s2-sibling", "q1", "q2", "q2-sibling"}
+
+
 # -- routing, streams, baselines
 
 
