@@ -32,6 +32,10 @@ def scores_at(retrieved: Column, evidence: Column, k: Column) -> Column:
     """(recall, precision, f1, accuracy) of the first ``k`` ids: cut, then without repeats; precision is over k."""
     hits = F.size(F.array_intersect(F.slice(retrieved, F.lit(1), k), evidence)).cast("double")
     n = F.size(F.array_distinct(evidence))
+    return _scores(hits, n, k)
+
+
+def _scores(hits: Column, n: Column, k: Column) -> Column:
     recall = F.when(n == 0, 0.0).otherwise(hits / n)
     precision = hits / k
     f1 = F.when(recall + precision == 0, 0.0).otherwise(2 * recall * precision / (recall + precision))
@@ -45,6 +49,23 @@ def retrieval_scores(rows: DataFrame, ks: list[int], retrieved: str = "retrieved
     return scored.select(*rows.columns, "k", "s.*")
 
 
+def group_scores(found: DataFrame, members: DataFrame, key: str, group: str, ks: list[int], by: list[str]) -> DataFrame:
+    """``retrieval_scores`` where the evidence is a whole group, however large: its ids are joined and counted, not listed.
+
+    ``found`` (``key``, ``group``, rank, id, ``by``), each id once a key, ``members`` (``group``, id), each id once. A row
+    for each key with something found and K, with ``n_evidence``, recall, precision, f1 and accuracy. A group without
+    members has recall 0.
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("n_evidence"))
+    hits = found.join(members.select(group, "id", F.lit(1).alias("hit")), [group, "id"], "left")
+    counts = hits.groupBy(key, group, *by).agg(*(F.count(F.when(F.col("rank") <= k, F.col("hit"))).alias(f"__{k}") for k in ks))
+    each = counts.join(sizes, group, "left").select(
+        key, group, *by, F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"__{k}").cast("double").alias("hits")) for k in ks))).alias("at")
+    )
+    scored = each.withColumn("s", _scores(F.col("at.hits"), F.col("n_evidence"), F.col("at.k")))
+    return scored.select(key, group, *by, "n_evidence", "at.k", "s.*")
+
+
 def macro_average(scores: DataFrame, by: list[str]) -> DataFrame:
     """Means over questions for each K; groups without any are 0."""
     return scores.groupBy(*by, "k").agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"avg_{c}") for c in ("recall", "precision", "f1", "accuracy")), F.count("*").alias("n"))
@@ -81,8 +102,17 @@ def evidence_coverage(rows: DataFrame, category: str, retrieved: str = "retrieve
     """Of the rows with evidence, the share with any and with all of it retrieved; by category and overall (null)."""
     some = rows.where(F.size(F.coalesce(F.col(evidence), F.array())) > 0)
     hits = F.size(F.array_intersect(F.coalesce(F.col(retrieved), F.array()), F.col(evidence)))
-    marked = some.select(F.col(category), (hits > 0).cast("double").alias("any"), (hits == F.size(F.array_distinct(F.col(evidence)))).cast("double").alias("all"))
-    return marked.rollup(category).agg(F.count("*").alias("n"), F.round(F.avg("any"), 6).alias("any_hit"), F.round(F.avg("all"), 6).alias("all_hit"))
+    return _coverage(some.select(F.col(category), (hits > 0).alias("any"), (hits == F.size(F.array_distinct(F.col(evidence)))).alias("all")), category)
+
+
+def group_coverage(scores: DataFrame, category: str) -> DataFrame:
+    """``evidence_coverage`` from scores at one K, for evidence that is too large to be listed."""
+    return _coverage(scores.where("n_evidence > 0").select(category, (F.col("recall") > 0).alias("any"), (F.col("recall") == 1).alias("all")), category)
+
+
+def _coverage(marked: DataFrame, category: str) -> DataFrame:
+    share = [F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_hit") for c in ("any", "all")]
+    return marked.rollup(category).agg(F.count("*").alias("n"), *share)
 
 
 def distribution(rows: DataFrame, column: str, by: list[str]) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries that are compared at once; the block that travels to the tasks has this many rows at most.
-BLOCK = 2048
+#: Queries and items that are multiplied at once.
+BLOCK, SLICE = 2048, 4096
+#: Items of a part, where the queries are too many to send to every task.
+PART = 1 << 18
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -37,35 +39,33 @@ def ranked(pairs: DataFrame, k: int, query_col: str = "query_id", id_col: str =
 
 def top_k(
     queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query", item_id: str = "id", item_vector: str = "embedding",
-    same: tuple[str, str] | None = None, least: float | None = None,
+    same: tuple[str, str] | None = None, least: float | None = None, values: int = 1 << 22,
 ) -> DataFrame:
     """query_id, id, similarity, rank: exact nearest items. ``same``: a query column and an item column that must be equal.
 
-    Queries go out in blocks of at most ``BLOCK`` rows; each task multiplies a block with its items and keeps its own
-    first ``k``, so k rows for each query and task are shuffled, whatever the number of items. A condition is applied
-    before the ranking. Null or zero vectors have similarity 0.
+    Queries of at most ``values`` numbers in all, which are counted first, are sent to the tasks, and the items aren't
+    shuffled. More of them are dealt into blocks of about that size and the items into parts of about ``PART`` rows; each
+    pair of a block and a part is streamed from a sorted partition, so that memory holds one block. Either way a task keeps
+    its own first ``k``, so k rows for each query and task are shuffled, whatever the number of items. A condition is
+    applied before the ranking. A zero vector has similarity 0, a null one or one with a null number isn't compared.
     """
-    spark = items.sparkSession
-    wanted = [F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<float>").alias("v")]
-    wanted += [F.col(same[0]).cast("string").alias("s")] if same else []
-    chosen = queries.select(*wanted).where("v is not null")
-    n_blocks = max(1, -(-chosen.count() // (BLOCK // 2)))
-    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
-    columns = [F.col(item_id).cast("long").alias("id"), F.col(item_vector).cast("array<float>").alias("v")]
-    columns += [F.col(same[1]).cast("string").alias("s")] if same else []
-    pool = items.select(*columns).where("v is not null")
-    out = None
-    for b in range(n_blocks):  # each block is small; the work is in the tasks
-        every = dealt.where(F.col("block") == b).orderBy("q").collect()
-        for at in range(0, len(every), BLOCK):  # blocks are dealt by hash, so one may be larger
-            rows = every[at : at + BLOCK]
-            matrix = _unit(np.array([r["v"] for r in rows], dtype=np.float64))
-            block = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), matrix, np.array([r["s"] for r in rows], dtype=object) if same else None))
-            found = pool.mapInArrow(_local_top(block, k, bool(same), least), "query_id long, id long, similarity double")
-            out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, similarity double")
-    return ranked(out, k)
+    scope = [F.col(c).cast("string").alias("s") for c in same] if same else [F.lit(None).cast("string").alias("s")] * 2
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<float>").alias("v"), scope[0]).where("v is not null")
+    pool = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_vector).cast("array<float>").alias("v"), scope[1]).where("v is not null")
+    if same:  # null equals nothing
+        asked, pool = asked.where("s is not null"), pool.where("s is not null")
+    size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    out = "query_id long, id long, similarity double"
+    if size <= values:
+        block = items.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks().to_batches())
+        return ranked(pool.mapInArrow(_against(block, k, bool(same), least), out), k)
+    parts, blocks = -(-pool.count() // PART), -(-size // values)
+    if not parts:
+        return ranked(pool.sparkSession.createDataFrame([], out), k)
+    left = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "*")
+    right = pool.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "*")
+    pairs = left.union(right).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    return ranked(pairs.mapInArrow(_pairwise(k, bool(same), least), out), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -73,30 +73,83 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _local_top(block, k: int, scoped: bool, least: float | None):
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors of an array column, one a row."""
+    sizes = np.asarray(column.value_lengths())
+    if len(sizes) and sizes.min() != sizes.max():
+        raise ValueError("the vectors have unequal lengths")
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1 if len(sizes) and sizes[0] else 0))
+
+
+class _Nearest:
+    """The first ``k`` items of each of some queries, by similarity and then id, of all items added so far."""
+
+    def __init__(self, asked: pa.RecordBatch, k: int, scoped: bool, least: float | None):
+        self.k, self.scoped = k, scoped
+        self.ids, self.matrix = np.asarray(asked.column("id")), _matrix(asked.column("v"))
+        self.scopes = np.array(asked.column("s").to_pylist(), dtype=object)
+        self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.floor = np.full(len(self.ids), least or 0.0)
+
+    def add(self, items: pa.RecordBatch) -> None:
+        score = np.round(np.clip(self.matrix @ _matrix(items.column("v")).T, 0.0, 1.0), 12)
+        if self.scoped:
+            score[self.scopes[:, None] != np.array(items.column("s").to_pylist(), dtype=object)[None, :]] = -1.0
+        np.nan_to_num(score, copy=False, nan=-1.0)
+        k = min(self.k, score.shape[1])
+        row, at = np.nonzero(score >= np.maximum(self.floor, np.partition(score, -k, axis=1)[:, -k])[:, None])
+        row, item, score = (np.concatenate(c) for c in ((self.row, row), (self.item, np.asarray(items.column("id"))[at]), (self.score, score[row, at])))
+        order = np.lexsort((item, -score, row))
+        order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < self.k]
+        self.row, self.item, self.score = row[order], item[order], score[order]
+        counts = np.bincount(self.row, minlength=len(self.ids))
+        full = counts == self.k
+        self.floor[full] = self.score[(np.cumsum(counts) - 1)[full]]
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row].astype(np.int64)), pa.array(self.item), pa.array(self.score)], names=["query_id", "id", "similarity"])
+
+
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def _against(block, k: int, scoped: bool, least: float | None):
+    """Compares the items of a task with the queries that were sent to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, scopes = block.value
-        best_s = np.full((len(ids), 0), -1.0)
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
+        near = [_Nearest(b, k, scoped, least) for whole in block.value for b in _slices(whole, BLOCK)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                if not part.num_rows:
+            for part in _slices(batch, SLICE):
+                for n in near:
+                    n.add(part)
+        yield from (n.found() for n in near)
+
+    return run
+
+
+def _pairwise(k: int, scoped: bool, least: float | None):
+    """Compares, for each block and part, the queries, which come first, with the items behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, near = None, []
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("block", "part", "kind")], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                if a == b:
+                    continue
+                if key != tuple(keys[a, :2]):
+                    yield from (n.found() for n in near)
+                    key, near = tuple(keys[a, :2]), []
+                same = batch.slice(a, b - a)
+                if keys[a, 2] == 0:
+                    near += [_Nearest(q, k, scoped, least) for q in _slices(same, BLOCK)]
                     continue
-                items = np.asarray(part.column("id"))
-                score = np.clip(matrix @ _unit(np.array(part.column("v").to_pylist(), dtype=np.float64)).T, 0.0, 1.0)
-                if scoped:
-                    score[scopes[:, None] != np.array(part.column("s").to_pylist(), dtype=object)[None, :]] = -1.0
-                if least is not None:
-                    score[score < least] = -1.0
-                best_s = np.concatenate([best_s, score], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(items, score.shape)], axis=1)
-                order = np.lexsort((best_i, -np.round(best_s, 12)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        rows, columns = np.nonzero(best_s >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows].astype(np.int64)), pa.array(best_i[rows, columns]), pa.array(np.round(best_s[rows, columns], 12))], names=["query_id", "id", "similarity"]
-        )
+                for part in _slices(same, SLICE):
+                    for n in near:
+                        n.add(part)
+        yield from (n.found() for n in near)
 
     return run
 

@@ -89,17 +89,16 @@ def _scores_sql(ks: str) -> str:
     z AS (SELECT *, CASE WHEN recall + precision = 0 THEN 0.0 ELSE 2 * recall * precision / (recall + precision) END AS f1 FROM y)"""
 
 
-def retrieved(spark, sf_dir):
-    """query_id, query_label, retrieved_ids in rank order, evidence: all vectors with the query's label."""
-    found = V.top_k(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 5, **NAMES)
-    lists = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("retrieved_ids"))
-    same = vectors(spark, sf_dir).groupBy(F.col("label").alias("query_label")).agg(F.collect_list("vec_id").alias("evidence"))
-    return lists.join(query_vectors(spark, sf_dir).drop("query"), "query_id").join(same, "query_label")
+def label_scores(spark, sf_dir, ks, by=None):
+    """Scores at K of the nearest vectors of each query vector; all vectors with the query's label are its evidence."""
+    found = V.top_k(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 5, **NAMES).join(query_vectors(spark, sf_dir).drop("query"), "query_id")
+    members = vectors(spark, sf_dir).select(F.col("label").alias("query_label"), F.col("vec_id").alias("id"))
+    return E.group_scores(found.withColumns(by or {}), members, "query_id", "query_label", ks, list(by or {}))
 
 
 @query("h2_scores_at_k", _scores_sql("[1, 3, 5]") + "SELECT query_id, k, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, accuracy FROM z")
 def h2(spark, sf_dir):
-    s = E.retrieval_scores(retrieved(spark, sf_dir), [1, 3, 5])
+    s = label_scores(spark, sf_dir, [1, 3, 5])
     return s.select("query_id", "k", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")), "accuracy")
 
 
@@ -109,12 +108,12 @@ _AVG = "round(avg(recall), 6) AS avg_recall, round(avg(precision), 6) AS avg_pre
 @query("retrieval_quality", _scores_sql("[1, 3, 5]") + f"SELECT query_label, k, {_AVG} FROM z GROUP BY ALL")
 def flagship(spark, sf_dir):
     """Top-5 neighbours of each query vector, recall, precision, F1 and accuracy at 1, 3 and 5 by label."""
-    return E.macro_average(E.retrieval_scores(retrieved(spark, sf_dir), [1, 3, 5]), ["query_label"])
+    return E.macro_average(label_scores(spark, sf_dir, [1, 3, 5]), ["query_label"])
 
 
 @query("h3_macro_average", _scores_sql("[1, 3, 5]") + f"SELECT 'vectors' AS method, k, {_AVG} FROM z GROUP BY ALL")
 def h3(spark, sf_dir):
-    return E.macro_average(E.retrieval_scores(retrieved(spark, sf_dir).withColumn("method", F.lit("vectors")), [1, 3, 5]), ["method"])
+    return E.macro_average(label_scores(spark, sf_dir, [1, 3, 5], {"method": F.lit("vectors")}), ["method"])
 
 
 @query(
@@ -122,7 +121,7 @@ def h3(spark, sf_dir):
     _scores_sql("[5]") + "SELECT CAST(query_label AS INT) AS query_label, count(*) AS n, round(avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END), 6) AS any_hit, round(avg(CASE WHEN recall = 1 THEN 1.0 ELSE 0.0 END), 6) AS all_hit FROM z GROUP BY ROLLUP (query_label)",
 )
 def h7(spark, sf_dir):
-    return E.evidence_coverage(retrieved(spark, sf_dir), "query_label")
+    return E.group_coverage(label_scores(spark, sf_dir, [5]), "query_label")
 
 
 # -- answers: each turn predicts the one after it

@@ -259,3 +259,47 @@ def test_baselines_retrieve_what_a_plain_search_does(spark):
     assert notes.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 and notes.where("similarity < 0 or similarity > 1").count() == 0
     layers = run(spark, "f5_layer_variants").collect()
     assert len(layers) == len(texts) and all(r.qa_context in r.context and 0 < len(r.retrieved_ids) <= 3 for r in layers)
+
+
+# -- exact search and scores of groups
+
+
+@pytest.mark.parametrize("limits", [{}, {"same": ("topic", "topic")}, {"least": 0.4}])
+def test_search_by_blocks_equals_a_plain_search(spark, monkeypatch, limits):
+    """Both ways: queries sent to every task, and blocks of queries paired with parts of the items; ties, nulls, zero vectors."""
+    monkeypatch.setattr(vectors, "PART", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    monkeypatch.setattr(vectors, "SLICE", 16)
+    rng = np.random.default_rng(4)
+    made = [[float(x) for x in rng.integers(-2, 3, size=3)] for _ in range(200)]
+    items = [(i, i % 3, v) for i, v in enumerate(made)] + [(200, 0, None), (201, 1, [0.0, 0.0, 0.0]), (202, None, [1.0, 1.0, 1.0])]
+    asked = [r for r in items if r[0] % 9 == 0 or r[0] > 198]
+    want = set()
+    for q, a, v in asked:
+        near = []
+        for i, b, w in items:
+            if v is None or w is None or ("same" in limits and (a is None or a != b)):
+                continue
+            size = np.linalg.norm(v) * np.linalg.norm(w)
+            s = round(float(np.clip(np.dot(v, w) / size, 0, 1)), 9) if size else 0.0
+            if s >= limits.get("least", 0):
+                near.append((-s, i))
+        want |= {(q, i, -s, rank) for rank, (s, i) in enumerate(sorted(near)[:4], 1)}
+    schema = "id long, topic int, embedding array<float>"
+    q = spark.createDataFrame(asked, schema).withColumnsRenamed({"id": "query_id", "embedding": "query"})
+    for values in (1 << 22, 20):
+        found = vectors.top_k(q, spark.createDataFrame(items, schema), 4, values=values, **limits)
+        assert {(r.query_id, r.id, round(r.similarity, 9) + 0.0, r["rank"]) for r in found.collect()} == {(a, b, s + 0.0, r) for a, b, s, r in want}
+        assert vectors.top_k(q, spark.createDataFrame([], schema), 4, values=values, **limits).count() == 0
+    assert vectors.top_k(q.where("false"), spark.createDataFrame(items, schema), 4, **limits).count() == 0
+
+
+def test_scores_of_groups_equal_scores_of_lists(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4)], "g string, id long")
+    found = spark.createDataFrame([(7, "a", 1, 1), (7, "a", 2, 4), (7, "a", 3, 2), (8, "b", 1, 4), (9, "c", 1, 4)], "q long, g string, rank int, id long")
+    lists = spark.createDataFrame([(7, "a", [1, 4, 2], [1, 2, 3]), (8, "b", [4], [4]), (9, "c", [4], [])], "q long, g string, retrieved_ids array<long>, evidence array<long>")
+    names = ["q", "g", "k", "recall", "precision", "f1", "accuracy"]
+    got = evaluation.group_scores(found, members, "q", "g", [1, 3], [])
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, evaluation.retrieval_scores(lists, [1, 3]).select(names).collect()))
+    at3 = got.where("k = 3")
+    assert sorted(map(str, evaluation.group_coverage(at3, "g").collect())) == sorted(map(str, evaluation.evidence_coverage(lists, "g").collect()))
