@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memjobs.llm import decontamination, extraction, jaccard, licenses, pii, quality, sentencepiece, substrings, toxicity, warc
+from memjobs.llm import decontamination, extraction, jaccard, licenses, pii, quality, repair, sentencepiece, substrings, toxicity, warc, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_sentencepiece": sentencepiece.query,
     "op10_toxicity": toxicity.query,
+    "op11_whitening": whitening.query,
+    "op12_conversation_repair": repair.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": jaccard.ORACLE_SQL,
