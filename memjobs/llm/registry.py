@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memjobs.llm import decontamination, extraction, jaccard, licenses, pii, quality, repair, sentencepiece, substrings, toxicity, warc, whitening
+from memjobs.llm import decontamination, extraction, jaccard, licenses, pii, quality, repair, sentencepiece, substrings, suffixes, toxicity, warc, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
     "op11_whitening": whitening.query,
     "op12_conversation_repair": repair.query,
+    "op13_suffix_dedup": suffixes.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": jaccard.ORACLE_SQL,

@@ -63,7 +63,7 @@ def test_odd_rows_have_defined_results(spark, odd, name):
     got = Counter(r[key] for r in rows)
     assert got == Counter({i: 2 if i == 7 and name not in ONCE else 1 for i in range(len(TEXTS))} | {None: nulls})
     same = [{c: v for c, v in r.items() if c not in (key, "url", "component_id", "held_out", "refers_to", "record_type")} for i in (7, 8) for r in rows if r[key] == i]
-    if name != "op6_substring_dedup":
+    if name not in ("op6_substring_dedup", "op13_suffix_dedup"):
         assert all(x == same[0] for x in same)
     again = [r.asDict() for r in QUERIES[name](spark, odd).collect()]
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
