@@ -4,6 +4,10 @@ personal data is masked, and the rest is encoded.
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
 ``documents``. ``run`` writes every stage's rows to the shared folder and reads them again, so an executor that is lost
 costs the current stage only. Models are fitted on the stage's own input (labels come from the tables).
+
+Null texts are empty: never toxic, without duplicates, contamination or personal data, and encoded as no ids. Rows without
+an id stay to the end. Rows that repeat an id are one document to the second stage, which keeps one of them. Columns
+besides the contract's come out of all stages but the last as they were, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -12,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memjobs.llm import decontamination, jaccard, pii, sentencepiece, toxicity
-from memjobs.llm.common import stored, table
+from memjobs.llm.common import set_aside, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), train_when=toxicity.fold() != 0)
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = set_aside(docs, ("score", "predicted"))
+    return toxicity.score_toxicity(rows, model).where("predicted = 0").drop("score", "predicted").withColumnsRenamed(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,6 +139,18 @@ def extended(
     return df.mapInArrow(run, schema)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` whose columns of these names have unused ones, and by those the names to give back in the end."""
+    wanted, used = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    back = {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            free = next(f"__aside{k}" for k in range(len(used) + 1) if f"__aside{k}" not in used)
+            used.add(free)
+            back[free] = c
+    return df.withColumnsRenamed({c: free for free, c in back.items()}), back
+
+
 def crc_fold(id_col: str, folds: int = 5):
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(id_col).cast("string")) % folds

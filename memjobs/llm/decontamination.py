@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjobs.llm.common import stored, table
+from memjobs.llm.common import set_aside, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -144,14 +144,16 @@ def contamination(
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated documents."""
+    docs, back = set_aside(docs, ("__bad_id", "__bad_hash"))
     bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
     bad = bad.select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
     same = F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad, same, "left_anti").withColumnsRenamed(back)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` whose texts lose the words inside hit windows; all other characters stay."""
+    docs, back = set_aside(docs, ("__hit_id", "__hit_hash", "__ranges"))
     hit = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0")
     hit = hit.select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"), F.col("ranges").alias("__ranges"))
     same = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hit_hash"))
@@ -172,7 +174,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             "",
         ),
     )[0]
-    return docs.join(hit, same, "left").withColumn(text_col, F.when(F.col("__ranges").isNotNull(), cleaned).otherwise(F.col(text_col))).drop("__hit_id", "__hit_hash", "__ranges")
+    return docs.join(hit, same, "left").withColumn(text_col, F.when(F.col("__ranges").isNotNull(), cleaned).otherwise(F.col(text_col))).drop("__hit_id", "__hit_hash", "__ranges").withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

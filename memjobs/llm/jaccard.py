@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjobs.llm.common import WordHashes, lower_ascii, mixed, raw_texts, sliced, space_words, stored, table, window_hashes
+from memjobs.llm.common import WordHashes, lower_ascii, mixed, raw_texts, set_aside, sliced, space_words, stored, table, window_hashes
 
 #: Frequent tokens are those of more than 2 ** RARE nodes.
 RARE = 5
@@ -455,12 +455,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
 
     Rows with the same id are one document: of those that stay, the one with the smallest text (null first) is kept.
     """
+    docs, back = set_aside(docs, ("__kept", "__nth"))
     found = similar_components(docs, id_col, text_col, n_gram, percent)
     kept = found.groupBy("component_id").agg(F.min("doc_id").alias("__kept")).select("__kept")
     chosen = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
     first = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).asc_nulls_first())
     one = chosen.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return one.union(docs.where(F.col(id_col).isNull()))
+    return one.union(docs.where(F.col(id_col).isNull())).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

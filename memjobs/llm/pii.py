@@ -7,8 +7,8 @@ kinds x 3^6 votes x 4 lengths), estimates by EM how reliable each labeler is, an
 classifier on the EM posteriors. ``label_spans`` and ``redact`` then run it over every text in one pass.
 
 Null texts are empty and have no spans. Offsets count code points, ends are exclusive. Repeated rows are
-labelled alike; other columns pass through and don't count, one named as a computed column is replaced. Of candidates
-that overlap, the earlier and then the longer one is taken, then the kind listed first. An empty table gives no rows and
+labelled alike; other columns pass through and don't count, one named as a computed column is replaced. A secret stands
+whole around base spans and may overlap them. Of candidates that overlap each other, the earlier and then the longer one is taken, then the kind listed first. An empty table gives no rows and
 a model that accepts no candidates. Texts of any length are searched whole, in linear time.
 """
 
@@ -98,9 +98,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of the looser patterns that meet no base span; earlier and longer ones first, no overlaps.
+    """Candidates of the looser patterns; earlier and longer ones first, no overlaps among them.
 
-    A secret of more than 255 characters is no email, card or the like, so it stays whole around a base span.
+    Secrets stand whole, whatever base spans lie in them; other kinds only where they meet no base span.
     """
     found = []
     for kind, marks, pattern in _LOOSE:
@@ -112,8 +112,7 @@ def _more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     end = -1
     for k, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
         i = np.searchsorted(starts, e) - 1
-        long = KINDS[k] == "secret" and e - s > 255
-        if s >= end and (long or not (i >= 0 and reach[i] > s)):
+        if s >= end and (KINDS[k] == "secret" or not (i >= 0 and reach[i] > s)):
             out.append((k, s, e))
             end = e
     return out

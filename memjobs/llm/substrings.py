@@ -19,8 +19,7 @@ document, in the group that is compared.
 Null texts have no words. Documents without an id are never less than others, so they remove and lose nothing. An id
 that is repeated with the same text gives the same result on each row; repeated with other texts, its rows share
 their removed places. Ids are whole numbers. An empty table gives no rows, texts of
-any length are used whole. Columns other than id and text pass through ``remove_repeats``, whatever their names (but
-``__starts`` and ``__at_id``).
+any length are used whole. Columns other than id and text pass through ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjobs.llm.common import WordHashes, extended, mixed, raw_texts, sliced, space_words, stored, table, window_hashes
+from memjobs.llm.common import WordHashes, extended, mixed, raw_texts, set_aside, sliced, space_words, stored, table, window_hashes
 
 #: Windows that a task gathers before it settles them; bounds its memory, not the result.
 CHUNK = 1_000_000
@@ -205,6 +204,7 @@ def _places(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """``docs`` whose texts are the kept words, joined by one space, where words were removed; other texts are unchanged."""
+    docs, back = set_aside(docs, ("__starts", "__at_id"))
     rows = _with_places(docs, id_col, text_col, length)
     position = rows.columns.index(text_col)
     schema = T.StructType([f for f in rows.schema.fields if f.name != "__starts"])
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             made = batch.set_column(position, batch.schema.field(position), pa.array(texts, batch.schema.field(position).type))
             yield made.drop_columns(["__starts"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str, length: int = 50) -> DataFrame:

@@ -22,7 +22,7 @@ that grows with the input. Each part has its own suffix array and hands on one r
 
 Each row is a document: rows that repeat an id and a text are copies of each other, and all of their windows repeat. Null
 ids are allowed, null texts are empty. An empty table gives no rows. Texts are used whole, whatever their length. Columns
-other than id and text pass through ``remove_repeats`` (``__doc``, ``__tag``, ``__at_doc``, ``__at_tag``, ``__places`` and ``__spans`` are its own names).
+other than id and text pass through ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjobs.llm.common import extended, mixed, raw_texts, sliced, stored, table, window_hashes
+from memjobs.llm.common import extended, mixed, raw_texts, set_aside, sliced, stored, table, window_hashes
 from memjobs.llm.substrings import _sliding, chosen_windows
 
 #: Anchors that a task gathers, bytes of passages that it joins, and bytes of a suffix array: these bound its memory, not the result.
@@ -438,6 +438,7 @@ def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``docs`` with the bytes that are left in ``kept_bytes`` (binary: a cut may fall inside a character) and the removed
     places in ``removed_spans``. A column of ``docs`` with one of these names is replaced."""
+    docs, back = set_aside(docs, ("__doc", "__tag", "__at_doc", "__at_tag", "__places", "__spans"))
     fields = [T.StructField("kept_bytes", T.BinaryType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.IntegerType())))]
 
     def compute(batch: pa.RecordBatch):
@@ -445,7 +446,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield pa.array([kept_bytes(raw, s) for raw, s in zip(raw_texts(batch, text_col), spans, strict=True)], pa.binary())
         yield pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int32())))
 
-    return extended(_with_spans(docs, id_col, text_col, length), compute, fields, docs.columns)
+    return extended(_with_spans(docs, id_col, text_col, length), compute, fields, docs.columns).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str, length: int = 200) -> DataFrame:
