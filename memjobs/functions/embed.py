@@ -30,13 +30,21 @@ class HashingEmbedder:
             found = self.known[token] = int.from_bytes(digest[:4], "big") % self.dimensions, 1.0 if digest[4] % 2 == 0 else -1.0
         return found
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def token_sum(self, text: str | None) -> np.ndarray:
+        """The sum before scaling. It is whole, and that of texts joined by other than word characters is the sum of theirs."""
         out = np.zeros(self.dimensions)
         for token in _TOKEN.findall(text or ""):
             bucket, sign = self.place(token.lower())
             out[bucket] += sign
-        norm = np.sqrt((out**2).sum())
-        return out / norm if norm else out
+        return out
+
+    @staticmethod
+    def scaled(total: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((total**2).sum())
+        return total / norm if norm else total
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.scaled(self.token_sum(text))
 
 
 def embed_column(dimensions: int = DIMENSIONS):

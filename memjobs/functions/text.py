@@ -5,6 +5,8 @@ All are built from Spark's own functions, so they stay inside compiled stages an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,30 +104,53 @@ def keyword_score(terms: Column, candidate: Column) -> Column:
     return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(lexical_overlap(F.array_join(terms, " "), candidate))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def runs(items: Column) -> Column:
+    """(item, n): each different item, sorted, and how often it occurs. Sorting apart this takes linear time."""
+
+    def counted(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+        return bound(starts, lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i).alias("item"), (F.coalesce(F.get(p, k + 1), F.size(s)) - i).alias("n"))))
+
+    return bound(F.sort_array(items), counted)
+
+
 def numbered(words: Column) -> Column:
     """Distinct texts, one for each word: the word and how many equal ones stand before it. As multisets words turn into sets."""
-    return F.transform(F.array(F.array_sort(words)), lambda s: F.transform(s, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(s, w)).cast("string"))))[0]
+    return F.flatten(F.transform(runs(words), lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.concat_ws(" ", r["item"], k.cast("string")))))
 
 
-def _meetings(x: Column, y: Column) -> Column:
-    """How many pairs of equal words there are; both arrays are sorted, so that equal words stand together."""
+def bag_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the token counts of two texts; 0 if either has no tokens. One sorted list holds the words of both."""
 
-    def times(w: Column) -> Column:
-        first = F.array_position(y, w)
-        return F.when(first > 0, F.size(y) + 2 - first - F.array_position(F.reverse(y), w)).otherwise(F.lit(0))
+    def of(text: Column, side: int) -> Column:
+        return F.transform(memory_tokens(text), lambda w: F.struct(w.alias("word"), F.lit(side).alias("side")))
 
-    return F.aggregate(x, F.lit(0.0), lambda s, w: s + times(w))
+    def cosine(r: Column) -> Column:
+        def square(side: int) -> Column:
+            return F.aggregate(r, F.lit(0.0), lambda s, x: s + F.when(x["item"]["side"] == side, x["n"].cast("double") * x["n"]).otherwise(0.0))
 
+        squares = square(0), square(1)
+        both = F.transform(r, lambda x, k: F.when((k > 0) & (F.get(r, F.greatest(k - 1, F.lit(0)))["item"]["word"] == x["item"]["word"]), x["n"].cast("double") * F.get(r, F.greatest(k - 1, F.lit(0)))["n"]).otherwise(0.0))
+        return F.when((squares[0] == 0) | (squares[1] == 0), F.lit(0.0)).otherwise(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / (F.sqrt(squares[0]) * F.sqrt(squares[1])))
 
-def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the token counts of two texts; 0 if either has no tokens. The tokens are bound once."""
-    both = F.array(F.struct(F.array_sort(memory_tokens(a)).alias("x"), F.array_sort(memory_tokens(b)).alias("y")))
+    return bound(runs(F.concat(of(a, 0), of(b, 1))), cosine)
+
+
+def grams(text: Column, n: int) -> Column:
+    """Distinct strings of ``n`` neighbouring characters; none if the text is shorter. Linear in the text."""
 
-    def cosine(s: Column) -> Column:
-        x, y = s["x"], s["y"]
-        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(_meetings(x, y) / (F.sqrt(_meetings(x, x)) * F.sqrt(_meetings(y, y))))
+    def joined(chars: Column) -> Column:
+        last = F.size(chars) - n
+        places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))))
 
-    return F.transform(both, cosine)[0]
+    return bound(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), joined)
 
 
 def word_count(text: Column) -> Column:

@@ -11,7 +11,7 @@ from memjobs.functions import render
 from memjobs.functions import text as X
 from memjobs.functions.embed import embed_once
 from memjobs.operators import hierarchy
-from memjobs.operators.vectors import ranked, similarity
+from memjobs.operators.vectors import ranked, scoped_top_k
 
 
 def full_context(turns: DataFrame) -> DataFrame:
@@ -37,9 +37,11 @@ def provenance(qa: DataFrame, keys: list[str]) -> DataFrame:
 def _near(asked: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Nearest items of a query's own conversation; ``items`` (conv_id, id, text)."""
     q = embed_once(asked.select("conv_id", "query_id", "question"), "question", "query")
-    i = embed_once(items, "text").select("conv_id", "id", F.col("text").alias("document"), "embedding")
-    pairs = q.join(i, "conv_id").select("query_id", "conv_id", "id", "document", F.round(similarity(F.col("query"), F.col("embedding")), 9).alias("similarity"))
-    return ranked(pairs, k)
+    i = embed_once(items, "text")
+    found = scoped_top_k(q.select("query_id", "query"), q.select("query_id", "conv_id"), i.select("id", "conv_id", "embedding"), k, "conv_id")
+    # ids are unique within a conversation
+    documents = items.select("conv_id", "id", F.col("text").alias("document"))
+    return found.join(asked.select("query_id", "conv_id"), "query_id").join(documents, ["conv_id", "id"]).select("query_id", "conv_id", "id", "document", "similarity", "rank")
 
 
 def flat_retrieval(turns: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ trees stay where they are, without a shuffle. Sizes are kept and subtracted, not
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -78,18 +79,47 @@ def cut_by_a_fifth(text: str) -> str:
 
 
 class _Fit:
-    """A tree and its size in bytes; ``total`` follows every change."""
+    """A tree and its size in bytes; ``total`` and the sizes of its nodes follow every change. Removed nodes are marked, and
+    taken out of their lists at the end, so that a removal takes the same time in a tree of any size."""
 
     def __init__(self, tree: Tree, budget: int, count: Callable[[Tree], int] | None):
         self.tree, self.budget, self.count = tree, budget, count
         self.total = size_of(tree)
+        self.gone: set[int] = set()
+        self.left = {id(tree): len(tree)}
+        self.sizes: dict[int, int] = {}
+        for e in tree:
+            self.left[id(e["segments"])] = len(e["segments"])
+            for s in e["segments"]:
+                self.left[id(s["qas"])] = len(s["qas"])
 
     def over(self) -> bool:
-        return (self.count(self.tree) if self.count else -(-self.total // 3)) > self.budget
-
-    def drop(self, items: list, node: dict) -> None:
-        self.total -= size_of(node) + (len(items) > 1)  # with its comma
-        items.remove(node)
+        return (self.count(self.pruned()) if self.count else -(-self.total // 3)) > self.budget
+
+    def size(self, node: dict) -> int:
+        """Of a node as it is now; counted once and then followed."""
+        if id(node) not in self.sizes:
+            self.sizes[id(node)] = size_of(node)
+        return self.sizes[id(node)]
+
+    def drop(self, items: list, node: dict, *above: dict) -> None:
+        around = [self.size(n) for n in above]
+        saved = self.size(node) + (self.left[id(items)] > 1)  # with its comma
+        self.gone.add(id(node))
+        self.left[id(items)] -= 1
+        self.total -= saved
+        for n, size in zip(above, around, strict=True):
+            self.sizes[id(n)] = size - saved
+
+    def pruned(self) -> Tree:
+        """The tree without what was removed."""
+        if self.gone:
+            self.tree[:] = [e for e in self.tree if id(e) not in self.gone]
+            for e in self.tree:
+                e["segments"][:] = [s for s in e["segments"] if id(s) not in self.gone]
+                for s in e["segments"]:
+                    s["qas"][:] = [q for q in s["qas"] if id(q) not in self.gone]
+        return self.tree
 
     def keep_sections(self) -> None:
         for e in self.tree:
@@ -115,6 +145,9 @@ def fit(
     ``least_segments`` stay in all; 3. experiences, within both minima; 4. summaries reduced to their kept sections, then
     cut to the limits of ``clips``;
     5. the longest exchange text cut by a quarter, down to 96 characters, 256 times at most.
+
+    Each step takes its nodes from a queue that is filled once: what a removal changes elsewhere only makes nodes that wait
+    unfit to go, for good, and such are skipped when their turn comes. So a tree of n nodes takes n log n steps.
     """
     tree = json.loads(json.dumps(tree))
     tree.sort(key=lambda e: (-experience_score(e), e["id"]))
@@ -126,28 +159,31 @@ def fit(
     done: dict = {"tokens_before": (count or tokens)(tree), "removed_qa": [], "removed_segments": [], "removed_experiences": [], "clipped": 0}
     n_exp, n_seg = len(tree), sum(len(e["segments"]) for e in tree)
     least_experiences, least_segments = min(least_experiences, n_exp), min(least_segments, n_seg)
-    for q, s in sorted(((q, s) for e in tree for s in e["segments"] for q in s["qas"]), key=lambda x: (x[0]["local_score"], x[0]["id"])):
+    for q, s, e in sorted(((q, s, e) for e in tree for s in e["segments"] for q in s["qas"]), key=lambda x: (x[0]["local_score"], x[0]["id"])):
         if not f.over():
             break
-        if len(s["qas"]) > 1:
-            f.drop(s["qas"], q)
+        if f.left[id(s["qas"])] > 1:
+            f.drop(s["qas"], q, s, e)
             done["removed_qa"].append(q["id"])
-    while f.over() and n_seg > least_segments:
-        free = [(segment_score(s), s["id"], e, s) for e in tree for s in e["segments"] if len(e["segments"]) > 1]
-        if not free:
+    f.pruned()
+    waiting = sorted(((segment_score(s), s["id"], k, e, s) for k, (e, s) in enumerate((e, s) for e in tree for s in e["segments"])), key=lambda x: x[:3]) if f.over() else []
+    for _, name, _, e, s in waiting:
+        if n_seg <= least_segments or not f.over():
             break
-        _, name, e, s = min(free, key=lambda x: x[:2])
-        f.drop(e["segments"], s)
-        n_seg -= 1
-        done["removed_segments"].append(name)
-    while f.over() and n_exp > least_experiences:
-        free = [(experience_score(e), e["id"], e) for e in tree if n_seg - len(e["segments"]) >= least_segments]
-        if not free:
+        if f.left[id(e["segments"])] > 1:  # once an experience has one segment left, it keeps it
+            f.drop(e["segments"], s, e)
+            n_seg -= 1
+            done["removed_segments"].append(name)
+    f.pruned()
+    waiting = sorted(((experience_score(e), e["id"], k, e) for k, e in enumerate(tree)), key=lambda x: x[:3]) if f.over() else []
+    for _, name, _, e in waiting:
+        if n_exp <= least_experiences or not f.over():
             break
-        _, name, e = min(free, key=lambda x: x[:2])
-        f.drop(tree, e)
-        n_exp, n_seg = n_exp - 1, n_seg - len(e["segments"])
-        done["removed_experiences"].append(name)
+        if n_seg - len(e["segments"]) >= least_segments:  # the left side only falls
+            f.drop(tree, e)
+            n_exp, n_seg = n_exp - 1, n_seg - len(e["segments"])
+            done["removed_experiences"].append(name)
+    f.pruned()
     if f.over():
         f.keep_sections()
     for top, low in clips:
@@ -156,12 +192,16 @@ def fit(
                 f.put(e, "summary", shortened(e["summary"], top))
                 for s in e["segments"]:
                     f.put(s, "summary", shortened(s["summary"], low))
+    fields = enumerate((q, c) for e in tree for s in e["segments"] for q in s["qas"] for c in ("assistant_output", "user_input"))
+    longest = [(-len(q[c]), k, q, c) for k, (q, c) in fields if len(q[c] or "") > 96] if f.over() else []
+    heapq.heapify(longest)  # of equally long ones the first, as their places differ
     for _ in range(256):
-        texts = [(len(q[c]), q, c) for e in tree for s in e["segments"] for q in s["qas"] for c in ("assistant_output", "user_input") if len(q[c] or "") > 96]
-        if not texts or not f.over():
+        if not longest or not f.over():
             break
-        n, q, c = max(texts, key=lambda x: x[0])
-        f.put(q, c, q[c][: max(96, int(n * 0.75)) - 1].rstrip() + "…")
+        n, k, q, c = heapq.heappop(longest)
+        f.put(q, c, q[c][: max(96, int(-n * 0.75)) - 1].rstrip() + "…")
+        if len(q[c]) > 96:
+            heapq.heappush(longest, (-len(q[c]), k, q, c))
         done["clipped"] += 1
     done["tokens_after"] = (count or tokens)(tree)
     done["context_overflow_unresolved"] = f.over()
@@ -181,6 +221,7 @@ def fit_branches(tree: Tree, budget: int = 30_000, least_experiences: int = 6, c
     while f.over() and len(tree) > max(1, least_experiences):
         removed.append(tree[-1]["id"])
         f.drop(tree, tree[-1])
+        tree.pop()
     if f.over():
         f.keep_sections()
     for _ in range(24):

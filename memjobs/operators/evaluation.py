@@ -126,27 +126,55 @@ def recount_audit(rows: DataFrame, by: str, text_col: str, stored: str) -> DataF
     return found.select(by, F.round("fresh", 6).alias("recounted"), F.round("kept", 6).alias("stored_mean"), F.round(F.col("fresh") - F.col("kept"), 6).alias("delta"))
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], points: list[int], buckets: int = 256) -> DataFrame:
+def percentiles(rows: DataFrame, value: str, by: list[str], points: list[int], cells: int = 4096) -> DataFrame:
     """The value at index max(0, int(n p / 100) - 1) of the sorted values of each group, for each p.
 
-    Rows are range-partitioned by group and value, so that a group of any size is sorted by several tasks; the counts of
-    the parts tell in which one a rank lies and where. Without ``by`` all rows are one group.
+    Selection by counting, with bounds that the values themselves fix, so that reading ``rows`` again can't change them:
+    the range of a group is cut into ``cells`` equal parts, which are counted; the cell in which a rank lies is cut again
+    between its least and largest value; only what lies in that second cell is sorted. A group of any size is counted by
+    all tasks (partial aggregation), and a row for each cell is what moves. Infinite values and NaN, which is the largest, lie
+    in cells of their own. Without ``by`` all rows are one group. Nulls don't count.
     """
-    keys = [F.col(c) for c in by]
-    spread = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")).repartitionByRange(buckets, *keys, "v").withColumn("part", F.spark_partition_id())
-    counts = spread.groupBy(*by, "part").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*(by or [F.lit(1)]))
-    # a row for each group and part that it reaches: at most ``buckets`` more than groups
-    before = counts.select(*by, "part", (F.sum("n").over(group.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"))
-    local = spread.withColumn("i", F.row_number().over(Window.partitionBy("part", *by).orderBy("v")) - 1)
-    if by:
-        named = before.withColumnsRenamed({c: f"__{c}" for c in by}).withColumnRenamed("part", "__part")
-        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-        placed = local.join(named, [F.col("part") == F.col("__part"), *same])
-    else:
-        placed = local.join(before, "part")
-    at = [F.max(F.when(F.col("i") + F.col("before") == F.greatest(F.lit(0), F.floor(F.col("total") * p / 100).cast("long") - 1), F.col("v"))).alias(f"p{p}") for p in points]
-    return placed.groupBy(*by).agg(*at)
+    keys = [f"__k{i}" for i in range(max(1, len(by)))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)] if by else [F.lit(0).alias(keys[0])]
+    d = F.col(value).cast("double")
+    finite = F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+    base = rows.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("v"), d.alias("d"), finite.alias("f"))
+
+    def cell(low: Column, high: Column) -> Column:
+        inside = F.least(F.lit(cells - 1), F.floor((F.col("f") / 2 - low / 2) / (high / 2 - low / 2) * cells)).cast("int")
+        return F.when(F.isnan("d"), cells + 1).when(F.col("f").isNull(), F.when(F.col("d") > 0, cells).otherwise(-1)).when(high == low, 0).otherwise(inside)
+
+    def matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        other = right.withColumnsRenamed({c: f"__r{c}" for c in on})
+        return left.join(other, [F.col(c).eqNullSafe(F.col(f"__r{c}")) for c in on]).drop(*(f"__r{c}" for c in on))
+
+    def narrowed(counted: DataFrame, wanted: DataFrame | None, path: list[str], at: str) -> DataFrame:
+        """Of the counted cells of ``path``, those in which the wanted ranks lie, and the ranks counted from there."""
+        counts = counted.groupBy(*path, at).agg(F.count("*").alias("n"), F.min("f").alias("low"), F.max("f").alias("high"))
+        w = Window.partitionBy(*path)  # a row for each cell
+        placed = counts.withColumns({"total": F.sum("n").over(w), "before": F.sum("n").over(w.orderBy(at)) - F.col("n")})
+        if wanted is None:
+            rank = [F.struct(F.lit(p).alias("p"), F.greatest(F.lit(0), F.floor(F.col("total") * p / 100).cast("long") - 1).alias("rank")) for p in points]
+            placed = placed.withColumn("of", F.explode(F.array(*rank))).select(*path, at, "n", "low", "high", "before", "of.*")
+        else:
+            placed = matched(placed, wanted.select(*path, "p", "rank"), path)
+        return placed.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*path, at, "low", "high", "p", (F.col("rank") - F.col("before")).alias("rank"))
+
+    ends = base.groupBy(*keys).agg(F.min("f").alias("low"), F.max("f").alias("high"))
+    first = matched(base, ends, keys).withColumn("c1", cell(F.col("low"), F.col("high"))).drop("low", "high")
+    found = narrowed(first, None, keys, "c1")
+    second = matched(first, found.select(*keys, "c1", "low", "high").distinct(), [*keys, "c1"]).withColumn("c2", cell(F.col("low"), F.col("high"))).drop("low", "high")
+    found = narrowed(second, found, [*keys, "c1"], "c2")
+    path = [*keys, "c1", "c2"]
+    last = matched(second, found.select(*path).distinct(), path)
+    times = last.groupBy(*path, "v").agg(F.count("*").alias("n"))  # copies of a value are one row
+    upto = times.withColumn("upto", F.sum("n").over(Window.partitionBy(*path).orderBy("v")))
+    hit = matched(upto, found.select(*path, "p", "rank"), path).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    out = hit.groupBy(*keys).agg(*(F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in points))
+    if not by:  # one row even where nothing counts
+        return out.drop(*keys).groupBy().agg(*(F.max(f"p{p}").alias(f"p{p}") for p in points))
+    return out.withColumnsRenamed(dict(zip(keys, by)))
 
 
 def reduction(off: Column, on: Column) -> Column:

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memjobs.operators import baselines
+from memjobs.functions import text as X
+from memjobs.operators import baselines, hierarchy
 
 
 def call_model(rows: DataFrame, prompt_col: str, model: Callable[[list[str]], list[str]], fallback: str = "", retries: int = 1, batch: int = 64) -> DataFrame:
@@ -87,6 +88,64 @@ class FlatRetrieval:
         return baselines.flat_retrieval(self.turns, questions, self.k)
 
 
+class RecentTurns:
+    """Remembers the order of a conversation: a question that is asked at a turn gets that turn and those before it, ``n`` in all.
+
+    Questions carry ``turn_ord``, the turn at which they are asked.
+    """
+
+    name = "recent_turns"
+
+    def __init__(self, n: int = 5):
+        self.n = n
+
+    def build(self, turns: DataFrame) -> None:
+        w = Window.partitionBy("conv_id").orderBy("session_num", "turn_ord").rowsBetween(1 - self.n, 0)
+        line = X.turn_text(F.col("speaker"), F.col("text"))
+        self.memory = turns.select("conv_id", "turn_ord", F.collect_list(F.struct("dia_id", line.alias("line"))).over(w).alias("r"))
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        newest = questions.select("query_id", "conv_id", "turn_ord").join(self.memory, ["conv_id", "turn_ord"]).withColumn("r", F.reverse("r"))
+        return newest.select("query_id", F.col("r.dia_id").alias("retrieved_ids"), F.array_join("r.line", "\n").alias("context"))
+
+
+class NoteSearch:
+    """Remembers turns as linked notes: a question gets the best of a blend of keywords and vectors."""
+
+    name = "note_search"
+
+    def __init__(self, k: int = 5):
+        self.k = k
+
+    def build(self, turns: DataFrame) -> None:
+        self.turns = turns
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        found = baselines.note_search_of_turns(self.turns, questions, self.k)
+        notes = self.turns.select(F.concat_ws("/", "conv_id", "dia_id").alias("id"), "dia_id", "text")
+        ranked = F.array_sort(F.collect_list(F.struct("rank", "dia_id", "text")))
+        rows = found.join(notes, "id").groupBy("query_id").agg(ranked.alias("r"))
+        return rows.select("query_id", F.col("r.dia_id").alias("retrieved_ids"), F.array_join("r.text", "\n").alias("context"))
+
+
+class Layers:
+    """Remembers exchanges and, if asked for, the segments above them; only exchanges count as retrieved.
+
+    ``extract`` makes topic records of turns.
+    """
+
+    def __init__(self, extract: Callable[[DataFrame], DataFrame], top_qa: int = 5, top_segment: int = 3, segments: bool = True):
+        self.extract, self.top_qa, self.top_segment, self.segments = extract, top_qa, top_segment, segments
+        self.name = "exchanges_and_segments" if segments else "exchanges"
+
+    def build(self, turns: DataFrame) -> None:
+        self.memory = hierarchy.exact_topic_memory(self.extract(turns))
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        found = baselines.layer_retrieval(self.memory, questions, self.top_qa, self.top_segment)
+        return found.select("query_id", "retrieved_ids", F.col("context" if self.segments else "qa_context").alias("context"))
+
+
 def compare(methods: list[MemoryMethod], turns: DataFrame, questions: DataFrame) -> DataFrame:
     """The retrievals of every method for the same questions, with ``method``."""
     out = None

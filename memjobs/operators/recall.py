@@ -66,11 +66,40 @@ def searchable(rows: DataFrame, level: str) -> Column:
     return F.lower(F.concat_ws(" ", *(F.array_join(n, " ") if kinds[n].startswith("array") else F.col(n) for n in names)))
 
 
-def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms: Column | None = None) -> DataFrame:
-    """Rows whose searchable text contains a keyword of the query; the newest first.
+#: Characters of an index entry; terms of fewer characters look up entries of their own length.
+GRAM = 3
+
+
+def keyword_candidates(asked: DataFrame, given: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(query_id, conv_id, id, terms): rows whose text may contain one of the terms, by an inverted index of character n-grams.
 
-    The terms are exploded and joined inside the conversation, so a query never meets other conversations' rows.
+    ``asked`` (query_id, conv_id, terms), ``given`` (conv_id, id, text). A text that contains a term has all of its grams,
+    so a term looks up only the rarest of them in its conversation, by an equi-join; a term with a gram that no text has
+    is dropped. The index lists the grams that some query of the conversation asks for, so a text makes one row for each
+    of these that it has. Without false negatives; the texts are still to be compared with the ``terms`` that led to them.
     """
+    each = asked.select("query_id", "conv_id", F.explode("terms").alias("term"))
+    sized = F.when(F.length("term") >= gram, X.grams(F.col("term"), gram)).otherwise(F.array("term"))
+    pieces = each.withColumn("piece", F.explode(sized))
+    wanted = pieces.groupBy("conv_id").agg(F.collect_set("piece").alias("wanted"), F.collect_set(F.length("piece")).alias("sizes"))  # distinct grams, however many queries
+    met = given.join(wanted, "conv_id")
+    own = F.flatten(F.array(*(F.when(F.array_contains("sizes", n), X.grams(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1))))
+    index = met.select("conv_id", "id", F.explode(F.array_intersect(own, F.col("wanted"))).alias("piece"))
+    counts = index.groupBy("conv_id", "piece").agg(F.count("*").alias("n"))
+    known = pieces.join(counts, ["conv_id", "piece"], "left")
+    rarest = known.groupBy("query_id", "conv_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("r")).where("r.n > 0")
+    found = rarest.select("query_id", "conv_id", "term", F.col("r.piece").alias("piece")).join(index, ["conv_id", "piece"])
+    return found.groupBy("query_id", "conv_id", "id").agg(F.collect_set("term").alias("terms"))
+
+
+def keyword_hits(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """(query_id, conv_id, id): rows whose text contains one of the terms."""
+    found = keyword_candidates(asked, given).join(given.select("conv_id", "id", "text"), ["conv_id", "id"])
+    return found.where(F.exists("terms", lambda t: F.contains(F.col("text"), t))).select("query_id", "conv_id", "id")
+
+
+def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms: Column | None = None) -> DataFrame:
+    """Rows whose searchable text contains a keyword of the query; the newest first. Looked up in an index of n-grams."""
     id_col = LEVELS[level]
     if terms is None:
         terms = X.keyword_terms(keyword_text(), F.col("topic"), F.col("core_entity"), F.col("intent"))
@@ -78,8 +107,8 @@ def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms:
     order = "seq" if level == "qa" else "updated_at"
     given = rows.where("status = 'active'") if "status" in rows.columns else rows
     given = given.select("conv_id", F.col(id_col).alias("id"), F.col(order).alias("updated_at"), searchable(rows, level).alias("text"))
-    found = asked.join(given, "conv_id").where(F.exists("terms", lambda t: F.contains(F.col("text"), t))).select("query_id", "id", "updated_at")
-    return first(found, ["query_id"], [F.desc("updated_at"), F.col("id")], limit)
+    found = keyword_hits(asked, given).join(given.select("conv_id", "id", "updated_at"), ["conv_id", "id"])
+    return first(found.select("query_id", "id", "updated_at"), ["query_id"], [F.desc("updated_at"), F.col("id")], limit)
 
 
 def keyword_text() -> Column:
@@ -95,7 +124,7 @@ def qa_search(queries: DataFrame, qa: DataFrame, limit: int = 40) -> DataFrame:
     named = asked.join(given, ["conv_id", "value"]).select("query_id", "id")
     text = F.lower(F.concat_ws(" ", "user_input", "assistant_output", "intent"))
     terms = queries.select("query_id", "conv_id", X.keyword_terms(keyword_text()).alias("terms")).where(F.size("terms") > 0)
-    told = terms.join(active.select("conv_id", F.col("qa_id").alias("id"), text.alias("text")), "conv_id").where(F.exists("terms", lambda t: F.contains(F.col("text"), t))).select("query_id", "id")
+    told = keyword_hits(terms, active.select("conv_id", F.col("qa_id").alias("id"), text.alias("text"))).select("query_id", "id")
     every = same.union(named).union(told).distinct().join(active.select(F.col("qa_id").alias("id"), F.col("seq").alias("updated_at")), "id")
     return first(every, ["query_id"], [F.desc("updated_at"), F.col("id")], limit)
 

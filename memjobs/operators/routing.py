@@ -1,13 +1,14 @@
 """Routing of ordered topic records into experiences and segments, with vectors: sequential within a conversation.
 
 ``Router`` holds the state of one conversation and is a pure fold: the batch job and the streaming job share it, so
-both give the same rows. Rows are sorted in their partitions and streamed, so memory holds one conversation's state.
+both give the same rows. Rows are sorted in their partitions and streamed, so a task holds one conversation's state, which
+grows with its topics and segments, not with its records. A record takes the same time whatever came before; a change of
+topic compares one vector for each experience.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import numpy as np
 import pandas as pd
@@ -24,86 +25,122 @@ OUTPUT = (
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
+class Memory:
+    """A conversation's state, entry by entry, so that a step reads and writes only the entries that it touches.
+
+    ``head``: seq, current, turn, rec, size (number of experiences). ``experiences``: by number, the fields of
+    ``EXPERIENCE``. ``segments``: by (experience, number), the fields of ``SEGMENT``. ``intents``: (experience, intent) seen.
+    The three are mappings; a streaming job puts its keyed state behind them.
+    """
+
+    EXPERIENCE = ("topic", "core_entity", "sums", "segments", "recent", "version", "fresh")
+    SEGMENT = ("intent", "size", "fresh", "version")
+
+    def __init__(self, head: dict | None = None, experiences: MutableMapping | None = None, segments: MutableMapping | None = None, intents: MutableMapping | None = None):
+        self.head = head or {"seq": 0, "current": -1, "turn": -1, "rec": -1, "size": 0}
+        self.experiences, self.segments, self.intents = ({} if m is None else m for m in (experiences, segments, intents))
+
+
 class Router:
-    """State: experiences with their segments, the current ones, and counters since the last summaries."""
+    """Routes one conversation's records in order. State: its experiences with their segments, and the counters since the last summaries.
+
+    An experience's document is its topic, entity, intents and the intents of the three segments touched last. The embedder adds
+    up tokens, so ``sums`` holds the part that only grows, and a record adds its new intent; nothing is embedded again.
+    """
 
-    def __init__(self, conv_id, embedder: HashingEmbedder | None = None, match: float = MATCH, every: int = SUMMARY_EVERY, state: str | None = None):
+    def __init__(self, conv_id, embedder: HashingEmbedder | None = None, match: float = MATCH, every: int = SUMMARY_EVERY, memory: Memory | None = None):
         self.conv_id, self.match, self.every = conv_id, match, every
         self.embed = embedder or HashingEmbedder()
-        self.seq, self.current, self.last = 0, None, (-1, -1)
-        self.experiences: list[dict] = []
-        if state:
-            kept = json.loads(state)
-            self.seq, self.current, self.experiences, self.last = kept["seq"], kept["current"], kept["experiences"], tuple(kept["last"])
-        self.vectors = [self.embed(self._document(e)) for e in self.experiences]
+        self.memory = memory or Memory()
+        self.vectors: np.ndarray | None = None
 
-    def state(self) -> str:
-        return json.dumps({"seq": self.seq, "current": self.current, "experiences": self.experiences, "last": list(self.last)})
+    @property
+    def last(self) -> tuple[int, int]:
+        return self.memory.head["turn"], self.memory.head["rec"]
 
-    @staticmethod
-    def _document(e: dict) -> str:
-        recent = sorted(e["segments"], key=lambda s: -s["updated"])[:3]
-        return "\n".join([f"Topic: {e['topic']}", f"Entity: {e['core_entity']}", f"Intent: {', '.join(e['intents'])}", " ".join(s["intent"] for s in recent)])
+    def _vector(self, number: int) -> np.ndarray:
+        m = self.memory
+        e = m.experiences[number]
+        total = np.array(e["sums"], dtype=np.float64)
+        for s in e["recent"]:
+            total = total + self.embed.token_sum(m.segments[number, s]["intent"])
+        return self.embed.scaled(total)
 
     def _nearest(self, topic: str, core_entity: str) -> int | None:
-        if not self.vectors:
+        """Reads every experience's vector, once for a router; later ones follow the records."""
+        size = self.memory.head["size"]
+        if not size:
             return None
-        query = self.embed(f"Topic: {topic}\nEntity: {core_entity}")
-        near = np.clip(np.array(self.vectors) @ query, 0, 1)
+        if self.vectors is None:
+            self.vectors = np.array([self._vector(i) for i in range(size)])
+        near = np.clip(self.vectors[:size] @ self.embed(f"Topic: {topic}\nEntity: {core_entity}"), 0, 1)
         best = int(np.lexsort((np.arange(len(near)), -np.round(near, 12)))[0])
         return best if near[best] >= self.match else None
 
-    def _summarise_segment(self, e: dict) -> None:
-        if e["segments"] and e["segments"][e["at"]]["size"]:
-            s = e["segments"][e["at"]]
-            s["version"], s["fresh"] = s["version"] + 1, 0
-
-    def _summarise_experience(self, e: dict) -> None:
-        e["version"], e["fresh"] = e["version"] + 1, 0
+    def _summarise_segment(self, number: int) -> None:
+        m = self.memory
+        e = m.experiences[number]
+        if e["recent"]:
+            at = number, e["recent"][0]
+            s = m.segments[at]
+            if s["size"]:
+                m.segments[at] = {**s, "version": s["version"] + 1, "fresh": 0}
+
+    def _summarise_experience(self, number: int) -> None:
+        e = self.memory.experiences[number]
+        self.memory.experiences[number] = {**e, "version": e["version"] + 1, "fresh": 0}
+
+    def _opened(self, topic: str, core_entity: str) -> int:
+        m = self.memory
+        number = m.head["size"]
+        sums = self.embed.token_sum(f"Topic: {topic}\nEntity: {core_entity}\nIntent: ")
+        m.experiences[number] = {"topic": topic, "core_entity": core_entity, "sums": sums.tolist(), "segments": 0, "recent": [], "version": 1, "fresh": 0}
+        m.head["size"] = number + 1
+        if self.vectors is not None:
+            if number >= len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros((max(16, len(self.vectors)), self.embed.dimensions))])
+            self.vectors[number] = 0
+        return number
 
     def add(self, topic: str, core_entity: str, intent: str) -> dict:
         """Route one record; returns its ids, the action and the versions after it."""
-        self.seq += 1
-        action = "append_segment"
-        if self.current is None or self.experiences[self.current]["topic"] != topic:
-            if self.current is not None:
-                before = self.experiences[self.current]
-                self._summarise_segment(before)
-                self._summarise_experience(before)
+        m = self.memory
+        m.head["seq"] += 1
+        action, now = "append_segment", m.head["current"]
+        if now < 0 or m.experiences[now]["topic"] != topic:
+            if now >= 0:
+                self._summarise_segment(now)
+                self._summarise_experience(now)
             found = self._nearest(topic, core_entity)
-            if found is None:
-                self.experiences.append({"topic": topic, "core_entity": core_entity, "intents": [], "segments": [], "at": -1, "version": 1, "fresh": 0})
-                self.vectors.append(np.zeros(self.embed.dimensions))
-                found, action = len(self.experiences) - 1, "new_experience"
-            else:
-                action = "switch_experience"
-                e = self.experiences[found]
-                e["at"] = max(range(len(e["segments"])), key=lambda i: e["segments"][i]["updated"]) if e["segments"] else -1
-            self.current = found
-        e = self.experiences[self.current]
-        segment = e["segments"][e["at"]] if e["segments"] else None
+            action = "new_experience" if found is None else "switch_experience"
+            now = m.head["current"] = self._opened(topic, core_entity) if found is None else found
+        e = m.experiences[now]
+        at = e["recent"][0] if e["recent"] else None
+        segment = None if at is None else m.segments[now, at]
         if segment is None or cuts(intent, segment["intent"], segment["size"]):
             if segment is not None:
-                self._summarise_segment(e)
-            e["segments"].append({"intent": intent, "size": 0, "fresh": 0, "version": 1, "updated": self.seq})
-            e["at"] = len(e["segments"]) - 1
-            e["fresh"] += 1
+                self._summarise_segment(now)
+            at = e["segments"]
+            segment = {"intent": intent, "size": 0, "fresh": 0, "version": 1}
+            e = {**e, "segments": at + 1, "fresh": e["fresh"] + 1}
             action = "new_segment" if action == "append_segment" else action
-        segment = e["segments"][e["at"]]
-        segment["size"] += 1
-        segment["fresh"] += 1
-        segment["updated"] = self.seq
+        segment = {**segment, "size": segment["size"] + 1, "fresh": segment["fresh"] + 1}
         if segment["fresh"] >= self.every:
-            self._summarise_segment(e)
-        if intent not in e["intents"]:
-            e["intents"].append(intent)
+            segment = {**segment, "version": segment["version"] + 1, "fresh": 0}
+        m.segments[now, at] = segment
+        if not e["recent"] or e["recent"][0] != at:
+            e = {**e, "recent": [at, *(s for s in e["recent"] if s != at)][:3]}
+        if (now, intent) not in m.intents:
+            m.intents[now, intent] = True
+            e = {**e, "sums": (np.array(e["sums"]) + self.embed.token_sum(intent)).tolist()}
         if e["fresh"] >= self.every:
-            self._summarise_experience(e)
-        self.vectors[self.current] = self.embed(self._document(e))
-        number = self.current + 1
+            e = {**e, "version": e["version"] + 1, "fresh": 0}
+        m.experiences[now] = e
+        if self.vectors is not None:
+            self.vectors[now] = self._vector(now)
         return {
-            "seq": self.seq, "topic": topic, "intent": intent, "qa_id": f"qa_{self.conv_id}_{self.seq}", "segment_id": f"seg_{self.conv_id}_{number}_{e['at'] + 1}",
-            "experience_id": f"exp_{self.conv_id}_{number}", "action": action, "segment_version": segment["version"], "experience_version": e["version"],
+            "seq": m.head["seq"], "topic": topic, "intent": intent, "qa_id": f"qa_{self.conv_id}_{m.head['seq']}", "segment_id": f"seg_{self.conv_id}_{now + 1}_{at + 1}",
+            "experience_id": f"exp_{self.conv_id}_{now + 1}", "action": action, "segment_version": segment["version"], "experience_version": e["version"],
         }
 
 
@@ -112,7 +149,7 @@ def route_frame(router: Router, frame: pd.DataFrame) -> list[dict]:
     out = []
     for turn, rec, topic, entity, intent in zip(*(frame[c] for c in ("turn_ord", "rec_ord", "topic", "core_entity", "intent")), strict=True):
         out.append({"conv_id": router.conv_id, "turn_ord": turn, "rec_ord": rec, **router.add(topic, entity, intent)})
-        router.last = (int(turn), int(rec))
+        router.memory.head |= {"turn": int(turn), "rec": int(rec)}
     return out
 
 

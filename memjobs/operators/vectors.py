@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 #: Queries and items that are multiplied at once.
 BLOCK, SLICE = 2048, 4096
-#: Items of a part, where the queries are too many to send to every task.
-PART = 1 << 18
+#: Items of a part, where the queries are too many to send to every task; of one parent, where items are searched by parent.
+PART, SCOPE_PART = 1 << 18, 1 << 14
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -81,25 +81,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1 if len(sizes) and sizes[0] else 0))
 
 
+def _ids(batch: pa.RecordBatch, name: str = "id") -> np.ndarray:
+    """Whole numbers or texts, in an array that sorts them as Spark does."""
+    column = batch.column(name)
+    return np.array(column.to_pylist(), dtype=np.str_) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else np.asarray(column, dtype=np.int64)
+
+
+def _once(items: pa.RecordBatch) -> pa.RecordBatch:
+    """Without repeats of an id with the same vector and scope, which would take the place of others."""
+    ids = items.column("id").to_pylist()
+    if len(set(ids)) == len(ids):
+        return items
+    rows = zip(ids, items.column("s").to_pylist(), map(tuple, items.column("v").to_pylist()), strict=True)
+    return items.take(list({row: k for k, row in reversed(list(enumerate(rows)))}.values())[::-1])
+
+
 class _Nearest:
     """The first ``k`` items of each of some queries, by similarity and then id, of all items added so far."""
 
     def __init__(self, asked: pa.RecordBatch, k: int, scoped: bool, least: float | None):
         self.k, self.scoped = k, scoped
-        self.ids, self.matrix = np.asarray(asked.column("id")), _matrix(asked.column("v"))
+        self.ids, self.matrix = _ids(asked, "q" if "q" in asked.schema.names else "id"), _matrix(asked.column("v"))
         self.scopes = np.array(asked.column("s").to_pylist(), dtype=object)
-        self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, _ids(asked.slice(0, 0)).dtype), np.empty(0)
         self.floor = np.full(len(self.ids), least or 0.0)
 
     def add(self, items: pa.RecordBatch) -> None:
+        items = _once(items)
         score = np.round(np.clip(self.matrix @ _matrix(items.column("v")).T, 0.0, 1.0), 12)
         if self.scoped:
             score[self.scopes[:, None] != np.array(items.column("s").to_pylist(), dtype=object)[None, :]] = -1.0
         np.nan_to_num(score, copy=False, nan=-1.0)
         k = min(self.k, score.shape[1])
         row, at = np.nonzero(score >= np.maximum(self.floor, np.partition(score, -k, axis=1)[:, -k])[:, None])
-        row, item, score = (np.concatenate(c) for c in ((self.row, row), (self.item, np.asarray(items.column("id"))[at]), (self.score, score[row, at])))
+        row, item, score = (np.concatenate(c) for c in ((self.row, row), (self.item, _ids(items)[at]), (self.score, score[row, at])))
         order = np.lexsort((item, -score, row))
+        again = np.zeros(len(order), dtype=bool)  # a repeated item takes one place
+        again[1:] = (row[order[1:]] == row[order[:-1]]) & (item[order[1:]] == item[order[:-1]]) & (score[order[1:]] == score[order[:-1]])
+        order = order[~again]
         order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < self.k]
         self.row, self.item, self.score = row[order], item[order], score[order]
         counts = np.bincount(self.row, minlength=len(self.ids))
@@ -107,7 +126,7 @@ class _Nearest:
         self.floor[full] = self.score[(np.cumsum(counts) - 1)[full]]
 
     def found(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row].astype(np.int64)), pa.array(self.item), pa.array(self.score)], names=["query_id", "id", "similarity"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.item), pa.array(self.score)], names=["query_id", "id", "similarity"])
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -154,14 +173,38 @@ def _pairwise(k: int, scoped: bool, least: float | None):
     return run
 
 
-def scoped_top_k(queries: DataFrame, scope: DataFrame, items: DataFrame, k: int, parent: str) -> DataFrame:
-    """Nearest items among the children of a query's allowed parents.
+def scoped_top_k(queries: DataFrame, scope: DataFrame, items: DataFrame, k: int, parent: str, block: int = BLOCK, part: int = SCOPE_PART) -> DataFrame:
+    """Nearest items among the children of a query's allowed parents: query_id, id, similarity, rank.
 
     ``queries`` (query_id, query), ``scope`` (query_id, parent), ``items`` (id, parent, embedding). An empty scope gives
-    no rows; ``k`` holds for the whole scope. Joins on the parent, so only children of allowed parents are compared.
+    no rows; ``k`` holds for the whole scope. Only children of allowed parents are compared, and no row with a pair of
+    vectors is made: the items of a parent that has more than ``part`` of them are dealt into parts, its queries beyond
+    ``block`` into blocks, and a task streams each part past each block and hands on ``k`` rows a query. A hot parent is
+    thus spread over tasks, and a task holds one block. An item that several allowed parents have counts once.
     """
-    pairs = queries.join(scope.distinct(), "query_id").join(items, parent).select("query_id", "id", F.round(similarity(F.col("query"), F.col("embedding")), 12).alias("similarity"))
-    return ranked(pairs.distinct(), k)
+    wide = {"q": queries.schema["query_id"].dataType, "id": items.schema["id"].dataType}
+    wide = {c: "string" if isinstance(t, T.StringType) else "long" for c, t in wide.items()}
+    allowed = scope.select("query_id", F.col(parent).cast("string").alias("s")).where("s is not null").distinct()
+    asked = queries.select("query_id", F.col("query").cast("array<float>").alias("v")).where("v is not null").join(allowed, "query_id").withColumnRenamed("query_id", "of")
+    pool = items.select(F.col("id").alias("of"), F.col("embedding").cast("array<float>").alias("v"), F.col(parent).cast("string").alias("s")).where("v is not null and s is not null")
+
+    def large(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy("s").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1)
+
+    # only parents with several parts or blocks are listed, at most one for each ``part`` items or ``block`` queries
+    many = large(items.select(F.col(parent).cast("string").alias("s")), part, "parts").join(large(allowed, block, "blocks"), "s", "full_outer")
+
+    def dealt(rows: DataFrame, own: str, other: str, kind: int) -> DataFrame:
+        """Each row to its own block or part, and to all of the other side's."""
+        sized = rows.join(many, "s", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "blocks")})
+        sized = sized.withColumn(f"in_{own}", F.pmod(F.xxhash64("of"), F.col(own)).cast("int")).withColumn(f"in_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        ids = [F.col("of").cast(t).alias(c) if (c == "q") == (kind == 0) else F.lit(None).cast(t).alias(c) for c, t in wide.items()]
+        return sized.select(F.xxhash64("s", "in_blocks").alias("block"), F.col("in_parts").alias("part"), F.lit(kind).alias("kind"), *ids, "v", "s")
+
+    both = dealt(asked, "blocks", "parts", 0).union(dealt(pool.join(allowed.select("s").distinct(), "s", "left_semi"), "parts", "blocks", 1))
+    met = both.repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    found = met.mapInArrow(_pairwise(k, True, None), f"query_id {wide['q']}, id {wide['id']}, similarity double").distinct()
+    return ranked(found, k)
 
 
 def nearest_above(queries: DataFrame, items: DataFrame, least: float = 0.82, k: int = 5, **names) -> DataFrame:

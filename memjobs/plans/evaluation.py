@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from memjobs.functions import text as X
 from memjobs.operators import evaluation as E
+from memjobs.operators import models
 from memjobs.operators import vectors as V
 from memjobs.plans.scalar import PAIRS, pairs, s_answer, s_words
-from memjobs.plans.tables import QUERY_VECTORS, query_vectors, table, turns, vectors
+from memjobs.plans.tables import QUERY_VECTORS, query_id, query_vectors, table, turns, vectors
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -314,9 +315,16 @@ def h17(spark, sf_dir):
 
 @query(
     "h18_method_comparison",
-    """WITH x AS (SELECT m AS method, k, CASE WHEN m = 'one' OR k > 1 OR turn = -1 THEN 1 ELSE 0 END AS hit FROM conversations, (SELECT unnest(['one', 'two']) AS m), (SELECT unnest([1, 3]) AS k))
-    SELECT method, k, round(avg(hit), 6) AS avg_recall, round(avg(hit / k), 6) AS avg_precision, round(avg(CASE WHEN hit = 0 THEN 0.0 ELSE 2.0 * hit * (hit / k) / (hit + hit / k) END), 6) AS avg_f1, round(avg(hit), 6) AS avg_accuracy, count(*) AS n FROM x GROUP BY ALL""",
+    f"""WITH c AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), e AS (SELECT *, CASE WHEN turn > 0 THEN 2 ELSE 1 END AS n_evidence FROM c),
+    x AS (SELECT m AS method, k, n_evidence, CASE m WHEN 'full_context' THEN CAST(turn < k AND turn < n AS INT) + CAST(turn > 0 AND turn - 1 < k AND turn - 1 < n AS INT) ELSE 1 + CAST(k > 1 AND turn > 0 AS INT) END AS hits
+          FROM e, (SELECT unnest(['full_context', 'recent_turns']) AS m), (SELECT unnest([1, 3]) AS k)),
+    y AS (SELECT method, k, CAST(hits AS DOUBLE) / n_evidence AS recall, CAST(hits AS DOUBLE) / k AS precision, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS accuracy FROM x)
+    SELECT method, k, round(avg(recall), 6) AS avg_recall, round(avg(precision), 6) AS avg_precision, round(avg(CASE WHEN recall + precision = 0 THEN 0.0 ELSE 2 * recall * precision / (recall + precision) END), 6) AS avg_f1, round(avg(accuracy), 6) AS avg_accuracy, count(*) AS n FROM y GROUP BY ALL""",
 )
 def h18(spark, sf_dir):
-    _, at_k = _evaluated(spark, sf_dir)
-    return E.macro_average(at_k, ["method"])
+    """Two memory methods asked by every turn for itself and the turn before it."""
+    rows = turns(spark, sf_dir)
+    ids = F.filter(F.array(*(F.when(F.col("turn_ord") + d > 0, F.concat(F.lit("D1:"), (F.col("turn_ord") + d).cast("string"))) for d in (0, 1))), lambda i: i.isNotNull())
+    questions = rows.select("conv_id", "turn_ord", query_id(), F.col("text").alias("question"), ids.alias("evidence"))
+    found = models.compare([models.FullContext(), models.RecentTurns(3)], rows, questions).join(questions.select("query_id", "evidence"), "query_id")
+    return E.macro_average(E.retrieval_scores(found.select("method", "query_id", "retrieved_ids", "evidence"), [1, 3]), ["method"])

@@ -223,9 +223,9 @@ def h15(spark, sf_dir):
 
 @query("f2_flat_retrieval")
 def f2(spark, sf_dir):
-    """Every turn of a conversation retrieved for those whose number is divisible by 100."""
+    """Every turn asks for the nearest turns of its conversation."""
     rows = turns(spark, sf_dir)
-    asked = rows.where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
+    asked = rows.select("conv_id", query_id(), F.col("text").alias("question"))
     return baselines.flat_retrieval(rows, asked, 3)
 
 
@@ -244,12 +244,12 @@ def f3(spark, sf_dir):
 @query("f4_note_search")
 def f4(spark, sf_dir):
     rows = turns(spark, sf_dir)
-    asked = rows.where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
+    asked = rows.select("conv_id", query_id(), F.col("text").alias("question"))
     return baselines.note_search_of_turns(rows, asked, 5)
 
 
 @query("f5_layer_variants")
 def f5(spark, sf_dir):
     qa = memory(spark, sf_dir)
-    asked = turns(spark, sf_dir).where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
+    asked = turns(spark, sf_dir).select("conv_id", query_id(), F.col("text").alias("question"))
     return baselines.layer_retrieval(qa, asked, 3, 2)

@@ -1,4 +1,4 @@
-"""Queries of batch recall: every turn whose number is divisible by 100 asks the memory of its conversation."""
+"""Queries of batch recall: every turn asks the memory of its conversation."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from memjobs.functions import text as X
 from memjobs.functions.embed import embed_once
-from memjobs.operators import budget, hierarchy
+from memjobs.operators import budget, evaluation, hierarchy, models
 from memjobs.operators import recall as R
-from memjobs.operators.vectors import scoped_top_k, similarity
+from memjobs.operators.vectors import scoped_top_k
 from memjobs.plans.memory import MEMORY
 from memjobs.plans.scalar import s_overlap, s_terms
-from memjobs.plans.tables import kept, query_id, records
+from memjobs.plans.tables import kept, query_id, records, records_of, turns
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -30,8 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def asked(spark, sf_dir):
-    rows = records(spark, sf_dir).where("turn_ord % 100 = 0")
-    return rows.select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question"))
+    return records(spark, sf_dir).select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question"))
 
 
 def exchanges(spark, sf_dir):
@@ -39,8 +38,11 @@ def exchanges(spark, sf_dir):
 
 
 def layers(spark, sf_dir):
+    return layers_of(exchanges(spark, sf_dir))
+
+
+def layers_of(qa):
     """Experiences, segments and exchanges with their summaries, made once: recall reads each of them many times."""
-    qa = exchanges(spark, sf_dir)
     segments = hierarchy.segments_of(qa).join(hierarchy.segment_summaries(qa).select("conv_id", "segment_id", "summary"), ["conv_id", "segment_id"])
     experiences = hierarchy.experiences_of(qa).join(hierarchy.experience_summaries(qa), ["conv_id", "experience_id"])
     return kept(experiences), kept(segments), qa
@@ -53,7 +55,7 @@ def overlap_hits(queries, rows, id_col, text):
     return pairs.select("query_id", "id", F.round(X.unit_overlap(F.col("asked"), F.col("told")), 6).alias("similarity")).where("similarity > 0")
 
 
-_Q = "q0 AS (SELECT conv_id * 1000000 + turn_ord AS query_id, conv_id AS qc, topic AS qt, core_entity AS qe, intent AS qi, entities AS qents, confidence AS qconf, user_input AS question FROM qa WHERE turn_ord % 100 = 0)"
+_Q = "q0 AS (SELECT conv_id * 1000000 + turn_ord AS query_id, conv_id AS qc, topic AS qt, core_entity AS qe, intent AS qi, entities AS qents, confidence AS qconf, user_input AS question FROM qa)"
 _EXP = """ex AS (SELECT conv_id, experience_id, arg_min(topic, seq) AS topic, arg_min(core_entity, seq) AS core_entity, list(DISTINCT intent) AS intents, max(seq) AS updated_at, min(seq) AS created_at, count(*) AS n_qas FROM qa GROUP BY ALL)"""
 _KW = "array_to_string(list_filter(list_concat([qt, qe, qi], qents, [trim(question)]), lambda p: trim(p) <> ''), chr(10))"
 
@@ -155,14 +157,28 @@ def _ids(exp, seg, qa, *more):
     return exp.select("query_id", F.col("experience_id").alias("id"), *more).union(seg.select("query_id", "segment_id", *more)).union(qa.select("query_id", "qa_id", *more))
 
 
+_PATHS_LESS = _PATHS.replace("rank <= 3", "rank <= 2").replace("rank <= 4", "rank <= 2")
+
+
 @query("g12_branch_pruning", MEMORY + _PLAIN + _PATHS + _UNION)
 def g12(spark, sf_dir):
     return _ids(*R.select_top_down(*plain(spark, sf_dir), 2, 3, 4), "rank")
 
 
-@query("g19_local_selection", MEMORY + _PLAIN + _PATHS + f"SELECT query_id, count(*) AS n FROM ({_UNION}) GROUP BY query_id")
+@query("g19_local_selection", MEMORY + _PLAIN + _PATHS_LESS + _UNION)
 def g19(spark, sf_dir):
-    return R.stage_counts({"all": _ids(*R.select_top_down(*plain(spark, sf_dir), 2, 3, 4))}).select("query_id", "n")
+    """Used where an outside selection names no exchange."""
+    return _ids(*R.select_top_down(*plain(spark, sf_dir), 2, 2, 2), "rank")
+
+
+@query(
+    "g21_stage_counts",
+    MEMORY + _PLAIN + _PATHS + """SELECT query_id, 'candidates' AS stage, count(*) AS n FROM (SELECT query_id FROM px UNION ALL SELECT query_id FROM ps UNION ALL SELECT query_id FROM pq) GROUP BY query_id
+    UNION ALL SELECT query_id, 'selected', count(*) FROM (SELECT query_id FROM x1 UNION ALL SELECT query_id FROM s1 UNION ALL SELECT query_id FROM q1) GROUP BY query_id""",
+)
+def g21b(spark, sf_dir):
+    made = tuple(map(kept, plain(spark, sf_dir)))
+    return R.stage_counts({"candidates": _ids(*made), "selected": _ids(*R.select_top_down(*made, 2, 3, 4))})
 
 
 _PART = ", ax AS (SELECT * FROM px WHERE experience_id NOT LIKE '%_2'), asg AS (SELECT * FROM ps WHERE segment_id NOT LIKE '%_1_2'), aq AS (SELECT * FROM pq WHERE seq % 3 > 0)"
@@ -238,21 +254,39 @@ def _trees(spark, sf_dir):
 
 @query(
     "g14_candidate_trees",
-    MEMORY + """SELECT conv_id AS query_id, count(DISTINCT experience_id) AS n_experiences, count(DISTINCT segment_id) AS n_segments, count(*) AS n_qas, round(max(confidence), 4) AS best FROM qa GROUP BY conv_id""",
+    MEMORY + _PLAIN + """, te AS (SELECT query_id, experience_id, round(score, 4) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, experience_id) - 1 AS p FROM px),
+    ts AS (SELECT query_id, experience_id, segment_id, round(score, 4) AS s, row_number() OVER (PARTITION BY query_id, experience_id ORDER BY round(score, 9) DESC, segment_id) - 1 AS p FROM ps),
+    tq AS (SELECT query_id, segment_id, qa_id, round(score, 4) AS s, row_number() OVER (PARTITION BY query_id, segment_id ORDER BY round(score, 9) DESC, qa_id) - 1 AS p FROM pq)
+    SELECT te.query_id, experience_id, te.s AS experience_score, te.p AS experience_place, segment_id, ts.s AS segment_score, ts.p AS segment_place, tq.qa_id, tq.s AS qa_score, tq.p AS qa_place, topic, trim(user_input) AS user_input, summary
+    FROM te JOIN ts USING (query_id, experience_id) JOIN tq USING (query_id, segment_id) JOIN (SELECT qa_id, topic, CASE WHEN length(trim(user_input, ' ' || chr(9) || chr(10) || chr(13))) <= 320 THEN trim(user_input, ' ' || chr(9) || chr(10) || chr(13)) ELSE rtrim(substr(trim(user_input, ' ' || chr(9) || chr(10) || chr(13)), 1, 320), ' ' || chr(9) || chr(10) || chr(13)) || '...' END AS user_input FROM qa) USING (qa_id)
+    JOIN (SELECT segment_id, summary FROM segsum) USING (segment_id)""",
 )
 def g14(spark, sf_dir):
-    t = _trees(spark, sf_dir)
-    leaves = F.flatten(F.transform(F.flatten(F.transform("tree", lambda e: e["segments"])), lambda s: s["qas"]))
-    return t.select("query_id", F.size("tree").cast("long").alias("n_experiences"), F.size(F.flatten(F.transform("tree", lambda e: e["segments"]))).cast("long").alias("n_segments"),
-                    F.size(leaves).cast("long").alias("n_qas"), F.array_max(F.transform(leaves, lambda q: q["local_score"])).alias("best"))
+    """The trees, a row for each leaf with its path, places, scores and texts."""
+    e = _trees(spark, sf_dir).select("query_id", F.posexplode("tree").alias("experience_place", "e"))
+    s = e.select("query_id", "experience_place", "e", F.posexplode("e.segments").alias("segment_place", "s"))
+    q = s.select("query_id", "experience_place", "segment_place", "e", "s", F.posexplode("s.qas").alias("qa_place", "q"))
+    return q.select(
+        "query_id", F.col("e.id").alias("experience_id"), F.col("e.local_score").alias("experience_score"), "experience_place", F.col("s.id").alias("segment_id"), F.col("s.local_score").alias("segment_score"), "segment_place",
+        F.col("q.id").alias("qa_id"), F.col("q.local_score").alias("qa_score"), "qa_place", "e.topic", "q.user_input", "s.summary",
+    )
 
 
-@query("g15_tree_violations", MEMORY + "SELECT conv_id AS query_id, 'qa' AS level, 'twice' AS id, 'repeated id' AS problem FROM qa GROUP BY conv_id HAVING count(*) > 1")
+@query(
+    "g15_tree_violations",
+    MEMORY + """SELECT conv_id AS query_id, 'qa' AS level, CASE conv_id % 3 WHEN 0 THEN 'twice' ELSE ' ' END AS id, CASE conv_id % 3 WHEN 0 THEN 'repeated id' ELSE 'blank id' END AS problem FROM qa WHERE conv_id % 3 < 2 GROUP BY conv_id HAVING count(*) > 1 OR conv_id % 3 = 1
+    UNION ALL SELECT conv_id, 'segment', segment_id, 'no children' FROM seg WHERE conv_id % 3 = 2""",
+)
 def g15(spark, sf_dir):
-    """Violations in trees whose exchanges all got the same id."""
-    t = _trees(spark, sf_dir)
-    same = F.transform("tree", lambda e: e.withField("segments", F.transform(e["segments"], lambda s: s.withField("qas", F.transform(s["qas"], lambda q: q.withField("id", F.lit("twice")))))))
-    return R.tree_violations(kept(t.withColumn("tree", same)))
+    """Violations in trees whose exchanges all got one id, or a blank one, or were taken out."""
+    t, k = _trees(spark, sf_dir), F.col("query_id") % 3
+
+    def spoilt(qas):
+        renamed = F.transform(qas, lambda q: q.withField("id", F.when(k == 0, F.lit("twice")).otherwise(F.lit(" "))))
+        return F.when(k < 2, renamed).otherwise(F.slice(qas, 1, 0))
+
+    wrong = F.transform("tree", lambda e: e.withField("segments", F.transform(e["segments"], lambda s: s.withField("qas", spoilt(s["qas"])))))
+    return R.tree_violations(kept(t.withColumn("tree", wrong)))
 
 
 @query("g16_fitted_trees")
@@ -319,8 +353,7 @@ def vector_hits(queries, rows, id_col, text, limit):
     """Nearest rows of the query's own conversation by hashed embeddings."""
     q = embed_once(queries.select("conv_id", "query_id", "question"), "question", "query")
     i = embed_once(rows.select("conv_id", F.col(id_col).alias("id"), text.alias("text")), "text")
-    pairs = q.join(i, "conv_id").select("query_id", "id", F.round(similarity(F.col("query"), F.col("embedding")), 9).alias("similarity"))
-    return R.first(pairs, ["query_id"], [F.desc("similarity"), F.col("id")], limit)
+    return scoped_top_k(q.select("query_id", "query"), q.select("query_id", "conv_id"), i.select("id", "conv_id", "embedding"), limit, "conv_id")
 
 
 def scoped_hits(queries, scope, rows, id_col, parent, text, limit):
@@ -390,6 +423,37 @@ def g23(spark, sf_dir):
     return leaves.groupBy("query_id").agg(order.alias("qa_ids")).join(fitted.select("query_id", "tokens_after", "overflow"), "query_id")
 
 
+class Recall:
+    """The hierarchical recall as a memory method. Questions carry the turn's fields, of which topic records are made."""
+
+    name = "recall"
+
+    def __init__(self, n_qa: int = 5, token_budget: int = 30_000):
+        self.n_qa, self.token_budget = n_qa, token_budget
+
+    def build(self, rows):
+        self.memory = layers_of(kept(hierarchy.exact_topic_memory(records_of(rows))))
+
+    def retrieve(self, questions):
+        about = records_of(questions.select("conv_id", "turn_ord", "dia_id", "speaker", F.col("question").alias("text")))
+        q = kept(about.select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question")))
+        _, _, leaves, _ = recalled(q, *self.memory, token_budget=self.token_budget, n_qa=self.n_qa)
+        rows = leaves.select("query_id", "qa_id", "rank").join(self.memory[2].select("qa_id", "dia_id", "user_input"), "qa_id")
+        r = F.array_sort(F.collect_list(F.struct("rank", "dia_id", "user_input")))
+        return rows.groupBy("query_id").agg(r.alias("r")).select("query_id", F.col("r.dia_id").alias("retrieved_ids"), F.array_join("r.user_input", "\n").alias("context"))
+
+
+@query("h18_compared_memories")
+def h18b(spark, sf_dir):
+    """Six memory methods asked by every turn for itself and the turn after it: means at 1, 3 and 5."""
+    rows = kept(turns(spark, sf_dir))
+    own = [F.concat(F.lit("D1:"), (F.col("turn_ord") + d).cast("string")) for d in (1, 2)]
+    questions = rows.select("conv_id", "turn_ord", "dia_id", "speaker", query_id(), F.col("text").alias("question"), F.array(*own).alias("evidence"))
+    methods = [models.FullContext(), models.RecentTurns(5), models.FlatRetrieval(5), models.NoteSearch(5), models.Layers(records_of, 5, 3), Recall(5)]
+    found = models.compare(methods, rows, questions).join(questions.select("query_id", "evidence"), "query_id")
+    return evaluation.macro_average(evaluation.retrieval_scores(found.select("method", "query_id", "retrieved_ids", "evidence"), [1, 3, 5]), ["method"])
+
+
 @query("g24_layered_recall")
 def g24(spark, sf_dir):
     """The older recall, one layer at a time, completed and pruned."""

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from memjobs.functions import parse
 from memjobs.operators import evaluation, hierarchy, models
-from memjobs.plans.tables import TURNS, query_id, records, shared_folder, table, turns
+from memjobs.plans.memory import MEMORY
+from memjobs.plans.tables import RECORDS, TURNS, kept, query_id, records, shared_folder, table, turns
 from memjobs.sources import dialogue, records as stored_records
 from memjobs.streaming import ingest
 
@@ -37,12 +38,24 @@ def documents(spark, sf_dir):
     return head.select(F.col("conv_id").alias("position"), F.when(F.col("conv_id") % 10 == 9, F.substring(body, 1, 40)).otherwise(body).alias("document"))
 
 
+def document_files(spark, sf_dir):
+    """The documents as JSON files: lists of those of up to 25 conversations, and each broken one in a file of its own."""
+    broken = F.col("position") % 10 == 9
+    block = F.lpad(F.floor(F.col("position") / 25).cast("string"), 12, "0")
+    rows = documents(spark, sf_dir).select("position", "document", F.when(broken, F.concat_ws("-", block, "position")).otherwise(block).alias("part"), broken.alias("broken"))
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "document"))), lambda d: d["document"]), ",")
+    path = shared_folder(spark)
+    rows.groupBy("part").agg(F.when(F.max("broken"), inside).otherwise(F.concat(F.lit("["), inside, F.lit("]"))).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
 @query(
     "a1_dialogue_turns",
     f"SELECT CAST(conv_id AS VARCHAR) AS conv_id, CASE WHEN turn_ord < 4 THEN 2 ELSE 10 END AS session_num, dia_id, speaker, text, CASE WHEN turn_ord < 4 THEN TIMESTAMP '2023-05-08 13:56:00' END AS ts FROM ({TURNS}) WHERE conv_id % 10 <> 9",
 )
 def a1(spark, sf_dir):
-    return dialogue.turns(dialogue.parsed(documents(spark, sf_dir))).select("conv_id", "session_num", "dia_id", "speaker", "text", "ts")
+    """Read from JSON files, of which some are broken."""
+    return dialogue.turns(dialogue.read_documents(spark, document_files(spark, sf_dir))).select("conv_id", "session_num", "dia_id", "speaker", "text", "ts")
 
 
 @query(
@@ -50,19 +63,19 @@ def a1(spark, sf_dir):
     "SELECT CAST(conv_id AS VARCHAR) AS conv_id, i AS q_index, CASE i WHEN 0 THEN 'q' || conv_id ELSE 'r' END AS question, CASE i WHEN 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS answer, CASE i WHEN 0 THEN 1 ELSE 0 END AS n_evidence, CASE i WHEN 0 THEN 1 ELSE 5 END AS category FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 10 <> 9), (SELECT unnest([0, 1]) AS i)",
 )
 def a2(spark, sf_dir):
-    q = dialogue.questions(dialogue.parsed(documents(spark, sf_dir)))
+    q = dialogue.questions(dialogue.read_documents(spark, document_files(spark, sf_dir)))
     return q.select("conv_id", "q_index", "question", "answer", F.size("evidence").alias("n_evidence"), "category")
 
 
 @query("a3_first_documents", "SELECT CAST(conv_id AS VARCHAR) AS conv_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 10 <> 9 ORDER BY conv_id LIMIT 20)")
 def a3(spark, sf_dir):
-    """The first 20 documents in input order; malformed ones don't count."""
-    return dialogue.parsed(documents(spark, sf_dir), 20).select("conv_id")
+    """The first 20 documents of the files in input order; broken files don't count."""
+    return dialogue.read_documents(spark, document_files(spark, sf_dir), 20).select("conv_id")
 
 
 @query("a4_saved_answers", f"SELECT CASE WHEN conv_id % 2 = 0 THEN 'map' ELSE 'list' END AS method, CAST(conv_id AS VARCHAR) AS conv_id, CAST(CASE WHEN conv_id % 2 = 0 THEN turn_ord + 10 ELSE turn_ord END AS INT) AS q_index, text AS prediction FROM ({TURNS}) WHERE conv_id % 7 <> 6")
 def a4(spark, sf_dir):
-    """Answers saved as a map by index (even conversations) or as a list; every seventh file is broken."""
+    """Answers saved as a map by index (even conversations) or as a list, in files of a document a line; every seventh is broken."""
     item = F.struct("turn_ord", F.to_json(F.struct(F.col("text").alias("prediction"))).alias("j"))
     rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
     as_map = F.concat(F.lit("{"), F.array_join(F.transform("r", lambda x: F.concat(F.lit('"'), (x["turn_ord"] + 10).cast("string"), F.lit('":'), x["j"])), ","), F.lit("}"))
@@ -70,15 +83,19 @@ def a4(spark, sf_dir):
     even = F.col("conv_id") % 2 == 0
     body = F.concat(F.lit('{"method":"'), F.when(even, "map").otherwise("list"), F.lit('","conv_id":"'), "conv_id", F.lit('","records":'), F.when(even, as_map).otherwise(as_list), F.lit("}"))
     files = rows.select(F.when(F.col("conv_id") % 7 == 6, F.lit("{broken")).otherwise(body).alias("value"))
-    return stored_records.answers(files).select("method", "conv_id", "q_index", "prediction")
+    path = shared_folder(spark)
+    files.write.text(path)
+    return stored_records.read_answers(spark, path).select("method", "conv_id", "q_index", "prediction")
 
 
-@query("a6_layers_round_trip", f"SELECT conv_id, count(*) AS n FROM ({TURNS}) GROUP BY conv_id")
+@query("a6_layers_round_trip", MEMORY + "SELECT 'qa' AS layer, conv_id, qa_id AS id, segment_id AS parent, user_input AS text, array_to_string(entities, '|') AS list FROM qa UNION ALL SELECT 'segments', conv_id, segment_id, experience_id, intent, array_to_string(qa_ids, '|') FROM seg")
 def a6(spark, sf_dir):
-    """The exchanges of a memory that was written and read again."""
-    path = shared_folder(spark)
-    stored_records.write_layers({"qa": hierarchy.exact_topic_memory(records(spark, sf_dir))}, path, 8)
-    return stored_records.read_layer(spark, path, "qa").groupBy("conv_id").agg(F.count("*").alias("n"))
+    """The exchanges and segments of a memory that were written and read again."""
+    path, qa = shared_folder(spark), kept(hierarchy.exact_topic_memory(records(spark, sf_dir)))
+    stored_records.write_layers({"qa": qa, "segments": hierarchy.segments_of(qa)}, path, 8)
+    qa, segments = (stored_records.read_layer(spark, path, name) for name in ("qa", "segments"))
+    first = qa.select(F.lit("qa").alias("layer"), "conv_id", F.col("qa_id").alias("id"), F.col("segment_id").alias("parent"), F.col("user_input").alias("text"), F.array_join("entities", "|").alias("list"))
+    return first.union(segments.select(F.lit("segments"), "conv_id", "segment_id", "experience_id", "intent", F.array_join("qa_ids", "|")))
 
 
 @query(
@@ -94,14 +111,14 @@ def a7(spark, sf_dir):
 
 @query(
     "a8_compacted_log",
-    "SELECT user_id AS id, max(event_id) AS seq_id FROM events WHERE value IS NOT NULL AND event_id % 4 <> 0 GROUP BY user_id",
+    "SELECT user_id AS id, max(event_id) AS seq_id, arg_max(value, event_id) AS vector, arg_max(event_type, event_id) AS metadata FROM events WHERE value IS NOT NULL AND event_id % 4 <> 0 GROUP BY user_id",
 )
 def a8(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq_id"), F.col("user_id").alias("id"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("vector"), F.col("event_type").alias("metadata"))
-    return stored_records.compacted(log).select("id", "seq_id")
+    return stored_records.compacted(log).select("id", "seq_id", "vector", "metadata")
 
 
-@query("a9_decoded_vectors")
+@query("a9_decoded_vectors", "SELECT vec_id, embedding AS vector, embedding IS NOT NULL AS same FROM embeddings")
 def a9(spark, sf_dir):
     """Vectors packed as little-endian floats and decoded again."""
     @F.pandas_udf(T.BinaryType())
@@ -112,18 +129,17 @@ def a9(spark, sf_dir):
     return rows.select("vec_id", stored_records.float32_vector("blob").alias("vector"), (stored_records.float32_vector("blob") == F.col("embedding").cast("array<float>")).alias("same"))
 
 
-@query("a10_vector_metadata", "SELECT 'qa:' || conv_id || '_' || turn AS key, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS n_fields FROM conversations")
+@query("a10_vector_metadata", """SELECT 'qa:' || conv_id || '_' || turn AS key, CASE WHEN turn % 2 = 0 THEN '["' || role || '"]' END AS even, role, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS n_fields FROM conversations""")
 def a10(spark, sf_dir):
     fields = F.create_map(F.lit("role"), F.col("role"), F.lit("even"), F.when(F.col("turn") % 2 == 0, F.to_json(F.array("role"))))
-    key, kept = stored_records.vector_metadata(F.lit("qa"), F.concat_ws("_", "conv_id", "turn"), fields)
-    return table(spark, sf_dir, "conversations").select(key.alias("key"), F.size(kept).alias("n_fields"))
+    key, given = stored_records.vector_metadata(F.lit("qa"), F.concat_ws("_", "conv_id", "turn"), fields)
+    return table(spark, sf_dir, "conversations").select(key.alias("key"), F.try_element_at(given, F.lit("even")).alias("even"), F.try_element_at(given, F.lit("role")).alias("role"), F.size(given).alias("n_fields"))
 
 
-@query("a11_trace", "SELECT conv_id AS q_index, i AS step_order, CASE i WHEN 0 THEN 'topic_extraction' ELSE 'retrieval' END AS step, count(*) AS n FROM conversations, (SELECT unnest([0, 1]) AS i) GROUP BY ALL")
+@query("a11_trace", f"""SELECT conv_id AS q_index, i AS step_order, CASE i WHEN 0 THEN 'topic_extraction' ELSE 'retrieval' END AS step, CASE i WHEN 0 THEN '{{"topic":"' || topic || '"}}' ELSE '{{"dia_id":"' || dia_id || '"}}' END AS data FROM ({RECORDS}), (SELECT unnest([0, 1]) AS i)""")
 def a11(spark, sf_dir):
     r = records(spark, sf_dir)
-    out = stored_records.trace({"topic_extraction": r.select(F.col("conv_id").alias("q_index"), "topic"), "retrieval": r.select(F.col("conv_id").alias("q_index"), "dia_id")})
-    return out.groupBy("q_index", "step_order", "step").agg(F.count("*").alias("n"))
+    return stored_records.trace({"topic_extraction": r.select(F.col("conv_id").alias("q_index"), "topic"), "retrieval": r.select(F.col("conv_id").alias("q_index"), "dia_id")})
 
 
 @query("u1_model_responses", "SELECT conv_id, turn, CASE WHEN text LIKE '%a%' THEN upper(role) ELSE 'none' END AS response, text NOT LIKE '%a%' AS failed FROM conversations")
@@ -141,16 +157,16 @@ def u1(spark, sf_dir):
 
 @query(
     "u2_compared_methods",
-    f"""SELECT method, a.conv_id * 1000000 + a.turn_ord AS query_id, CASE method WHEN 'full_context' THEN n ELSE least(n_text, 3) END AS n_retrieved FROM ({TURNS}) AS a
-    JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (trim(text) <> '') AS n_text FROM ({TURNS}) GROUP BY conv_id) AS c ON c.conv_id = a.conv_id, (SELECT unnest(['full_context', 'flat_retrieval']) AS method)
-    WHERE a.turn_ord % 100 = 0 AND (method = 'full_context' OR n_text > 0)""",
+    f"""WITH l AS (SELECT *, '[' || speaker || ']: ' || text AS line FROM ({TURNS}))
+    SELECT 'full_context' AS method, a.conv_id * 1000000 + a.turn_ord AS query_id, string_agg(b.dia_id, ',' ORDER BY b.turn_ord) AS ids, string_agg(b.line, chr(10) ORDER BY b.turn_ord) AS context FROM l AS a JOIN l AS b USING (conv_id) GROUP BY ALL
+    UNION ALL SELECT 'recent_turns', a.conv_id * 1000000 + a.turn_ord, string_agg(b.dia_id, ',' ORDER BY b.turn_ord DESC), string_agg(b.line, chr(10) ORDER BY b.turn_ord DESC) FROM l AS a JOIN l AS b ON a.conv_id = b.conv_id AND b.turn_ord BETWEEN a.turn_ord - 2 AND a.turn_ord GROUP BY ALL""",
 )
 def u2(spark, sf_dir):
     """Two memory methods behind one interface, asked the same questions."""
     rows = turns(spark, sf_dir)
-    questions = rows.where("turn_ord % 100 = 0").select("conv_id", query_id(), F.col("text").alias("question"))
-    found = models.compare([models.FullContext(), models.FlatRetrieval(3)], rows, questions)
-    return found.select("method", "query_id", F.size("retrieved_ids").cast("long").alias("n_retrieved"))
+    questions = rows.select("conv_id", "turn_ord", query_id(), F.col("text").alias("question"))
+    found = models.compare([models.FullContext(), models.RecentTurns(3)], rows, questions)
+    return found.select("method", "query_id", F.array_join("retrieved_ids", ",").alias("ids"), "context")
 
 
 @query("a5_report_files", "SELECT f AS format, role AS method, count(*) AS n_questions, max(turn) AS last FROM conversations, (SELECT unnest(['json', 'csv']) AS f) GROUP BY ALL")
@@ -176,23 +192,28 @@ def _streamed(spark, rows, job, mode="append"):
 
 @query("s1_streamed_routing")
 def s1(spark, sf_dir):
+    """Keyed state needs its store; the setting is put back after the run."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ingest.STATE_STORE)
+    try:
+        return _routed_files(spark, sf_dir)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _routed_files(spark, sf_dir):
     return _streamed(spark, hierarchy.with_defaults(records(spark, sf_dir)), ingest.routed_stream)
 
 
-@query("s2_streamed_upserts", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+@query("s2_streamed_upserts", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def s2(spark, sf_dir):
     """The latest event of each user, merged micro-batch by micro-batch; every file is delivered twice."""
     path = shared_folder(spark)
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     rows.repartition(3).write.parquet(f"{path}/in")
     rows.repartition(3).write.mode("append").parquet(f"{path}/in")
-    last = []
-
-    def write(merged, number):
-        merged.write.mode("overwrite").parquet(f"{path}/table-{number}")
-        last.append(f"{path}/table-{number}")
-
-    merge = ingest.upsert_into(lambda: spark.read.parquet(last[-1]) if last else None, write, "user_id", "event_id")
+    merged = ingest.BucketedTable(spark, f"{path}/table", rows.schema, "user_id", "event_id", buckets=16)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last[-1])
+    stream.writeStream.foreachBatch(merged.merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return merged.read()

@@ -54,9 +54,13 @@ TURNS = "SELECT conv_id, 1 AS session_num, CAST(turn AS INT) AS turn_ord, 'D1:'
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of(turns(spark, sf_dir))
+
+
+def records_of(rows: DataFrame) -> DataFrame:
     """One topic record for each turn."""
     words = X.tokens_of(F.col("text"))
-    return turns(spark, sf_dir).select(
+    return rows.select(
         "conv_id", "turn_ord", F.lit(0).alias("rec_ord"), "dia_id", "speaker",
         F.concat(F.lit("t"), (F.length("text") % 3).cast("string")).alias("topic"),
         F.concat(F.lit("e"), (F.col("conv_id") % 10).cast("string")).alias("core_entity"),

@@ -17,18 +17,20 @@ QUESTION = "struct<question:string,answer:string,evidence:array<string>,category
 
 
 def read_documents(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """position and text of the documents of JSON files; broken ones are left out, ``first`` keeps so many in input order."""
-    files = spark.read.text(path, wholetext=True)
+    """The documents of JSON files, each a document or a list of them. Broken files and documents are left out; ``first``
+    keeps so many of the others in input order: by the file's path, then by the place in its list."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     parts = F.from_json("value", "array<string>")
-    rows = files.select(F.posexplode(F.when(parts.isNotNull(), parts).otherwise(F.array("value"))).alias("position", "document"))
+    rows = files.select("file", F.posexplode(F.when(parts.isNotNull(), parts).otherwise(F.array("value"))).alias("position", "document"))
     return parsed(rows, first)
 
 
 def parsed(rows: DataFrame, first: int | None = None) -> DataFrame:
-    """``rows`` (position, document) with the parsed fields; malformed documents are skipped."""
+    """``rows`` (position, document, and the file if there are several) with the parsed fields; malformed documents are skipped."""
+    order = [c for c in ("file", "position") if c in rows.columns]
     found = rows.withColumn("d", F.from_json("document", DOCUMENT)).where(F.col("d.conversation").isNotNull())
-    found = found.select("position", F.coalesce("d.sample_id", F.concat(F.lit("conv_"), "position")).alias("conv_id"), "d.conversation", "d.qa")
-    return found.orderBy("position").limit(first) if first is not None else found
+    found = found.select(*order, F.coalesce("d.sample_id", F.concat(F.lit("conv_"), "position")).alias("conv_id"), "d.conversation", "d.qa")
+    return found.orderBy(*order).limit(first) if first is not None else found
 
 
 def turns(documents: DataFrame) -> DataFrame:

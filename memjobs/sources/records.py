@@ -20,11 +20,19 @@ def answers(files: DataFrame) -> DataFrame:
     return keyed.where("q_index is not null").union(listed)
 
 
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """The answers of files with one JSON document a line."""
+    return answers(spark.read.text(path))
+
+
 def write_layers(layers: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
-    """Each layer as Parquet under ``path``, in directories by a bucket of the conversation."""
+    """Each layer as Parquet under ``path``, in directories by a bucket of the conversation.
+
+    Spark deals rows by bucket into tasks of about the advised partition size: small buckets share a task, large ones are split.
+    """
     for name, rows in layers.items():
         bucketed = rows.withColumn("conv_bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)).cast("int"))
-        bucketed.repartition("conv_bucket").write.mode("overwrite").partitionBy("conv_bucket").parquet(f"{path}/{name}")
+        bucketed.hint("rebalance", "conv_bucket").write.mode("overwrite").partitionBy("conv_bucket").parquet(f"{path}/{name}")
 
 
 def read_layer(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -39,15 +39,39 @@ def test_routing_does_not_depend_on_partitions(spark):
 def test_streamed_state_equals_batch_and_rejects_late_rows():
     rows = pd.DataFrame([{"conv_id": 1, "turn_ord": t, "rec_ord": 0, "topic": topic, "core_entity": "ann", "intent": intent} for _, t, topic, intent in six(1)])
 
-    class State:
-        exists, get = False, None
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
 
         def update(self, value):
-            self.exists, self.get = True, value
+            self.held = value
+
+    class Map(dict):
+        def getValue(self, key):  # noqa: N802  names of the interface
+            return self[key]
+
+        def containsKey(self, key):  # noqa: N802
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
 
-    state, out = State(), []
+    job, out = ingest.Routing(), []
+    job.init(Handle())
     for part in (rows[:2], rows[2:5], rows[1:2], rows[5:]):
-        out.append(pd.concat(list(ingest._step((1,), iter([part]), state))))
+        out.append(pd.concat(list(job.handleInputRows((1,), iter([part]), None))))
     out = pd.concat(out)
     assert (out["action"] == "rejected_late").sum() == 1
     whole = routing.route_frame(routing.Router(1), rows)
