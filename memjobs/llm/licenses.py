@@ -3,12 +3,14 @@
 Words are the runs of digits, letters and non-ASCII characters of the text with A-Z lower-cased. The vocabulary is
 that of the licence templates (some hundred words). ``licence_word_frequencies`` counts in how many documents each
 of them occurs, over all texts; each task adds up its own counts first, so a row per word and task is shuffled.
-``build_index`` keeps the ``RAREST`` words of the highest IDF of each template, with their positions. ``scan_licenses``
-looks up each text's licence words, the highest IDF first: a posting (template, position) votes for the place where the
-template would start. Places within ``SLACK`` words of each other count together, so that words put in or left out do no
-harm. Where votes of enough words meet, the template's key phrase must stand, and the share of the template's words that
-follow each other in the same order there (the longest common subsequence) must be ``LEAST_SHARE`` or more. A text's
-score is the largest such share; a base phrase alone scores a half.
+``build_index`` keeps the ``RAREST`` words of the highest IDF of each template, with their positions. As ``LEAST_WORDS`` of
+them must be met, one is among the first ``RAREST - LEAST_WORDS + 1``, the leading ones. ``scan_licenses`` looks up each
+text's leading words, the highest IDF first: a posting (template, position) votes for the place where the template would
+start. For the templates met, the other words' postings are intersected with these by relative position: places within
+``SLACK`` words of each other count together, so that words put in or left out do no harm. Only where enough words meet, the
+template's key phrase must stand, and the share of the template's words that follow each other in the same order there (the
+longest common subsequence) must be ``LEAST_SHARE`` or more. A text's score is the largest such share; a base phrase alone
+scores a half.
 
 Null and empty texts have no words, no places and score 0. Repeated rows are scanned alike. An empty table gives no
 rows. Texts of any length are scanned whole. Equal IDFs are ordered by the word. Other columns pass through, one named as
@@ -69,10 +71,12 @@ def _words(text: str) -> list[bytes]:
 
 @dataclass
 class LicenseIndex:
-    """``postings``: of each rare licence word, its (template, position) pairs; ``idf``: of every licence word."""
+    """``leading``: of each leading word, its (template, position) pairs; ``others``: (word, position) of each template's other
+    indexed words; ``idf``: of every licence word."""
 
     idf: dict[bytes, float]
-    postings: dict[bytes, list[tuple[int, int]]]
+    leading: dict[bytes, list[tuple[int, int]]]
+    others: list[list[tuple[bytes, int]]]
     templates: list[tuple[str, list[bytes], list[bytes]]]
     bases: list[tuple[list[bytes], str]] = field(default_factory=list)
 
@@ -86,13 +90,16 @@ def build_index(frequency: dict[bytes, int], n_docs: int, templates=TEMPLATES) -
     parsed = [(label, _words(text), _words(phrase)) for label, text, phrase in templates]
     words = {w for _, ws, phrase in parsed for w in (*ws, *phrase)} | {w for p in BASE_PHRASES for w in _words(p)}
     idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 0.5)) for w in words}
-    postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    leading: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    others: list[list[tuple[bytes, int]]] = []
     for t, (_, ws, _) in enumerate(parsed):
-        rarest = set(sorted(set(ws), key=lambda w: (-idf[w], w))[:RAREST])
+        rarest = sorted(set(ws), key=lambda w: (-idf[w], w))[:RAREST]
+        lead = set(rarest[: len(rarest) - min(LEAST_WORDS, len(rarest)) + 1])
         for p, w in enumerate(ws):
-            if w in rarest:
-                postings[w].append((t, p))
-    return LicenseIndex(idf, dict(postings), parsed, [(_words(p), label) for p, label in BASE_PHRASES.items()])
+            if w in lead:
+                leading[w].append((t, p))
+        others.append([(w, p) for p, w in enumerate(ws) if w in rarest and w not in lead])
+    return LicenseIndex(idf, dict(leading), others, parsed, [(_words(p), label) for p, label in BASE_PHRASES.items()])
 
 
 def licence_word_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> tuple[dict[bytes, int], int]:
@@ -126,6 +133,28 @@ def held_share(template: list[bytes], words: list[bytes]) -> float:
     return 1 - rest.bit_count() / len(template)
 
 
+def meetings(votes: list[tuple[int, bytes]], needed: int) -> list[tuple[int, int]]:
+    """Of sorted (place, word) votes, the ranges of places in which ``needed`` different words lie within twice ``SLACK``."""
+    out: list[tuple[int, int]] = []
+    held: dict[bytes, int] = defaultdict(int)
+    first = kinds = 0
+    for place, word in votes:
+        kinds += held[word] == 0
+        held[word] += 1
+        while place - votes[first][0] > 2 * SLACK:
+            gone = votes[first][1]
+            held[gone] -= 1
+            kinds -= held[gone] == 0
+            first += 1
+        if kinds >= needed:
+            low = votes[first][0]
+            if out and low <= out[-1][1]:
+                out[-1] = out[-1][0], place
+            else:
+                out.append((low, place))
+    return out
+
+
 def scan(words: list[bytes], index: LicenseIndex) -> tuple[list[int], set[str], set[str], float]:
     """Starts of base phrases, base labels, labels of the method, score."""
     vocabulary = index.idf
@@ -146,19 +175,24 @@ def scan(words: list[bytes], index: LicenseIndex) -> tuple[list[int], set[str],
             starts += at
             base.add(label)
     votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-    for w in sorted(places.keys() & index.postings.keys(), key=lambda w: (-vocabulary[w], w)):
-        for t, p in index.postings[w]:
+    for w in sorted(places.keys() & index.leading.keys(), key=lambda w: (-vocabulary[w], w)):
+        for t, p in index.leading[w]:
             votes[t] += [(i - p, w) for i in places[w]]
     for t, cast in votes.items():
         label, ws, phrase = index.templates[t]
         needed = min(LEAST_WORDS, len(set(ws)))
-        if len({w for _, w in cast}) < needed or not (keys := found(phrase)):
+        cast += [(i - p, w) for w, p in index.others[t] if w in places for i in places[w]]
+        cast.sort()
+        met = meetings(cast, needed)
+        if not met:
             continue
         offset = next(k for k in range(len(ws)) if ws[k : k + len(phrase)] == phrase)
-        cast.sort()
-        begins = [at for at, _ in cast]
-        for key in keys:
+        begins, lows = [at for at, _ in cast], [low for low, _ in met]
+        for key in found(phrase):
             at = key - offset
+            at_range = bisect_right(lows, at + SLACK) - 1
+            if at_range < 0 or met[at_range][1] < at - SLACK:
+                continue
             near = cast[bisect_left(begins, at - SLACK) : bisect_right(begins, at + SLACK)]
             if len({w for _, w in near}) >= needed:
                 share = held_share(ws, words[max(0, at - SLACK) : at + len(ws) + SLACK])
