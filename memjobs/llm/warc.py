@@ -131,7 +131,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
 ORACLE_SQL = """
@@ -141,6 +141,6 @@ WITH p AS (
 ), h AS (SELECT html, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY html)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN holder <> page_id THEN holder END AS refers_to
+       CASE WHEN holder <> page_id THEN holder END AS refers_to, true AS valid
 FROM p LEFT JOIN h USING (html)
 """
