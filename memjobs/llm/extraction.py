@@ -34,9 +34,10 @@ from memjobs.llm.common import extended, table
 
 #: HTML elements by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg canvas iframe object audio video math head title textarea select datalist button label output meter progress".split())
+SILENT = frozenset("script style noscript template svg canvas iframe object audio video annotation annotation-xml head title textarea select datalist button label output meter progress".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input"
+    " math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 #: Opening these ends an open paragraph.
 BREAKS_P = frozenset(
@@ -154,7 +155,7 @@ class _Tree(HTMLParser):
         if self.silent:
             return
         if tag in SILENT:
-            after = None if tag in ("svg", "math") else re.compile(rf"<(/?){tag}\b", re.I).search(self.rawdata, self.start + 1)
+            after = None if tag == "svg" else re.compile(rf"<(/?){tag}\b", re.I).search(self.rawdata, self.start + 1)
             if after and after[1]:
                 self.handle_starttag(tag, attrs)
                 if tag in self.CDATA_CONTENT_ELEMENTS and self.silent:

@@ -339,6 +339,7 @@ def test_extraction_edges(spark):
 
 @pytest.mark.parametrize("html, want", [
     ('<p>a <svg class="i"/>b</p><p>c', "a b|c"),
+    ("<p>Let <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x := 2</annotation></math> hold</p><p>c", "Let x=2 hold|c"),
     ("<p>a <math/>b <iframe src=x />c <object/>d <video/>e</p>f", "a b c d e|f"),
     ("<p>a</p><script src=x /><p>b</p><script>var v = '<p>';</script>c", "a|b|c"),
     ("<p>a</p><script src=x />var v = '<p>';</script><p>b", "a|b"),
