@@ -24,4 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontamination.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op6_substring_dedup": substrings.ORACLE_SQL,
+    "op12_conversation_repair": repair.ORACLE_SQL,
+    "op13_suffix_dedup": suffixes.ORACLE_SQL,
 }

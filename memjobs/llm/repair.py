@@ -311,3 +311,53 @@ def damaged(turns: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair_report(damaged(turns), turns.select("conv_id"))
+
+
+#: CRC-32 from its polynomial, and the same repair as a recursion that keeps the cheapest letters and lines of each state.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+), c AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+    FROM conversations, t
+), d AS (
+    SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM c WHERE code <> 0
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, substr(role, 1, 1) AS initial FROM d
+), k AS (
+    SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+                WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM o
+), nxt(state, role) AS (VALUES ('', 'user'), ('s', 'user'), ('u', 'assistant'), ('a', 'user')
+), ins AS (
+    SELECT state, state AS mid, 0 AS cost, '' AS letters, CAST([] AS VARCHAR[]) AS lines FROM nxt
+    UNION ALL SELECT state, substr(role, 1, 1), 3, 'I', [role || ':'] FROM nxt
+    UNION ALL SELECT x.state, substr(y.role, 1, 1), 6, 'II', [x.role || ':', y.role || ':'] FROM nxt AS x JOIN nxt AS y ON y.state = substr(x.role, 1, 1)
+), fold AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM conversations
+    UNION ALL
+    SELECT conv_id, n, state, cost, audit, lines FROM (
+        SELECT k.conv_id, k.n, e.letter, CASE e.letter WHEN 'D' THEN ins.mid WHEN 'K' THEN k.initial ELSE substr(nxt.role, 1, 1) END AS state,
+               f.cost + ins.cost + CASE e.letter WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN e.letter <> 'D' AND k.fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+               f.audit || ins.letters || e.letter AS audit,
+               list_concat(f.lines, ins.lines, CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [k.role || ':' || k.text] ELSE [nxt.role || ':' || k.text] END) AS lines
+        FROM fold AS f JOIN k ON k.conv_id IS NOT DISTINCT FROM f.conv_id AND k.n = f.n + 1 JOIN ins ON ins.state = f.state JOIN nxt ON nxt.state = ins.mid, (VALUES ('D'), ('K'), ('R')) AS e(letter)
+        WHERE e.letter = 'D' OR (k.fault NOT IN ('blank', 'duplicate') AND (e.letter = 'R' OR k.initial = substr(nxt.role, 1, 1) OR (k.initial = 's' AND ins.mid = '')))
+    ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), s AS (
+    SELECT conv_id, max(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM k GROUP BY conv_id
+), ends AS (
+    SELECT f.conv_id, f.n, f.cost + ins.cost AS cost, f.audit || ins.letters AS audit, list_concat(f.lines, ins.lines) AS lines
+    FROM fold AS f LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM f.conv_id JOIN ins ON ins.state = f.state
+    WHERE f.n = coalesce(s.n, 0) AND ins.mid IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY f.conv_id ORDER BY f.cost + ins.cost, f.audit || ins.letters) = 1
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       e.cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM ends AS e LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -462,3 +462,30 @@ def query(spark: SparkSession, sf_dir: str, length: int = 200) -> DataFrame:
         yield pa.array([hashlib.sha256(kept_bytes(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string())
 
     return extended(rows, compute, fields, ["doc_id"])
+
+
+#: Texts as hexadecimal digits, two a byte; cut into pieces of 512 window starts first, since long strings are slow to index.
+ORACLE_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (
+    SELECT r, 512 * k AS first, substr(x, 1024 * k + 1, 1422) AS y FROM (SELECT r, x, unnest(range(0, length(x) // 1024 + 1)) AS k FROM d WHERE length(x) >= 400)
+), w AS (
+    SELECT r, first + i AS i, md5(substr(y, 2 * i + 1, 400)) AS h FROM (SELECT r, first, y, unnest(range(0, length(y) // 2 - 199)) AS i FROM c WHERE length(y) >= 400)
+), again AS (
+    SELECT r, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)
+), edge AS (
+    SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM again
+), span AS (
+    SELECT r, min(i) AS low, max(i) + 200 AS high FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g
+), gap AS (
+    SELECT r, low, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS after, high FROM span
+), cut AS (
+    SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed, max(high) AS last FROM span GROUP BY r
+), kept AS (
+    SELECT r, string_agg(substr(x, 2 * after + 1, 2 * (low - after)), '' ORDER BY low) AS head FROM gap JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
