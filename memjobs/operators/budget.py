@@ -9,7 +9,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,10 +18,20 @@ from pyspark.sql import DataFrame
 Tree = list[dict]
 
 #: The headers that summaries may have, and those of them that stay when a tree is too large.
-EXPERIENCE_HEADERS = ["目标", "总体状态", "阶段总结", "当前推进", "长期信息", "下一步"]
-EXPERIENCE_KEPT = ["阶段总结", "长期信息"]
-SEGMENT_HEADERS = ["阶段概述", "关键过程", "阶段结论", "关键事实"]
-SEGMENT_KEPT = ["关键过程", "阶段结论", "关键事实"]
+EXPERIENCE_HEADERS = ("目标", "总体状态", "阶段总结", "当前推进", "长期信息", "下一步")
+EXPERIENCE_KEPT = ("阶段总结", "长期信息")
+SEGMENT_HEADERS = ("阶段概述", "关键过程", "阶段结论", "关键事实")
+SEGMENT_KEPT = ("关键过程", "阶段结论", "关键事实")
+
+
+@dataclass(frozen=True)
+class Headers:
+    """The headers that summaries of each layer may have, and those whose sections are kept. A parameter of both policies."""
+
+    experience: tuple[str, ...] = EXPERIENCE_HEADERS
+    experience_kept: tuple[str, ...] = EXPERIENCE_KEPT
+    segment: tuple[str, ...] = SEGMENT_HEADERS
+    segment_kept: tuple[str, ...] = SEGMENT_KEPT
 
 
 def size_of(node: object) -> int:
@@ -51,25 +62,25 @@ def shortened(text: str, limit: int) -> str:
     return text if len(text) <= limit else text[:limit].rstrip() + "..."
 
 
-def named_sections(text: str, headers: list[str]) -> dict[str, str]:
+def named_sections(text: str, headers: Sequence[str]) -> dict[str, str]:
     """Header to body. A header opens a line and is followed by a colon; a body ends where the next header stands."""
     pieces = re.split(rf"(?m)^\s*({'|'.join(map(re.escape, headers))})\s*[：:]\s*", (text or "").strip())
     return {name: body.strip() for name, body in zip(pieces[1::2], pieces[2::2], strict=True)}
 
 
-def with_sections(sections: dict[str, str], kept: list[str]) -> str:
+def with_sections(sections: dict[str, str], kept: Sequence[str]) -> str:
     return "\n\n".join(f"{name}：{sections[name]}" for name in kept if name in sections)
 
 
-def kept_summary(text: str, headers: list[str], kept: list[str]) -> str:
+def kept_summary(text: str, headers: Sequence[str], kept: Sequence[str]) -> str:
     """Only the ``kept`` sections; a summary without any of the headers stays as it is."""
     sections = named_sections(text, headers)
     return with_sections(sections, kept) if sections else (text or "").strip()
 
 
-def cut_by_a_fifth(text: str) -> str:
+def cut_by_a_fifth(text: str, headers: Headers = Headers()) -> str:
     """Each section cut by a fifth, down to 32 characters; a summary without sections as a whole, down to 96."""
-    sections = named_sections(text, EXPERIENCE_KEPT + SEGMENT_KEPT)
+    sections = named_sections(text, headers.experience_kept + headers.segment_kept)
     if not sections:
         return text if len(text) <= 96 else shortened(text, max(96, int(len(text) * 0.8)))
     limits = {name: max(32, int(len(body) * 0.8)) for name, body in sections.items()}
@@ -121,11 +132,11 @@ class _Fit:
                     s["qas"][:] = [q for q in s["qas"] if id(q) not in self.gone]
         return self.tree
 
-    def keep_sections(self) -> None:
+    def keep_sections(self, headers: Headers) -> None:
         for e in self.tree:
-            self.put(e, "summary", kept_summary(e["summary"], EXPERIENCE_HEADERS, EXPERIENCE_KEPT))
+            self.put(e, "summary", kept_summary(e["summary"], headers.experience, headers.experience_kept))
             for s in e["segments"]:
-                self.put(s, "summary", kept_summary(s["summary"], SEGMENT_HEADERS, SEGMENT_KEPT))
+                self.put(s, "summary", kept_summary(s["summary"], headers.segment, headers.segment_kept))
 
     def put(self, node: dict, field: str, value: str) -> bool:
         if node[field] == value:
@@ -137,7 +148,7 @@ class _Fit:
 
 def fit(
     tree: Tree, budget: int = 30_000, least_experiences: int = 1, least_segments: int = 2, clips: tuple[tuple[int, int], ...] = ((800, 400), (300, 160)),
-    count: Callable[[Tree], int] | None = None,
+    count: Callable[[Tree], int] | None = None, headers: Headers = Headers(),
 ) -> tuple[Tree, dict]:
     """The fitted tree and what was done. Lowest score goes first, ties by id; it stops as soon as the tree fits.
 
@@ -185,7 +196,7 @@ def fit(
             done["removed_experiences"].append(name)
     f.pruned()
     if f.over():
-        f.keep_sections()
+        f.keep_sections(headers)
     for top, low in clips:
         if f.over():
             for e in tree:
@@ -213,7 +224,7 @@ def old_branch_score(e: dict) -> float:
     return clamp(0.6 * max(leaves, default=0.0) + 0.3 * max((s["local_score"] for s in e["segments"]), default=0.0) + 0.1 * e["local_score"])
 
 
-def fit_branches(tree: Tree, budget: int = 30_000, least_experiences: int = 6, count: Callable[[Tree], int] | None = None) -> tuple[Tree, dict]:
+def fit_branches(tree: Tree, budget: int = 30_000, least_experiences: int = 6, count: Callable[[Tree], int] | None = None, headers: Headers = Headers()) -> tuple[Tree, dict]:
     """The older policy: whole experiences go, the lowest first; then summaries are reduced to their kept sections, and the
     longest one that can be is cut by a fifth, 24 times at most."""
     tree = sorted(json.loads(json.dumps(tree)), key=lambda e: (-old_branch_score(e), e["id"]))
@@ -223,10 +234,10 @@ def fit_branches(tree: Tree, budget: int = 30_000, least_experiences: int = 6, c
         f.drop(tree, tree[-1])
         tree.pop()
     if f.over():
-        f.keep_sections()
+        f.keep_sections(headers)
     for _ in range(24):
         nodes = sorted((n for e in tree for n in [e, *e["segments"]] if n["summary"]), key=lambda n: (-len(n["summary"]), n["id"]))
-        if not f.over() or not any(f.put(n, "summary", cut_by_a_fifth(n["summary"])) for n in nodes):
+        if not f.over() or not any(f.put(n, "summary", cut_by_a_fifth(n["summary"], headers)) for n in nodes):
             break
     return tree, {"removed_experiences": removed, "context_overflow_unresolved": f.over(), "tokens_after": (count or tokens)(tree)}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -212,50 +214,105 @@ def nearest_above(queries: DataFrame, items: DataFrame, least: float = 0.82, k:
     return top_k(queries, items, k, **names).where((F.col("similarity") >= least) & (F.col("rank") == 1))
 
 
-def approximate_top_k(queries: DataFrame, items: DataFrame, k: int, cells: int = 64, probes: int = 36, sample_rows: int = 20_000, seed: int = 5) -> DataFrame:
-    """Neighbours from an inverted file: every item lies in the cell of its nearest centre, a query looks into the ``probes``
-    nearest cells and ranks what lies there exactly; it may miss neighbours in other cells.
+@dataclass
+class InvertedFile:
+    """An index for approximate search. ``cells`` (cell, coarse, centre), ``codes`` (id, cell, code, scale): all items, a byte a number."""
 
-    Only the centres are fitted on a sample, of at most ``sample_rows`` items chosen by a hash of their id; all items are
-    indexed. Items of a cell are dealt into parts of about ``BLOCK`` rows, so that a cell of any size is spread, and each
-    part hands on ``k`` rows a query. ``queries`` (query_id, query), ``items`` (id, embedding).
+    coarse: np.ndarray
+    cells: DataFrame
+    codes: DataFrame
+    n_cells: int
+
+
+#: Rows that fine centres are fitted on, for each of them, and the most fine centres of a coarse one.
+FIT_ROWS, MOST_FINE = 64, 1024
+
+
+def build_index(
+    items: DataFrame, rows_per_cell: int = 1024, sample_rows: int = 20_000, most_coarse: int = 256, seed: int = 5, step: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> InvertedFile:
+    """Cells in two levels, as many as the items need, and the residuals of all items to their cell's centre in 8 bits a number.
+
+    The number of cells grows with the items: about one for ``rows_per_cell`` of them, its root (``most_coarse`` at most) at
+    the first level. Coarse centres are fitted on ``sample_rows`` rows chosen by a hash of the id and sent to the tasks; the
+    fine centres of each coarse cell are fitted in a task of their own, on about ``FIT_ROWS`` of its rows for each. Every item
+    goes to the nearest fine centre of its nearest coarse one: a search by parent, so hot cells are spread. ``items``
+    (id, embedding); null vectors aren't indexed. ``step`` may write what is read several times and return it as read again.
     """
     v = F.col("embedding").cast("array<float>")
     pool = items.select(F.col("id").cast("long").alias("id"), v.alias("v")).where("v is not null")
-    sample = pool.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
-    centres = _centres(_unit(np.array([r["v"] for r in sample.select("v").collect()], dtype=np.float64).reshape(-1, 1 if sample.isEmpty() else len(sample.first()["v"]))), cells, seed)
-    shared = items.sparkSession.sparkContext.broadcast(centres)
-
-    def nearest(n: int):
-        def run(vectors: pd.Series) -> pd.Series:
-            near = _unit(np.array(vectors.tolist(), dtype=np.float64)) @ shared.value.T
-            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-        return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
-
-    stored = pool.withColumn("cell", nearest(1)("v")[0])
-    parts = stored.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    stored = stored.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query").cast("array<float>").alias("v")).where("v is not null")
-    asked = asked.withColumn("cell", F.explode(nearest(probes)("v"))).join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def ranked_part(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("id")
-            ids, found = np.asarray(right.column("id")), _unit(np.array(right.column("v").to_pylist(), dtype=np.float64))
-            asked_ids, vectors = np.asarray(left.column("id")), _unit(np.array(left.column("v").to_pylist(), dtype=np.float64))
-            pieces = []
-            for at in range(0, len(asked_ids), BLOCK):
-                score = np.round(np.clip(vectors[at : at + BLOCK] @ found.T, 0.0, 1.0), 12)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                pieces.append((np.repeat(asked_ids[at : at + BLOCK], best.shape[1]), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
-            out = [np.concatenate(c) for c in zip(*pieces, strict=True)]
-        return pa.table({"query_id": out[0], "id": out[1], "similarity": out[2]})
-
-    columns = ("cell", "part", "id", "v")
-    pairs = asked.select(*columns).groupBy("cell", "part").cogroup(stored.select(*columns).groupBy("cell", "part"))
-    return ranked(pairs.applyInArrow(ranked_part, "query_id long, id long, similarity double"), k)
+    n = pool.count()
+    sample = [r["v"] for r in pool.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).select("v").collect()]
+    total = max(1, -(-n // rows_per_cell))
+    coarse = _centres(_unit(np.array(sample, dtype=np.float64).reshape(len(sample), -1 if sample else 1)), min(most_coarse, math.ceil(math.sqrt(total))), seed)
+    placed = step(pool.withColumn("coarse", _nearest_centres(pool, coarse, 1)("v")[0]))
+    counts = placed.groupBy("coarse").agg(F.count("*").alias("n"))  # at most a row a coarse cell
+    fine = F.least(F.lit(MOST_FINE), F.ceil(F.col("n") / rows_per_cell)).cast("int")
+    some = placed.join(F.broadcast(counts), "coarse").where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), "n") < F.greatest(fine * FIT_ROWS, F.lit(FIT_ROWS)))
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        found = _centres(_unit(np.array(rows["v"].tolist(), dtype=np.float64)), int(rows["fine"].iloc[0]), seed)
+        return pd.DataFrame({"coarse": rows["coarse"].iloc[0], "number": np.arange(len(found)), "centre": list(found.astype(np.float32))})
+
+    near = some.select("coarse", "id", "v", fine.alias("fine")).groupBy("coarse").applyInPandas(fitted, "coarse int, number int, centre array<float>")
+    cells = step(near.select((F.col("coarse").cast("long") * MOST_FINE + F.col("number")).alias("cell"), "coarse", "centre"))
+    own = scoped_top_k(placed.select(F.col("id").alias("query_id"), F.col("v").alias("query")), placed.select(F.col("id").alias("query_id"), "coarse"), cells.select(F.col("cell").alias("id"), "coarse", F.col("centre").alias("embedding")), 1, "coarse")
+    known = placed.join(own.select(F.col("query_id").alias("id"), F.col("id").alias("cell")), "id").join(cells.select("cell", "centre"), "cell")
+
+    @F.pandas_udf("struct<code:binary,scale:float>")
+    def coded(vectors: pd.Series, centres: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"code": pd.Series([], dtype=object), "scale": pd.Series([], dtype=np.float32)})
+        rest = _unit(np.array(vectors.tolist(), dtype=np.float64)) - np.array(centres.tolist(), dtype=np.float64)
+        scale = np.maximum(np.abs(rest).max(axis=1), 1e-30) / 127
+        return pd.DataFrame({"code": [r.tobytes() for r in np.rint(rest / scale[:, None]).astype(np.int8)], "scale": scale.astype(np.float32)})
+
+    codes = step(known.select("id", "cell", coded("v", "centre").alias("c")).select("id", "cell", "c.code", "c.scale"))
+    return InvertedFile(coarse, cells, codes, total)
+
+
+def _nearest_centres(rows: DataFrame, centres: np.ndarray, n: int):
+    """A pandas UDF from a vector to the numbers of its ``n`` nearest centres, which are sent to the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(vectors: pd.Series) -> pd.Series:
+        near = _unit(np.array(vectors.tolist(), dtype=np.float64)) @ shared.value.T if len(vectors) else np.empty((0, 1))
+        return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
+
+
+def search_index(index: InvertedFile, queries: DataFrame, items: DataFrame, k: int, share: float = 0.1, refine: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The approximate nearest items, with exact similarities and ranks, and (query_id, cell), the cells looked into.
+
+    A query looks into the ``share`` of the cells whose centres are nearest, among those of its nearest coarse cells, ranks
+    what lies there by the 8-bit codes, and compares the first ``refine * k`` with the items themselves.
+    """
+    if not len(index.coarse):
+        none = queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+        return none, none.select("query_id", F.col("id").alias("cell"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<float>").alias("query")).where("query is not null")
+    n_coarse = max(1, math.ceil(math.sqrt(share) * len(index.coarse)))
+    scope = asked.select("query_id", F.explode(_nearest_centres(asked, index.coarse, n_coarse)("query")).alias("coarse"))
+    centres = index.cells.select(F.col("cell").alias("id"), "coarse", F.col("centre").alias("embedding"))
+    probes = max(1, math.ceil(share * index.n_cells))
+    looked = scoped_top_k(asked, scope, centres, probes, "coarse").select("query_id", F.col("id").alias("cell"))
+
+    @F.pandas_udf("array<float>")
+    def decoded(code: pd.Series, scale: pd.Series, centre: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(c, np.int8) * np.float32(s) + np.asarray(m, dtype=np.float32) for c, s, m in zip(code, scale, centre, strict=True)])
+
+    met = index.codes.join(looked.select("cell").distinct(), "cell", "left_semi").join(index.cells.select("cell", "centre"), "cell")
+    found = scoped_top_k(asked, looked, met.select("id", "cell", decoded("code", "scale", "centre").alias("embedding")), refine * k, "cell")
+    exact = items.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    pairs = found.select("query_id", "id").join(asked, "query_id").join(exact, "id")  # refine * k rows a query
+    return ranked(pairs.select("query_id", "id", F.round(similarity(F.col("query"), F.col("embedding")), 12).alias("similarity")), k), looked
+
+
+def approximate_top_k(queries: DataFrame, items: DataFrame, k: int, share: float = 0.1, refine: int = 10, step: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> DataFrame:
+    """Neighbours from an index made for this search; it may miss neighbours in cells that aren't looked into."""
+    return search_index(build_index(items, step=step, **options), queries, items, k, share, refine)[0]
 
 
 def _centres(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:

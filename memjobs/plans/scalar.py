@@ -140,7 +140,7 @@ def c9(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.truncated(F.col("text"), 240).alias("short"))
 
 
-@query("c10_summary_sections")
+@query("c10_summary_sections", f"SELECT conv_id, turn, 'Facts：' || regexp_replace(coalesce(next_text, 'none'), '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'Goal：' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS kept FROM ({PAIRS})")
 def c10(spark, sf_dir):
     """Sections of summaries that are put together from turns."""
     made = F.concat(F.lit("Goal: "), "text", F.lit("\nFacts: "), F.coalesce("next_text", F.lit("none")), F.lit("\nNext: go on"))
