@@ -66,7 +66,8 @@ def _stems(word: Column) -> Column:
     forms = F.array(
         word, plural, F.when(past, cut(2)), F.when(past, cut(1)), F.when(running, cut(3)), F.when(running, F.concat(cut(3), F.lit("e")))
     )
-    return F.filter(forms, lambda f: f.isNotNull())
+    # most words have none of these endings
+    return F.when(word.endswith("s") | word.endswith("ed") | word.endswith("ing"), F.filter(forms, lambda f: f.isNotNull())).otherwise(F.array(word))
 
 
 def lexical_units(text: Column) -> Column:

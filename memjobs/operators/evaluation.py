@@ -126,48 +126,60 @@ def recount_audit(rows: DataFrame, by: str, text_col: str, stored: str) -> DataF
     return found.select(by, F.round("fresh", 6).alias("recounted"), F.round("kept", 6).alias("stored_mean"), F.round(F.col("fresh") - F.col("kept"), 6).alias("delta"))
 
 
+#: Rows of a table that may be sent to every task, once they are counted.
+SENT = 200_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows`` made now and, if they are at most ``SENT``, to be sent to every task; more of them are joined by a shuffle."""
+    found = rows.limit(SENT + 1).toArrow()
+    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema)) if found.num_rows <= SENT else rows
+
+
 def percentiles(rows: DataFrame, value: str, by: list[str], points: list[int], cells: int = 4096) -> DataFrame:
     """The value at index max(0, int(n p / 100) - 1) of the sorted values of each group, for each p.
 
-    Selection by counting, with bounds that the values themselves fix, so that reading ``rows`` again can't change them:
-    the range of a group is cut into ``cells`` equal parts, which are counted; the cell in which a rank lies is cut again
-    between its least and largest value; only what lies in that second cell is sorted. A group of any size is counted by
-    all tasks (partial aggregation), and a row for each cell is what moves. Infinite values and NaN, which is the largest, lie
-    in cells of their own. Without ``by`` all rows are one group. Nulls don't count.
+    Selection by counting, with bounds that don't depend on samples, so that reading ``rows`` again can't change them: values are
+    counted in fixed cells on a logarithmic scale; the cell in which a rank lies is cut into ``cells`` equal parts between its
+    least and largest value, which are counted; only what lies in the part of a rank is sorted. So the rows are read three
+    times and never shuffled but for the last part: what moves are the cells' counts, added up in each task first, and the
+    wanted cells, at most a row for each group and point, which are sent to the tasks if they are few (``SENT``). The first two
+    rounds run when this is called. Infinite values and NaN, which is the largest, lie in cells of their own. Without ``by``
+    all rows are one group. Nulls don't count.
     """
     keys = [f"__k{i}" for i in range(max(1, len(by)))]
     named = [F.col(c).alias(k) for c, k in zip(by, keys)] if by else [F.lit(0).alias(keys[0])]
     d = F.col(value).cast("double")
     finite = F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
-    base = rows.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("v"), d.alias("d"), finite.alias("f"))
-
-    def cell(low: Column, high: Column) -> Column:
-        inside = F.least(F.lit(cells - 1), F.floor((F.col("f") / 2 - low / 2) / (high / 2 - low / 2) * cells)).cast("int")
-        return F.when(F.isnan("d"), cells + 1).when(F.col("f").isNull(), F.when(F.col("d") > 0, cells).otherwise(-1)).when(high == low, 0).otherwise(inside)
+    first = F.coalesce(F.floor(F.signum(finite) * F.log1p(F.abs(finite)) * 64).cast("int"), F.when(F.isnan(d), 1 << 30).when(d > 0, 1 << 29).otherwise(-(1 << 29)))
+    base = rows.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("v"), finite.alias("f"), first.alias("c1"))
 
     def matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         other = right.withColumnsRenamed({c: f"__r{c}" for c in on})
         return left.join(other, [F.col(c).eqNullSafe(F.col(f"__r{c}")) for c in on]).drop(*(f"__r{c}" for c in on))
 
-    def narrowed(counted: DataFrame, wanted: DataFrame | None, path: list[str], at: str) -> DataFrame:
-        """Of the counted cells of ``path``, those in which the wanted ranks lie, and the ranks counted from there."""
+    def placed(counted: DataFrame, path: list[str], at: str) -> DataFrame:
+        """Each cell of ``path`` with its rows, its ends, all rows of the path and those before it. A window holds a row a cell."""
         counts = counted.groupBy(*path, at).agg(F.count("*").alias("n"), F.min("f").alias("low"), F.max("f").alias("high"))
-        w = Window.partitionBy(*path)  # a row for each cell
-        placed = counts.withColumns({"total": F.sum("n").over(w), "before": F.sum("n").over(w.orderBy(at)) - F.col("n")})
-        if wanted is None:
-            rank = [F.struct(F.lit(p).alias("p"), F.greatest(F.lit(0), F.floor(F.col("total") * p / 100).cast("long") - 1).alias("rank")) for p in points]
-            placed = placed.withColumn("of", F.explode(F.array(*rank))).select(*path, at, "n", "low", "high", "before", "of.*")
-        else:
-            placed = matched(placed, wanted.select(*path, "p", "rank"), path)
-        return placed.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*path, at, "low", "high", "p", (F.col("rank") - F.col("before")).alias("rank"))
-
-    ends = base.groupBy(*keys).agg(F.min("f").alias("low"), F.max("f").alias("high"))
-    first = matched(base, ends, keys).withColumn("c1", cell(F.col("low"), F.col("high"))).drop("low", "high")
-    found = narrowed(first, None, keys, "c1")
-    second = matched(first, found.select(*keys, "c1", "low", "high").distinct(), [*keys, "c1"]).withColumn("c2", cell(F.col("low"), F.col("high"))).drop("low", "high")
-    found = narrowed(second, found, [*keys, "c1"], "c2")
-    path = [*keys, "c1", "c2"]
-    last = matched(second, found.select(*path).distinct(), path)
+        w = Window.partitionBy(*path)
+        return counts.withColumns({"total": F.sum("n").over(w), "before": F.sum("n").over(w.orderBy(at)) - F.col("n")})
+
+    def wanted(cells_: DataFrame, path: list[str], at: str) -> DataFrame:
+        inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+        return cells_.where(inside).select(*path, at, "low", "high", "p", (F.col("rank") - F.col("before")).alias("rank"))
+
+    ranks = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.lit(0), F.floor(F.col("total") * p / 100).cast("long") - 1).alias("rank")) for p in points))
+    found = _sent(wanted(placed(base, keys, "c1").withColumn("of", F.explode(ranks)).select("*", "of.*"), keys, "c1"))
+    path = [*keys, "c1"]
+    # halves, so that the difference of two large values is finite
+    share = F.coalesce(F.try_divide(F.col("f") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2), F.lit(0.0))
+    part = F.least(F.lit(cells - 1), F.floor(share * cells)).cast("int")
+    second = matched(base, found.select(*path, "low", "high").distinct(), path)
+    second = second.withColumn("c2", F.when(F.col("f").isNull() | (F.col("high") == F.col("low")), 0).otherwise(part)).drop("low", "high")
+    ends = found.select(*path, "low", "high").distinct()
+    found = _sent(wanted(matched(placed(second, path, "c2"), found.select(*path, "p", "rank"), path), path, "c2"))
+    path = [*path, "c2"]
+    last = matched(matched(base, ends, path[:-1]).withColumn("c2", F.when(F.col("f").isNull() | (F.col("high") == F.col("low")), 0).otherwise(part)), found.select(*path).distinct(), path)
     times = last.groupBy(*path, "v").agg(F.count("*").alias("n"))  # copies of a value are one row
     upto = times.withColumn("upto", F.sum("n").over(Window.partitionBy(*path).orderBy("v")))
     hit = matched(upto, found.select(*path, "p", "rank"), path).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))

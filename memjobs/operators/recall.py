@@ -68,23 +68,35 @@ def searchable(rows: DataFrame, level: str) -> Column:
 
 #: Characters of an index entry; terms of fewer characters look up entries of their own length.
 GRAM = 3
+Step = Callable[[DataFrame], DataFrame]
 
 
-def keyword_candidates(asked: DataFrame, given: DataFrame, gram: int = GRAM) -> DataFrame:
+def as_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _entries(term: Column, gram: int) -> Column:
+    """The entries among which a term chooses: its first, middle and last gram, or a short term itself."""
+    n = F.length(term)
+    places = (F.lit(1), F.floor((n - gram) / 2).cast("int") + 1, n - gram + 1)
+    return F.when(n >= gram, F.array_distinct(F.array(*(F.substring(term, p, F.lit(gram)) for p in places)))).otherwise(F.array(term))
+
+
+def keyword_candidates(asked: DataFrame, given: DataFrame, gram: int = GRAM, step: Step = as_is) -> DataFrame:
     """(query_id, conv_id, id, terms): rows whose text may contain one of the terms, by an inverted index of character n-grams.
 
     ``asked`` (query_id, conv_id, terms), ``given`` (conv_id, id, text). A text that contains a term has all of its grams,
-    so a term looks up only the rarest of them in its conversation, by an equi-join; a term with a gram that no text has
-    is dropped. The index lists the grams that some query of the conversation asks for, so a text makes one row for each
+    so a term looks up only the rarest of three of them in its conversation, by an equi-join; a term with a gram that no text
+    has is dropped. The index lists the grams that some query of the conversation asks for, so a text makes one row for each
     of these that it has. Without false negatives; the texts are still to be compared with the ``terms`` that led to them.
+    ``step`` may write the index, which is read twice, and return it as read again.
     """
     each = asked.select("query_id", "conv_id", F.explode("terms").alias("term"))
-    sized = F.when(F.length("term") >= gram, X.grams(F.col("term"), gram)).otherwise(F.array("term"))
-    pieces = each.withColumn("piece", F.explode(sized))
+    pieces = each.withColumn("piece", F.explode(_entries(F.col("term"), gram)))
     wanted = pieces.groupBy("conv_id").agg(F.collect_set("piece").alias("wanted"), F.collect_set(F.length("piece")).alias("sizes"))  # distinct grams, however many queries
     met = given.join(wanted, "conv_id")
     own = F.flatten(F.array(*(F.when(F.array_contains("sizes", n), X.grams(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1))))
-    index = met.select("conv_id", "id", F.explode(F.array_intersect(own, F.col("wanted"))).alias("piece"))
+    index = step(met.select("conv_id", "id", F.explode(F.array_intersect(own, F.col("wanted"))).alias("piece")))
     counts = index.groupBy("conv_id", "piece").agg(F.count("*").alias("n"))
     known = pieces.join(counts, ["conv_id", "piece"], "left")
     rarest = known.groupBy("query_id", "conv_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("r")).where("r.n > 0")
@@ -92,13 +104,27 @@ def keyword_candidates(asked: DataFrame, given: DataFrame, gram: int = GRAM) ->
     return found.groupBy("query_id", "conv_id", "id").agg(F.collect_set("term").alias("terms"))
 
 
-def keyword_hits(asked: DataFrame, given: DataFrame) -> DataFrame:
-    """(query_id, conv_id, id): rows whose text contains one of the terms."""
-    found = keyword_candidates(asked, given).join(given.select("conv_id", "id", "text"), ["conv_id", "id"])
-    return found.where(F.exists("terms", lambda t: F.contains(F.col("text"), t))).select("query_id", "conv_id", "id")
+#: Conversations of at most so many rows are compared whole: the rows that a query meets have this bound then.
+WHOLE = 16
+
+
+def keyword_hits(asked: DataFrame, given: DataFrame, step: Step = as_is, whole: int = WHOLE) -> DataFrame:
+    """(query_id, conv_id, id): rows whose text contains one of the terms.
+
+    In conversations of more than ``whole`` rows candidates come from the index; in others an index would cost more than the
+    few rows. Either way the same rows are found.
+    """
+
+    def told(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.exists("terms", lambda t: F.contains(F.col("text"), t))).select("query_id", "conv_id", "id")
+
+    large = step(given.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("conv_id"))
+    long, many = (df.join(large, "conv_id", "left_semi") for df in (given, asked))
+    indexed = told(keyword_candidates(many, long, step=step).join(long.select("conv_id", "id", "text"), ["conv_id", "id"]))
+    return told(asked.join(given.join(large, "conv_id", "left_anti"), "conv_id")).union(indexed) if whole else indexed
 
 
-def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms: Column | None = None) -> DataFrame:
+def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms: Column | None = None, step: Step = as_is, whole: int = WHOLE) -> DataFrame:
     """Rows whose searchable text contains a keyword of the query; the newest first. Looked up in an index of n-grams."""
     id_col = LEVELS[level]
     if terms is None:
@@ -107,7 +133,7 @@ def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms:
     order = "seq" if level == "qa" else "updated_at"
     given = rows.where("status = 'active'") if "status" in rows.columns else rows
     given = given.select("conv_id", F.col(id_col).alias("id"), F.col(order).alias("updated_at"), searchable(rows, level).alias("text"))
-    found = keyword_hits(asked, given).join(given.select("conv_id", "id", "updated_at"), ["conv_id", "id"])
+    found = keyword_hits(step(asked), given, step, whole).join(given.select("conv_id", "id", "updated_at"), ["conv_id", "id"])
     return first(found.select("query_id", "id", "updated_at"), ["query_id"], [F.desc("updated_at"), F.col("id")], limit)
 
 
@@ -115,7 +141,7 @@ def keyword_text() -> Column:
     return render.keyword_query_text(*(F.col(c) for c in ("topic", "core_entity", "intent", "entities", "question")))
 
 
-def qa_search(queries: DataFrame, qa: DataFrame, limit: int = 40) -> DataFrame:
+def qa_search(queries: DataFrame, qa: DataFrame, limit: int = 40, step: Step = as_is) -> DataFrame:
     """Active exchanges that share topic, core entity or an entity with the query, or contain a keyword; the newest first."""
     active = qa.where("status = 'active'")
     same = matches(queries, active, "qa_id", ["topic", "core_entity"]).select("query_id", "id")
@@ -124,7 +150,7 @@ def qa_search(queries: DataFrame, qa: DataFrame, limit: int = 40) -> DataFrame:
     named = asked.join(given, ["conv_id", "value"]).select("query_id", "id")
     text = F.lower(F.concat_ws(" ", "user_input", "assistant_output", "intent"))
     terms = queries.select("query_id", "conv_id", X.keyword_terms(keyword_text()).alias("terms")).where(F.size("terms") > 0)
-    told = keyword_hits(terms, active.select("conv_id", F.col("qa_id").alias("id"), text.alias("text"))).select("query_id", "id")
+    told = keyword_hits(step(terms), active.select("conv_id", F.col("qa_id").alias("id"), text.alias("text")), step).select("query_id", "id")
     every = same.union(named).union(told).distinct().join(active.select(F.col("qa_id").alias("id"), F.col("seq").alias("updated_at")), "id")
     return first(every, ["query_id"], [F.desc("updated_at"), F.col("id")], limit)
 
@@ -209,7 +235,7 @@ def rescue(
     """
     unsure = queries.where(F.col("confidence") < below)
     by_vector = first(hits.join(unsure.select("query_id"), "query_id", "left_semi"), ["query_id"], [F.desc("similarity"), F.col("id")], limit).select("query_id", "id", "similarity")
-    by_relation = qa_search(unsure, qa, limit).select("query_id", "id", F.lit(True).alias("related"))
+    by_relation = qa_search(unsure, qa, limit, step).select("query_id", "id", F.lit(True).alias("related"))
     both = by_vector.join(by_relation, ["query_id", "id"], "full_outer")
     sources = F.filter(F.array(F.when(F.col("similarity").isNotNull(), "global_qa_vector"), F.when(F.col("related"), "global_qa_relational")), lambda s: s.isNotNull())
     new = candidate(both.withColumn("sources", sources), qa.where("status = 'active'"), queries, "qa").select("query_id", F.col("id").alias("qa_id"), "segment_id", "score", "sources", F.lit(1).alias("turn"))
@@ -361,12 +387,12 @@ def reused(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return exp.union(hit.where(F.col("asked") == F.col("intent")).select("query_id", F.lit("segment"), F.explode("segment_ids").alias("id"))).distinct()
 
 
-def layered(queries: DataFrame, memory: DataFrame, level: str, hits: DataFrame, limit: int, cached: DataFrame | None = None) -> DataFrame:
+def layered(queries: DataFrame, memory: DataFrame, level: str, hits: DataFrame, limit: int, cached: DataFrame | None = None, step: Step = as_is) -> DataFrame:
     """The older global recall of one layer: relational, keyword, vector and cached rows, scored and fused."""
     id_col = LEVELS[level]
     rows = memory if "updated_at" in memory.columns else memory.withColumn("updated_at", F.col("seq"))
     ids = relational(queries, rows, id_col, ["topic", "core_entity", "intent"], limit).select("query_id", "id")
-    ids = ids.union(keyword(queries, rows, level, limit).select("query_id", "id")).union(first(hits, ["query_id"], [F.desc("similarity"), F.col("id")], limit).select("query_id", "id"))
+    ids = ids.union(keyword(queries, rows, level, limit, step=step).select("query_id", "id")).union(first(hits, ["query_id"], [F.desc("similarity"), F.col("id")], limit).select("query_id", "id"))
     if cached is not None:
         ids = ids.union(cached.where(F.col("level") == level).select("query_id", "id"))
     found = candidate(ids.distinct().join(hits.select("query_id", "id", "similarity"), ["query_id", "id"], "left"), rows, queries, level)

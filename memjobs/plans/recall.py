@@ -78,7 +78,7 @@ def g1(spark, sf_dir):
     SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq DESC, id) AS rank FROM m) WHERE rank <= 40""",
 )
 def g2(spark, sf_dir):
-    return R.qa_search(asked(spark, sf_dir), exchanges(spark, sf_dir), 40).select("query_id", "id", "rank")
+    return R.qa_search(asked(spark, sf_dir), exchanges(spark, sf_dir), 40, kept).select("query_id", "id", "rank")
 
 
 @query(
@@ -98,7 +98,8 @@ def g3(spark, sf_dir):
     SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq DESC, id) AS rank FROM m) WHERE rank <= 32""",
 )
 def g4(spark, sf_dir):
-    return R.keyword(asked(spark, sf_dir), exchanges(spark, sf_dir), "qa", 32).select("query_id", "id", "rank")
+    """By the index alone, though the given conversations are short; ``g2_relational_exchanges`` compares short ones whole."""
+    return R.keyword(asked(spark, sf_dir), exchanges(spark, sf_dir), "qa", 32, step=kept, whole=0).select("query_id", "id", "rank")
 
 
 _TEXT = "lower(topic || ' ' || core_entity || ' ' || intent || ' ' || user_input || ' ' || assistant_output || ' ' || array_to_string(entities, ' '))"
@@ -461,7 +462,7 @@ def g24(spark, sf_dir):
 
 
 def layered_recall(q, exp, seg, qa):
-    rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20), n).select("query_id", "id", F.col("final_score").alias("score"))
+    rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20), n, step=kept).select("query_id", "id", F.col("final_score").alias("score"))
             for m, level, text, n in ((exp, "experience", F.col("summary"), 8), (seg, "segment", F.col("summary"), 20), (qa, "qa", F.col("user_input"), 32))]
     rows = [kept(r) for r in rows]
     e = rows[0].withColumnRenamed("id", "experience_id")

@@ -27,7 +27,9 @@ def test_the_gram_index_finds_what_contains_does(spark):
     g = spark.createDataFrame(given, "conv_id long, id string, text string")
     a = spark.createDataFrame(asked, "query_id long, conv_id long, terms array<string>")
     want = {(q, i) for q, c, terms in asked for of, i, t in given if of == c and any(x in (t or "") for x in terms)}
-    assert {(r.query_id, r.id) for r in R.keyword_hits(a, g).collect()} == want
+    for whole in (0, 50, 119, 1000):
+        hits = [(r.query_id, r.id) for r in R.keyword_hits(a, g, whole=whole).collect()]
+        assert len(hits) == len(set(hits)) and set(hits) == want
     met = sum(1 for _, c, terms in asked if terms for of, *_ in given if of == c)
     assert len(want) <= R.keyword_candidates(a, g).count() < met / 2
 
