@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 128
+#: Adds the vector of a text column: (rows, text column, name of the vector) to rows.
+Embed = Callable[[DataFrame, str, str], DataFrame]
 _TOKEN = re.compile(r"[一-鿿]|[a-zA-Z0-9_]+")
 
 
@@ -69,3 +73,15 @@ def hit_rate(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.agg(F.count(text_col).alias("n_texts"), F.countDistinct(text_col).alias("n_distinct")).withColumn(
         "hit_rate", F.round(F.when(F.col("n_texts") > 0, 1 - F.col("n_distinct") / F.col("n_texts")).otherwise(0.0), 6)
     )
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of the letters a to z stands in a text, in either case; null for null. No Python is called."""
+    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    counts = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.char(c), F.lit("")))).cast("float"))
+    return F.when(text.isNotNull(), counts)
+
+
+def embed_letters(rows: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+    """``rows`` with letter counts as vectors: a plain embedder whose results can be computed anew in SQL."""
+    return rows.withColumn(out_col, letter_counts(F.col(text_col)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memjobs.functions import render
 from memjobs.functions import text as X
-from memjobs.functions.embed import embed_once
+from memjobs.functions.embed import Embed, embed_once
 from memjobs.operators import hierarchy
 from memjobs.operators.vectors import ranked, scoped_top_k
 
@@ -34,22 +34,22 @@ def provenance(qa: DataFrame, keys: list[str]) -> DataFrame:
     return first.groupBy(*keys).agg(F.array_join(hierarchy.in_order("seq", "dia_id"), ",").alias("dia_ids"), F.countDistinct("every").alias("n_distinct"))
 
 
-def _near(asked: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _near(asked: DataFrame, items: DataFrame, k: int, embed: Embed) -> DataFrame:
     """Nearest items of a query's own conversation; ``items`` (conv_id, id, text)."""
-    q = embed_once(asked.select("conv_id", "query_id", "question"), "question", "query")
-    i = embed_once(items, "text")
+    q = embed(asked.select("conv_id", "query_id", "question"), "question", "query")
+    i = embed(items, "text", "embedding")
     found = scoped_top_k(q.select("query_id", "query"), q.select("query_id", "conv_id"), i.select("id", "conv_id", "embedding"), k, "conv_id")
     # ids are unique within a conversation
     documents = items.select("conv_id", "id", F.col("text").alias("document"))
     return found.join(asked.select("query_id", "conv_id"), "query_id").join(documents, ["conv_id", "id"]).select("query_id", "conv_id", "id", "document", "similarity", "rank")
 
 
-def flat_retrieval(turns: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def flat_retrieval(turns: DataFrame, asked: DataFrame, k: int, embed: Embed = embed_once) -> DataFrame:
     """The nearest turns of each question as ids and as one text, both in rank order."""
     rows = turns.where(~X.blank(F.col("text")) & F.col("dia_id").isNotNull())
     items = rows.select("conv_id", F.col("dia_id").alias("id"), X.turn_text(F.col("speaker"), F.col("text")).alias("text"))
     found = F.array_sort(F.collect_list(F.struct("rank", "id", "document")))
-    return _near(asked, items, k).groupBy("query_id").agg(found.alias("r")).select("query_id", F.col("r.id").alias("retrieved_ids"), F.array_join(F.col("r.document"), "\n").alias("context"))
+    return _near(asked, items, k, embed).groupBy("query_id").agg(found.alias("r")).select("query_id", F.col("r.id").alias("retrieved_ids"), F.array_join(F.col("r.document"), "\n").alias("context"))
 
 
 #: About how many notes a block has; two blocks of a conversation are compared in a task.
@@ -59,9 +59,11 @@ NOTE_BLOCK = 1024
 def nearest_earlier(notes: DataFrame, k: int) -> DataFrame:
     """(a, b, s): of each note ``b`` the ``k`` nearest ``a`` of the earlier notes of its conversation, by ``s`` and then id.
 
-    ``notes`` (conv_id long, note_id, ord, embedding). A conversation's notes are dealt into blocks. Each two blocks meet
-    in one task, which hands on ``k`` rows a note: pairs are never written out, and a conversation of any length is spread.
+    ``notes`` (conv_id long, note_id, ord, embedding); those without a vector are near to nothing. A conversation's notes are
+    dealt into blocks. Each two blocks meet in one task, which hands on ``k`` rows a note: pairs are never written out, and a
+    conversation of any length is spread.
     """
+    notes = notes.where("embedding is not null")
     blocks = notes.groupBy("conv_id").agg(F.ceil(F.count("*") / NOTE_BLOCK).cast("int").alias("blocks"))
     dealt = notes.join(blocks, "conv_id").withColumn("own", F.pmod(F.xxhash64("note_id"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     id_type = notes.schema["note_id"].dataType.simpleString()
@@ -109,14 +111,14 @@ def blended(keyword: DataFrame, vector: DataFrame, links: DataFrame, k: int) ->
     return top.join(linked, ["query_id", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
-def note_search_of_turns(turns: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def note_search_of_turns(turns: DataFrame, asked: DataFrame, k: int, embed: Embed = embed_once) -> DataFrame:
     """Turns as notes with their first words as keywords: keyword and vector blend with one-hop links."""
     notes = turns.select("conv_id", F.concat_ws("/", "conv_id", "dia_id").alias("id"), "turn_ord", "text", F.transform(X.note_keywords(F.col("text")), F.lower).alias("keywords"))
     words = asked.select("conv_id", "query_id", F.array_distinct(F.transform(X.note_keywords(F.col("question"), 8), F.lower)).alias("asked"))
     share = F.size(F.array_intersect("asked", "keywords")) / F.greatest(F.size("asked"), F.lit(1))
     keyword = words.join(notes, "conv_id").select("query_id", "id", share.alias("keyword")).where("keyword > 0")
-    vector = _near(asked, notes.select("conv_id", "id", "text"), min(3 * k, 20)).select("query_id", "id", "similarity")
-    embedded = embed_once(notes.select("conv_id", "id", "turn_ord", "text"), "text")
+    vector = _near(asked, notes.select("conv_id", "id", "text"), min(3 * k, 20), embed).select("query_id", "id", "similarity")
+    embedded = embed(notes.select("conv_id", "id", "turn_ord", "text"), "text", "embedding")
     links = note_links(embedded.select("conv_id", F.col("id").alias("note_id"), F.col("turn_ord").alias("ord"), "embedding"))
     return blended(keyword, vector, links, k)
 
@@ -130,16 +132,16 @@ def segment_documents(qa: DataFrame) -> DataFrame:
     return rows.withColumn("document", render.segment_document(c("topic"), c("core_entity"), c("intent"), c("summary"), c("questions")))
 
 
-def layer_retrieval(qa: DataFrame, asked: DataFrame, top_qa: int, top_segment: int) -> DataFrame:
+def layer_retrieval(qa: DataFrame, asked: DataFrame, top_qa: int, top_segment: int, embed: Embed = embed_once) -> DataFrame:
     """Retrieval from exchanges alone, and from exchanges and segments; only turn ids of exchanges count as retrieved."""
     c = F.col
     texts = qa.select("conv_id", c("qa_id").alias("id"), render.qa_document(c("topic"), c("core_entity"), c("intent"), c("entities"), c("user_input"), c("assistant_output")).alias("text"))
-    hits = _near(asked, texts, top_qa).join(qa.select(c("qa_id").alias("id"), "dia_id"), "id")
+    hits = _near(asked, texts, top_qa, embed).join(qa.select(c("qa_id").alias("id"), "dia_id"), "id")
     r = F.array_sort(F.collect_list(F.struct("rank", "dia_id", "document")))
     found = hits.groupBy("query_id").agg(r.alias("r")).select("query_id", c("r.dia_id").alias("retrieved_ids"), F.array_join(c("r.document"), "\n\n").alias("qa_context"))
     segments = segment_documents(qa).select("conv_id", c("segment_id").alias("id"), c("document").alias("text"))
     s = F.array_sort(F.collect_list(F.struct("rank", "document")))
-    above = _near(asked, segments, top_segment).groupBy("query_id").agg(s.alias("s")).select("query_id", F.array_join(c("s.document"), "\n\n").alias("segment_context"))
+    above = _near(asked, segments, top_segment, embed).groupBy("query_id").agg(s.alias("s")).select("query_id", F.array_join(c("s.document"), "\n\n").alias("segment_context"))
     both = found.join(above, "query_id", "left")
     parts = F.filter(F.array("segment_context", "qa_context"), lambda p: F.coalesce(p, F.lit("")) != "")
     return both.select("query_id", "retrieved_ids", "qa_context", F.array_join(parts, "\n\n").alias("context"))

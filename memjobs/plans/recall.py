@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as X
-from memjobs.functions.embed import embed_once
+from memjobs.functions.embed import Embed, embed_once
 from memjobs.operators import budget, evaluation, hierarchy, models
 from memjobs.operators import recall as R
 from memjobs.operators.vectors import scoped_top_k
@@ -350,33 +350,33 @@ def g22(spark, sf_dir):
 # -- end to end, with vectors
 
 
-def vector_hits(queries, rows, id_col, text, limit):
-    """Nearest rows of the query's own conversation by hashed embeddings."""
-    q = embed_once(queries.select("conv_id", "query_id", "question"), "question", "query")
-    i = embed_once(rows.select("conv_id", F.col(id_col).alias("id"), text.alias("text")), "text")
+def vector_hits(queries, rows, id_col, text, limit, embed: Embed = embed_once):
+    """Nearest rows of the query's own conversation, by hashed embeddings unless another embedder is given."""
+    q = embed(queries.select("conv_id", "query_id", "question"), "question", "query")
+    i = embed(rows.select("conv_id", F.col(id_col).alias("id"), text.alias("text")), "text", "embedding")
     return scoped_top_k(q.select("query_id", "query"), q.select("query_id", "conv_id"), i.select("id", "conv_id", "embedding"), limit, "conv_id")
 
 
-def scoped_hits(queries, scope, rows, id_col, parent, text, limit):
-    q = embed_once(queries.select("query_id", "question"), "question", "query")
-    i = embed_once(rows.select(F.col(id_col).alias("id"), parent, text.alias("text")), "text")
+def scoped_hits(queries, scope, rows, id_col, parent, text, limit, embed: Embed = embed_once):
+    q = embed(queries.select("query_id", "question"), "question", "query")
+    i = embed(rows.select(F.col(id_col).alias("id"), parent, text.alias("text")), "text", "embedding")
     return scoped_top_k(q, scope.select("query_id", parent), i, limit, parent)
 
 
-def descended(queries, exp, seg, qa):
+def descended(queries, exp, seg, qa, embed: Embed = embed_once):
     """Roots by vector and relational recall, and what stands below them, scored with scoped vector hits."""
-    found = kept(R.roots(queries, exp, vector_hits(queries, exp, "experience_id", F.col("summary"), 12)))
-    seg_hits = scoped_hits(queries, found, seg, "segment_id", "experience_id", F.col("summary"), 32)
+    found = kept(R.roots(queries, exp, vector_hits(queries, exp, "experience_id", F.col("summary"), 12, embed)))
+    seg_hits = scoped_hits(queries, found, seg, "segment_id", "experience_id", F.col("summary"), 32, embed)
     below = found.join(seg.select("segment_id", "experience_id"), "experience_id")
-    qa_hits = scoped_hits(queries, below, qa, "qa_id", "segment_id", F.col("user_input"), 64)
+    qa_hits = scoped_hits(queries, below, qa, "qa_id", "segment_id", F.col("user_input"), 64, embed)
     return found, *R.descend(queries, found, seg, qa, seg_hits, qa_hits)
 
 
-def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2, n_seg: int = 3, n_qa: int = 8):
+def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2, n_seg: int = 3, n_qa: int = 8, embed: Embed = embed_once):
     """Roots, descendants, rescue, pruning, tree, budget, selection and context for each query."""
-    found, *below = descended(queries, exp, seg, qa)
+    found, *below = descended(queries, exp, seg, qa, embed)
     segments, leaves = map(kept, below)
-    every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40), step=kept)
+    every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40, embed), step=kept)
     whole = tuple(map(kept, R.prune_orphans(*map(kept, every))))
     fitted = kept(budget.fit_trees(R.candidate_tree(*whole, exp, seg, qa).select("query_id", F.to_json("tree").alias("tree")), budget=token_budget))
     ids = "array<struct<id:string,segments:array<struct<id:string,qas:array<struct<id:string>>>>>>"
@@ -461,8 +461,8 @@ def g24(spark, sf_dir):
     return layered_recall(kept(asked(spark, sf_dir)), *layers(spark, sf_dir))
 
 
-def layered_recall(q, exp, seg, qa):
-    rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20), n, step=kept).select("query_id", "id", F.col("final_score").alias("score"))
+def layered_recall(q, exp, seg, qa, embed: Embed = embed_once):
+    rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20, embed), n, step=kept).select("query_id", "id", F.col("final_score").alias("score"))
             for m, level, text, n in ((exp, "experience", F.col("summary"), 8), (seg, "segment", F.col("summary"), 20), (qa, "qa", F.col("user_input"), 32))]
     rows = [kept(r) for r in rows]
     e = rows[0].withColumnRenamed("id", "experience_id")

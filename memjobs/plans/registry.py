@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjobs.plans import evaluation, memory, recall, scalar, sources
+from memjobs.plans import evaluation, letters, memory, recall, scalar, sources
 
-PLANS = (scalar, memory, evaluation, recall, sources)
+PLANS = (scalar, memory, evaluation, recall, letters, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
