@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memjobs.functions.embed import HashingEmbedder
 from memjobs.operators import baselines, hierarchy, routing
 from memjobs.plans.scalar import s_memory, s_words
 from memjobs.plans.tables import RECORDS, TURNS, query_id, records, table, turns
@@ -52,7 +53,67 @@ def memory(spark, sf_dir):
     return hierarchy.exact_topic_memory(records(spark, sf_dir))
 
 
-@query("e1_routed_memory")
+# -- routing in SQL: a recursion over each conversation's records, with its experiences as a list of structs
+
+
+def _codes(x: str) -> str:
+    """Bucket (from 1) times sign of each token of a text. SQL lacks the hash, so the words that topic records can have are listed."""
+    embedder = HashingEmbedder()
+    words = "topic entity intent t0 t1 t2 i0 i1 plan ask tell".split() + [f"e{k}" for k in range(10)]
+    places = {w: embedder.place(w) for w in words}
+    cases = " ".join(f"WHEN '{w}' THEN {int((b + 1) * sign)}" for w, (b, sign) in places.items())
+    return f"list_transform(regexp_extract_all(lower({x}), '[a-z0-9_]+'), lambda t: CASE t {cases} END)"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"coalesce(list_sum(list_transform({a}, lambda i: list_sum(list_transform({b}, lambda j: CASE WHEN abs(i) = abs(j) THEN sign(i) * sign(j) ELSE 0 END)))), 0)"
+
+
+_STATE = {"topic": "VARCHAR", "core_entity": "VARCHAR", "intents": "VARCHAR[]", "recent": "VARCHAR[]", "n_segments": "INT", "size": "INT", "segment_fresh": "INT", "segment_version": "INT", "version": "INT", "fresh": "INT"}
+_NONE = "CAST([] AS VARCHAR[])"
+
+
+def _with(x: str, **changes: str) -> str:
+    """An experience's struct with some of its fields changed."""
+    return "{" + ", ".join(f"'{c}': CAST({changes.get(c, f'{x}.{c}')} AS {t})" for c, t in _STATE.items()) + "}"
+
+
+def _put(xs: str, place: str, x: str) -> str:
+    return f"list_concat(list_concat(list_slice({xs}, 1, {place} - 1), [{x}]), list_slice({xs}, {place} + 1, len({xs})))"
+
+
+_ALIKE = f"CAST(len(list_intersect({s_memory('intent')}, {s_memory('e.recent[1]')})) AS DOUBLE) / sqrt(len({s_memory('intent')}) * len({s_memory('e.recent[1]')}))"
+_EVERY = hierarchy.SUMMARY_EVERY
+ROUTED = f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_ord, rec_ord) AS n, {_codes("'Topic: ' || topic || ' Entity: ' || core_entity")} AS asked FROM ({RECORDS})),
+fold AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS cur, CAST([] AS STRUCT({', '.join(f'{c} {t}' for c, t in _STATE.items())})[]) AS xs, '' AS action FROM (SELECT DISTINCT conv_id FROM r)
+    UNION ALL
+    SELECT conv_id, n, now, {_put('xs', 'now', 'e')}, action FROM (
+        SELECT conv_id, n, now, xs, action, {_with('e', segment_version='e.segment_version + CAST(e.segment_fresh >= ' + str(_EVERY) + ' AS INT)', segment_fresh='CASE WHEN e.segment_fresh >= ' + str(_EVERY) + ' THEN 0 ELSE e.segment_fresh END',
+            version='e.version + CAST(e.fresh >= ' + str(_EVERY) + ' AS INT)', fresh='CASE WHEN e.fresh >= ' + str(_EVERY) + ' THEN 0 ELSE e.fresh END')} AS e
+        FROM (
+            SELECT conv_id, n, now, xs, CASE WHEN cut AND action = 'append_segment' THEN 'new_segment' ELSE action END AS action,
+                {_with('e', intents='CASE WHEN list_contains(e.intents, intent) THEN e.intents ELSE list_append(e.intents, intent) END', recent='CASE WHEN cut THEN list_slice(list_concat([intent], e.recent), 1, 3) ELSE e.recent END',
+                n_segments='e.n_segments + CAST(cut AS INT)', size='CASE WHEN cut THEN 1 ELSE e.size + 1 END', segment_fresh='CASE WHEN cut THEN 1 ELSE e.segment_fresh + 1 END', segment_version='CASE WHEN cut THEN 1 ELSE e.segment_version END', fresh='e.fresh + CAST(cut AS INT)')} AS e
+            FROM (
+                SELECT *, e.n_segments = 0 OR (e.size >= 2 AND intent <> e.recent[1] AND {_ALIKE} < 0.8) AS cut FROM (
+                    SELECT *, xs[now] AS e FROM (
+                        SELECT conv_id, n, intent, CASE WHEN NOT changed THEN 'append_segment' WHEN best IS NULL THEN 'new_experience' ELSE 'switch_experience' END AS action,
+                            CASE WHEN NOT changed THEN cur WHEN best IS NULL THEN len(xs) + 1 ELSE best END AS now,
+                            CASE WHEN changed AND best IS NULL THEN list_append(xs, {_with('', topic='topic', core_entity='core_entity', intents=_NONE, recent=_NONE, n_segments='0', size='0', segment_fresh='0', segment_version='1', version='1', fresh='0')}) ELSE xs END AS xs
+                        FROM (
+                            SELECT *, CASE WHEN changed AND list_max(near) >= {routing.MATCH} THEN list_position(near, list_max(near)) END AS best FROM (
+                                SELECT *, list_transform(xs, lambda x: round(greatest(0.0, {_dot(_codes("'Topic: ' || x.topic || ' Entity: ' || x.core_entity || ' Intent: ' || array_to_string(list_concat(x.intents, x.recent), ' ')"), 'asked')}
+                                    / sqrt({_dot('asked', 'asked')} * {_dot(*[_codes("'Topic: ' || x.topic || ' Entity: ' || x.core_entity || ' Intent: ' || array_to_string(list_concat(x.intents, x.recent), ' ')")] * 2)})), 12)) AS near
+                                FROM (
+                                    SELECT conv_id, n, cur, topic, core_entity, intent, asked, changed,
+                                        CASE WHEN changed AND cur > 0 THEN {_put('xs', 'cur', _with('xs[cur]', segment_version='xs[cur].segment_version + 1', segment_fresh='0', version='xs[cur].version + 1', fresh='0'))} ELSE xs END AS xs
+                                    FROM (SELECT r.*, f.cur, f.xs, f.cur = 0 OR f.xs[f.cur].topic <> r.topic AS changed FROM fold AS f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1))))))))))
+SELECT conv_id, r.turn_ord, r.rec_ord, n AS seq, r.topic, r.intent, 'qa_' || conv_id || '_' || n AS qa_id, 'seg_' || conv_id || '_' || cur || '_' || xs[cur].n_segments AS segment_id, 'exp_' || conv_id || '_' || cur AS experience_id,
+    action, xs[cur].segment_version AS segment_version, xs[cur].version AS experience_version FROM fold JOIN r USING (conv_id, n)"""
+
+
+@query("e1_routed_memory", ROUTED)
 def e1(spark, sf_dir):
     return routing.routed(hierarchy.with_defaults(records(spark, sf_dir)))
 

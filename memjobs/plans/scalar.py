@@ -193,7 +193,11 @@ def c14(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", render.prompt(template, context=F.col("text"), question=F.col("turn")).alias("answer_prompt"))
 
 
-@query("c15_rerank_parsed")
+@query(
+    "c15_rerank_parsed",
+    f"""SELECT conv_id, turn_ord, '[{{"id":"' || dia_id || '","score":' || CAST(confidence AS VARCHAR) || ',"reason":""}}]' AS flat,
+    '[{{"id":"' || topic || '","score":1.0,"segments":[{{"id":"' || intent || '","score":0.0,"qas":[{{"id":"' || dia_id || '","score":0.0}}]}}]}}]' AS tree FROM ({RECORDS})""",
+)
 def c15(spark, sf_dir):
     """Rerank responses, flat and as a tree, put together from topic records."""
     rows = records(spark, sf_dir)
