@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from memjobs.functions import parse
 from memjobs.operators import evaluation, hierarchy, models
-from memjobs.plans.memory import MEMORY
+from memjobs.plans.memory import MEMORY, ROUTED
 from memjobs.plans.tables import RECORDS, TURNS, kept, query_id, records, shared_folder, table, turns
 from memjobs.sources import dialogue, records as stored_records
 from memjobs.streaming import ingest
@@ -180,30 +180,39 @@ def a5b(spark, sf_dir):
     return first.union(second)
 
 
-def _streamed(spark, rows, job, mode="append"):
-    """Run a streaming job over ``rows``, written to files first, until all are read; its output as a table."""
+def _streamed(spark, parts, job, mode="append"):
+    """Run a streaming job over ``parts``, written to files one after the other first, until all are read; its output as a table."""
     path = shared_folder(spark)
-    rows.repartition(4).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    for rows in parts:
+        rows.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
     q = job(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").format("parquet").option("path", f"{path}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
-@query("s1_streamed_routing")
-def s1(spark, sf_dir):
+def _routed_files(spark, parts):
     """Keyed state needs its store; the setting is put back after the run."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ingest.STATE_STORE)
     try:
-        return _routed_files(spark, sf_dir)
+        return _streamed(spark, parts, ingest.routed_stream)
     finally:
         spark.conf.set(name, before)
 
 
-def _routed_files(spark, sf_dir):
-    return _streamed(spark, hierarchy.with_defaults(records(spark, sf_dir)), ingest.routed_stream)
+@query("s1_streamed_routing")
+def s1(spark, sf_dir):
+    """Files in any order: later turns may come first, and what then comes late is rejected."""
+    return _routed_files(spark, [hierarchy.with_defaults(records(spark, sf_dir)).repartition(4)])
+
+
+@query("s1_streamed_in_order", ROUTED)
+def s1b(spark, sf_dir):
+    """Files in the order of the turns, a conversation's turns spread over several micro-batches: the rows of the batch job."""
+    rows = hierarchy.with_defaults(records(spark, sf_dir)).repartition(4, "conv_id")
+    return _routed_files(spark, [rows.where(when) for when in ("turn_ord < 1", "turn_ord >= 1 and turn_ord < 3", "turn_ord >= 3 and turn_ord < 5", "turn_ord >= 5")])
 
 
 @query("s2_streamed_upserts", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as X
-from memjobs.operators import budget, evaluation, routing, vectors
+from memjobs.functions.embed import embed_letters
+from memjobs.operators import baselines, budget, evaluation, routing, vectors
 from memjobs.operators import recall as R
 from memjobs.streaming import ingest
 
@@ -51,6 +52,30 @@ def test_grams_are_distinct_and_linear(spark):
     assert time.time() - began < 20
 
 
+# -- embedders
+
+
+def test_letter_counts(spark):
+    texts = ["Abba, éß Z!", "", None, "zZzZ" * 50_000, "İK 港口 b"]
+    df = embed_letters(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "v")
+    got = {r.i: r.v for r in df.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else [float(t.count(chr(c)) + t.count(chr(c - 32))) for c in range(97, 123)])
+
+
+def test_baselines_with_an_embedder_of_ones_own(spark):
+    """Null, blank and repeated texts; a turn without text asks nothing, is near to nothing and has no links."""
+    rows = [(1, 1, i, f"D1:{i}", "ann", t) for i, t in enumerate(["aab", "aab", None, " ", "ccc", "abb"])]
+    turns = spark.createDataFrame(rows, "conv_id long, session_num int, turn_ord int, dia_id string, speaker string, text string")
+    asked = turns.select("conv_id", F.col("turn_ord").cast("long").alias("query_id"), F.col("text").alias("question"))
+    flat = {r.query_id: r.retrieved_ids for r in baselines.flat_retrieval(turns, asked, 2, embed_letters).collect()}
+    assert flat[0] == ["D1:0", "D1:1"] and flat[4] and 2 not in flat and all(x not in ("D1:2", "D1:3") for ids in flat.values() for x in ids)
+    notes = {(r.query_id, r.id): r for r in baselines.note_search_of_turns(turns, asked, 3, embed_letters).collect()}
+    assert notes[0, "1/D1:0"].similarity == 1.0 and notes[0, "1/D1:1"].linked and (2, "1/D1:0") not in notes and all(i != "1/D1:2" for _, i in notes)
+    for f in (baselines.flat_retrieval, baselines.note_search_of_turns):
+        assert f(turns.where("false"), asked.where("false"), 2, embed_letters).count() == 0
+
+
 # -- scoped search
 
 
