@@ -290,7 +290,70 @@ def g15(spark, sf_dir):
     return R.tree_violations(kept(t.withColumn("tree", wrong)))
 
 
-@query("g16_fitted_trees")
+# -- fitting in SQL: what is removed is a prefix of an order, found by running sums of sizes. Texts aren't cut, which no tree of
+#    the given tables needs at 700 tokens.
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _bytes(x: str) -> str:
+    return f"strlen(CAST(to_json({x}) AS VARCHAR))"
+
+
+def _unit(x: str) -> str:
+    return f"greatest(0.0, least(1.0, {x}))"
+
+
+def _segment_score(own: str, local: str) -> str:
+    return _unit(f"0.65 * {own}[1] + 0.20 * (list_sum({own}[1:3]) / len({own}[1:3])) + 0.15 * {local}")
+
+
+def _experience_score(own: str, local: str) -> str:
+    return _unit(f"0.60 * {own}[1] + 0.25 * (list_sum({own}[1:2]) / len({own}[1:2])) + 0.15 * {local}")
+
+
+def _grown(n: int, leaves: str) -> str:
+    """``g<n>`` segments and ``h<n>`` experiences of the leaves that are left, in the order of the first scores, with their scores now."""
+    place = "" if n == 0 else "JOIN g0 AS z USING (query_id, segment_id)"
+    above = "" if n == 0 else "JOIN h0 AS z USING (query_id, experience_id)"
+    first = "w.sc" if n == 0 else "z.sc"
+    return f""", w{n} AS (SELECT query_id, experience_id, segment_id, list(l ORDER BY l DESC) AS own, list(node ORDER BY l DESC, qa_id) AS qas FROM {leaves} GROUP BY ALL),
+    g{n} AS (SELECT w.query_id, w.experience_id, w.segment_id, w.sc, {first} AS sc0, {{'id': w.segment_id, 'intent': w.intent, 'summary': w.summary, 'qas': w.qas, 'local_score': w.l}} AS node
+        FROM (SELECT *, {_segment_score('own', 'l')} AS sc FROM w{n} JOIN segs USING (query_id, segment_id)) AS w {place}),
+    v{n} AS (SELECT query_id, experience_id, list(sc ORDER BY sc DESC) AS own, list(node ORDER BY sc0 DESC, segment_id) AS segments FROM g{n} GROUP BY ALL),
+    h{n} AS (SELECT w.query_id, w.experience_id, w.sc, {first} AS sc0, len(w.segments) AS n_segments, {{'id': w.experience_id, 'topic': w.topic, 'core_entity': w.core_entity, 'intents': w.intents, 'summary': w.summary, 'segments': w.segments, 'local_score': w.l}} AS node
+        FROM (SELECT *, {_experience_score('own', 'l')} AS sc FROM v{n} JOIN exps USING (query_id, experience_id)) AS w {above})"""
+
+
+def _size(n: int) -> str:
+    return f", t{n} AS (SELECT query_id, to_json(list(node ORDER BY sc0 DESC, experience_id)) AS tree, {_bytes('list(node ORDER BY sc0 DESC, experience_id)')} AS total, count(*) AS n_exp, sum(n_segments) AS n_seg FROM h{n} GROUP BY query_id)"
+
+
+def _removed(name: str, rows: str, n: int, id_col: str, score: str, spared: str, most: str, budget: int = 700) -> str:
+    """Rows of ``rows`` that go, the lowest score first, while the tree is too large; ``spared`` are never taken, nor more than ``most``."""
+    return f""", {name} AS (SELECT query_id, {id_col}, nth FROM (
+        SELECT *, row_number() OVER o AS nth, total - coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT *, {_bytes('node')} + 1 AS size, {spared} AS spared FROM {rows}) JOIN (SELECT query_id, total, n_exp, n_seg FROM t{n}) USING (query_id) WHERE NOT spared WINDOW o AS (PARTITION BY query_id ORDER BY {score}, {id_col}))
+        WHERE before > {3 * budget} AND nth <= {most})"""
+
+
+_LAST = "row_number() OVER (PARTITION BY query_id, {} ORDER BY {} DESC, {} DESC) = 1"
+FITTED = MEMORY + _PLAIN + f""", leaves AS (SELECT query_id, experience_id, segment_id, qa_id, round(score, 4) AS l, {{'id': qa_id, 'user_input': u, 'assistant_output': '', 'local_score': round(score, 4)}} AS node FROM pq JOIN (
+        SELECT qa_id, CASE WHEN length(u) <= 320 THEN u ELSE rtrim(substr(u, 1, 320), {_WHITE}) || '...' END AS u FROM (SELECT qa_id, trim(user_input, {_WHITE}) AS u FROM qa)) USING (qa_id)),
+    segs AS (SELECT query_id, ps.segment_id, segsum.intent, summary, round(score, 4) AS l FROM ps JOIN segsum ON segsum.conv_id = query_id AND segsum.segment_id = ps.segment_id),
+    said AS (SELECT experience_id, list(intent ORDER BY f) AS intents FROM (SELECT experience_id, intent, min(seq) AS f FROM qa GROUP BY ALL) GROUP BY ALL),
+    exps AS (SELECT query_id, px.experience_id, topic, core_entity, intents, n || ' segments; intents: ' || array_to_string(intents, ', ') || '; last: ' || last AS summary, round(score, 4) AS l FROM px JOIN said USING (experience_id)
+        JOIN (SELECT experience_id, arg_min(topic, seq) AS topic, arg_min(core_entity, seq) AS core_entity FROM qa GROUP BY ALL) USING (experience_id) JOIN (SELECT experience_id, count(*) AS n, arg_max(summary, created_at) AS last FROM segsum GROUP BY ALL) USING (experience_id))
+    """ + _grown(0, "leaves") + _size(0) + _removed("gone_q", "leaves", 0, "qa_id", "l", _LAST.format("segment_id", "l", "qa_id"), "1000000") + ", left1 AS (SELECT * FROM leaves ANTI JOIN gone_q USING (query_id, qa_id))" \
+    + _grown(1, "left1") + _size(1) + _removed("gone_s", "g1", 1, "segment_id", "sc", _LAST.format("experience_id", "sc", "segment_id"), "n_seg - 2") + ", left2 AS (SELECT * FROM left1 ANTI JOIN gone_s USING (query_id, segment_id))" \
+    + _grown(2, "left2") + _size(2) + _removed("gone_x", "h2", 2, "experience_id", "sc", "false", "least(n_exp, n_seg) - 2") + ", left3 AS (SELECT * FROM left2 ANTI JOIN gone_x USING (query_id, experience_id))" \
+    + _grown(3, "left3") + _size(3) + """
+    SELECT query_id, CAST(t3.tree AS VARCHAR) AS tree, CAST(ceil(t0.total / 3) AS INT) AS tokens_before, CAST(ceil(t3.total / 3) AS INT) AS tokens_after, t3.total > 2100 AS overflow, coalesce(rq, []) AS removed_qa, coalesce(rs, []) AS removed_segments, coalesce(rx, []) AS removed_experiences, 0 AS clipped
+    FROM t0 JOIN t3 USING (query_id) LEFT JOIN (SELECT query_id, list(qa_id ORDER BY nth) AS rq FROM gone_q GROUP BY ALL) USING (query_id) LEFT JOIN (SELECT query_id, list(segment_id ORDER BY nth) AS rs FROM gone_s GROUP BY ALL) USING (query_id)
+    LEFT JOIN (SELECT query_id, list(experience_id ORDER BY nth) AS rx FROM gone_x GROUP BY ALL) USING (query_id)"""
+
+
+@query("g16_fitted_trees", FITTED)
 def g16(spark, sf_dir):
     """Trees fitted to 700 tokens."""
     return budget.fit_trees(_trees(spark, sf_dir).select("query_id", F.to_json("tree").alias("tree")), budget=700)
