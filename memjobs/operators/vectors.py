@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BLOCK, SLICE = 2048, 4096
 #: Items of a part, where the queries are too many to send to every task; of one parent, where items are searched by parent.
 PART, SCOPE_PART = 1 << 18, 1 << 14
+#: Decimals of a similarity.
+DIGITS = 12
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -41,7 +43,7 @@ def ranked(pairs: DataFrame, k: int, query_col: str = "query_id", id_col: str =
 
 def top_k(
     queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query", item_id: str = "id", item_vector: str = "embedding",
-    same: tuple[str, str] | None = None, least: float | None = None, values: int = 1 << 22,
+    same: tuple[str, str] | None = None, least: float | None = None, values: int = 1 << 22, digits: int = DIGITS,
 ) -> DataFrame:
     """query_id, id, similarity, rank: exact nearest items. ``same``: a query column and an item column that must be equal.
 
@@ -50,6 +52,7 @@ def top_k(
     pair of a block and a part is streamed from a sorted partition, so that memory holds one block. Either way a task keeps
     its own first ``k``, so k rows for each query and task are shuffled, whatever the number of items. A condition is
     applied before the ranking. A zero vector has similarity 0, a null one or one with a null number isn't compared.
+    Similarities are rounded to ``digits`` before the ranking, so that what is equal when shown goes by id.
     """
     scope = [F.col(c).cast("string").alias("s") for c in same] if same else [F.lit(None).cast("string").alias("s")] * 2
     asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<float>").alias("v"), scope[0]).where("v is not null")
@@ -60,14 +63,14 @@ def top_k(
     out = "query_id long, id long, similarity double"
     if size <= values:
         block = items.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks().to_batches())
-        return ranked(pool.mapInArrow(_against(block, k, bool(same), least), out), k)
+        return ranked(pool.mapInArrow(_against(block, k, bool(same), least, digits), out), k)
     parts, blocks = -(-pool.count() // PART), -(-size // values)
     if not parts:
         return ranked(pool.sparkSession.createDataFrame([], out), k)
     left = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "*")
     right = pool.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "*")
     pairs = left.union(right).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
-    return ranked(pairs.mapInArrow(_pairwise(k, bool(same), least), out), k)
+    return ranked(pairs.mapInArrow(_pairwise(k, bool(same), least, digits), out), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -101,8 +104,8 @@ def _once(items: pa.RecordBatch) -> pa.RecordBatch:
 class _Nearest:
     """The first ``k`` items of each of some queries, by similarity and then id, of all items added so far."""
 
-    def __init__(self, asked: pa.RecordBatch, k: int, scoped: bool, least: float | None):
-        self.k, self.scoped = k, scoped
+    def __init__(self, asked: pa.RecordBatch, k: int, scoped: bool, least: float | None, digits: int):
+        self.k, self.scoped, self.digits = k, scoped, digits
         self.ids, self.matrix = _ids(asked, "q" if "q" in asked.schema.names else "id"), _matrix(asked.column("v"))
         self.scopes = np.array(asked.column("s").to_pylist(), dtype=object)
         self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, _ids(asked.slice(0, 0)).dtype), np.empty(0)
@@ -110,7 +113,7 @@ class _Nearest:
 
     def add(self, items: pa.RecordBatch) -> None:
         items = _once(items)
-        score = np.round(np.clip(self.matrix @ _matrix(items.column("v")).T, 0.0, 1.0), 12)
+        score = np.round(np.clip(self.matrix @ _matrix(items.column("v")).T, 0.0, 1.0), self.digits)
         if self.scoped:
             score[self.scopes[:, None] != np.array(items.column("s").to_pylist(), dtype=object)[None, :]] = -1.0
         np.nan_to_num(score, copy=False, nan=-1.0)
@@ -135,11 +138,11 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
-def _against(block, k: int, scoped: bool, least: float | None):
+def _against(block, k: int, scoped: bool, least: float | None, digits: int):
     """Compares the items of a task with the queries that were sent to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = [_Nearest(b, k, scoped, least) for whole in block.value for b in _slices(whole, BLOCK)]
+        near = [_Nearest(b, k, scoped, least, digits) for whole in block.value for b in _slices(whole, BLOCK)]
         for batch in batches:
             for part in _slices(batch, SLICE):
                 for n in near:
@@ -149,7 +152,7 @@ def _against(block, k: int, scoped: bool, least: float | None):
     return run
 
 
-def _pairwise(k: int, scoped: bool, least: float | None):
+def _pairwise(k: int, scoped: bool, least: float | None, digits: int):
     """Compares, for each block and part, the queries, which come first, with the items behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def _pairwise(k: int, scoped: bool, least: float | None):
                     key, near = tuple(keys[a, :2]), []
                 same = batch.slice(a, b - a)
                 if keys[a, 2] == 0:
-                    near += [_Nearest(q, k, scoped, least) for q in _slices(same, BLOCK)]
+                    near += [_Nearest(q, k, scoped, least, digits) for q in _slices(same, BLOCK)]
                     continue
                 for part in _slices(same, SLICE):
                     for n in near:
@@ -175,7 +178,7 @@ def _pairwise(k: int, scoped: bool, least: float | None):
     return run
 
 
-def scoped_top_k(queries: DataFrame, scope: DataFrame, items: DataFrame, k: int, parent: str, block: int = BLOCK, part: int = SCOPE_PART) -> DataFrame:
+def scoped_top_k(queries: DataFrame, scope: DataFrame, items: DataFrame, k: int, parent: str, block: int = BLOCK, part: int = SCOPE_PART, digits: int = DIGITS) -> DataFrame:
     """Nearest items among the children of a query's allowed parents: query_id, id, similarity, rank.
 
     ``queries`` (query_id, query), ``scope`` (query_id, parent), ``items`` (id, parent, embedding). An empty scope gives
@@ -205,7 +208,7 @@ def scoped_top_k(queries: DataFrame, scope: DataFrame, items: DataFrame, k: int,
 
     both = dealt(asked, "blocks", "parts", 0).union(dealt(pool.join(allowed.select("s").distinct(), "s", "left_semi"), "parts", "blocks", 1))
     met = both.repartition("block", "part").sortWithinPartitions("block", "part", "kind")
-    found = met.mapInArrow(_pairwise(k, True, None), f"query_id {wide['q']}, id {wide['id']}, similarity double").distinct()
+    found = met.mapInArrow(_pairwise(k, True, None, digits), f"query_id {wide['q']}, id {wide['id']}, similarity double").distinct()
     return ranked(found, k)
 
 
