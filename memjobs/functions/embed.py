@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memjobs.functions.text import bound
+
 DIMENSIONS = 128
 #: Adds the vector of a text column: (rows, text column, name of the vector) to rows.
 Embed = Callable[[DataFrame, str, str], DataFrame]
@@ -77,9 +79,10 @@ def hit_rate(rows: DataFrame, text_col: str) -> DataFrame:
 
 def letter_counts(text: Column) -> Column:
     """How often each of the letters a to z stands in a text, in either case; null for null. No Python is called."""
-    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    counts = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.char(c), F.lit("")))).cast("float"))
-    return F.when(text.isNotNull(), counts)
+    def counts(low: Column) -> Column:
+        return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.char(c), F.lit("")))).cast("float"))
+
+    return F.when(text.isNotNull(), bound(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), counts))
 
 
 def embed_letters(rows: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:

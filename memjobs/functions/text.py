@@ -73,12 +73,13 @@ def _stems(word: Column) -> Column:
 def lexical_units(text: Column) -> Column:
     """Words of more than one character with their likely stems, and pairs of neighbouring CJK characters; distinct."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}]", " "), " +"), lambda w: F.length(w) > 1)
-    han = F.regexp_replace(low, f"[^{CJK}]", "")
-    pairs = F.when(
-        F.length(han) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(han) - 1, F.lit(1))), lambda i: F.substring(han, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.flatten(F.transform(words, _stems)), pairs))
+    words = F.filter(F.array_distinct(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), " ")), lambda w: F.length(w) > 1)
+    none = F.array().cast("array<string>")
+
+    def pairs(han: Column) -> Column:
+        return F.when(F.length(han) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(han) - 1, F.lit(1))), lambda i: F.substring(han, i, F.lit(2)))).otherwise(none)
+
+    return F.array_distinct(F.concat(F.flatten(F.transform(words, _stems)), bound(F.regexp_replace(low, f"[^{CJK}]+", ""), pairs)))
 
 
 def keyword_terms(query: Column, *excluded: Column, limit: int = MOST_TERMS) -> Column:

@@ -128,7 +128,7 @@ def keyword(queries: DataFrame, rows: DataFrame, level: str, limit: int, terms:
     """Rows whose searchable text contains a keyword of the query; the newest first. Looked up in an index of n-grams."""
     id_col = LEVELS[level]
     if terms is None:
-        terms = X.keyword_terms(keyword_text(), F.col("topic"), F.col("core_entity"), F.col("intent"))
+        queries, terms = prepared(queries), F.col("terms")
     asked = queries.select("query_id", "conv_id", terms.alias("terms")).where(F.size("terms") > 0)
     order = "seq" if level == "qa" else "updated_at"
     given = rows.where("status = 'active'") if "status" in rows.columns else rows
@@ -141,6 +141,34 @@ def keyword_text() -> Column:
     return render.keyword_query_text(*(F.col(c) for c in ("topic", "core_entity", "intent", "entities", "question")))
 
 
+def hashes(units: Column) -> Column:
+    """Units as 64-bit hashes: what is compared with many rows is short and compares fast."""
+    return F.transform(units, lambda u: F.xxhash64(u))
+
+
+def prepared(queries: DataFrame) -> DataFrame:
+    """Queries with their keywords taken apart, once if the result is written: ``terms`` without the units of the query's own fields,
+    ``wide_terms`` with them, and ``q_units``, the hashes of the units of ``terms``. Operators that need them add them if they aren't there."""
+    if "q_units" in queries.columns:
+        return queries
+    fields = F.col("topic"), F.col("core_entity"), F.col("intent")
+    rows = queries.withColumns({"terms": X.keyword_terms(keyword_text(), *fields), "wide_terms": X.keyword_terms(keyword_text())})
+    return rows.withColumn("q_units", hashes(X.lexical_units(F.array_join("terms", " "))))
+
+
+def with_units(memory: DataFrame, level: str, queries: DataFrame | None = None) -> DataFrame:
+    """``memory`` with ``units``, the hashes of the units of its searchable text: a row's text is taken apart once, not once a pair.
+
+    With ``queries``, only units that some query of the row's conversation asks for; the result is for these queries.
+    """
+    rows = memory.withColumn("units", hashes(X.lexical_units(searchable(memory, level))))
+    if queries is None:
+        return rows
+    wanted = prepared(queries).select("conv_id", F.explode("q_units").alias("unit")).groupBy("conv_id").agg(F.collect_set("unit").alias("wanted"))
+    met = F.array_intersect(F.coalesce("wanted", F.array().cast("array<bigint>")), "units")
+    return rows.join(wanted, "conv_id", "left").withColumn("units", met).drop("wanted")
+
+
 def qa_search(queries: DataFrame, qa: DataFrame, limit: int = 40, step: Step = as_is) -> DataFrame:
     """Active exchanges that share topic, core entity or an entity with the query, or contain a keyword; the newest first."""
     active = qa.where("status = 'active'")
@@ -149,7 +177,7 @@ def qa_search(queries: DataFrame, qa: DataFrame, limit: int = 40, step: Step = a
     given = active.select("conv_id", F.col("qa_id").alias("id"), F.explode("entities").alias("e")).select("conv_id", "id", F.lower("e").alias("value"))
     named = asked.join(given, ["conv_id", "value"]).select("query_id", "id")
     text = F.lower(F.concat_ws(" ", "user_input", "assistant_output", "intent"))
-    terms = queries.select("query_id", "conv_id", X.keyword_terms(keyword_text()).alias("terms")).where(F.size("terms") > 0)
+    terms = prepared(queries).select("query_id", "conv_id", F.col("wide_terms").alias("terms")).where(F.size("terms") > 0)
     told = keyword_hits(step(terms), active.select("conv_id", F.col("qa_id").alias("id"), text.alias("text")), step).select("query_id", "id")
     every = same.union(named).union(told).distinct().join(active.select(F.col("qa_id").alias("id"), F.col("seq").alias("updated_at")), "id")
     return first(every, ["query_id"], [F.desc("updated_at"), F.col("id")], limit)
@@ -178,19 +206,19 @@ def scored(rows: DataFrame, cached: Column | None = None) -> DataFrame:
 
 def with_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """The query's fields as ``q_*``, and the units of its keywords, taken apart before the join: once a query, not once a row."""
-    terms = X.keyword_terms(keyword_text(), F.col("topic"), F.col("core_entity"), F.col("intent"))
-    units = X.lexical_units(F.array_join(terms, " ")).alias("q_units")
-    return rows.join(queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("topic", "core_entity", "intent", "entities", "question")), units), "query_id")
+    fields = (F.col(c).alias(f"q_{c}") for c in ("topic", "core_entity", "intent", "entities", "question"))
+    return rows.join(prepared(queries).select("query_id", *fields, "q_units"), "query_id")
 
 
 def candidate(rows: DataFrame, memory: DataFrame, queries: DataFrame, level: str, keywords: bool = True) -> DataFrame:
     """(query_id, id, similarity) rows with their memory row, the structure and keyword scores and the candidate score."""
     id_col = LEVELS[level]
+    if keywords and "units" not in memory.columns:
+        memory = with_units(memory, level)
     joined = with_query(rows.join(memory.withColumnRenamed(id_col, "id"), "id"), queries)
     intents = F.col("intents_link") if level == "experience" else F.array("intent")
-    text = searchable(joined, level)
     joined = joined.withColumn("structure_score", structure(F.col("topic"), F.col("core_entity"), intents))
-    joined = joined.withColumn("keyword_score", X.unit_overlap(F.col("q_units"), X.lexical_units(text)) if keywords else F.lit(0.0))
+    joined = joined.withColumn("keyword_score", X.unit_overlap(F.col("q_units"), F.col("units")) if keywords else F.lit(0.0))
     out = scored(joined)
     if level == "qa":
         out = out.withColumn("score", clamp(0.95 * F.col("score") + 0.05 * F.coalesce("confidence", F.lit(0.0))))

@@ -12,9 +12,9 @@ from memjobs.functions.embed import embed_letters
 from memjobs.operators import baselines
 from memjobs.plans import recall
 from memjobs.plans.memory import MEMORY, memory
-from memjobs.plans.recall import asked, layers
+from memjobs.plans.recall import asking, layers
 from memjobs.plans.scalar import s_overlap, s_terms
-from memjobs.plans.tables import TURNS, kept, query_id, turns
+from memjobs.plans.tables import TURNS, query_id, turns
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -172,7 +172,8 @@ q1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
     MEMORY + DESCENT + """SELECT query_id, qa_id, segment_id, round(score, 6) AS score, CASE WHEN sim IS NULL THEN 'initial_experience_descendant' ELSE 'initial_experience_descendant,scoped_qa_vector' END AS sources FROM leaf""",
 )
 def g7(spark, sf_dir):
-    _, _, leaves = recall.descended(kept(asked(spark, sf_dir)), *layers(spark, sf_dir), embed=embed_letters)
+    q, (exp, seg, qa) = asking(spark, sf_dir), layers(spark, sf_dir)
+    _, _, leaves = recall.descended(q, exp, *recall.with_units(q, seg, qa), embed=embed_letters)
     return leaves.withColumn("score", F.round("score", 6)).withColumn("sources", F.array_join("sources", ","))
 
 
@@ -196,7 +197,7 @@ s4 AS (SELECT * FROM s3 SEMI JOIN q3 USING (query_id, segment_id)), x4 AS (SELEC
 )
 def g23(spark, sf_dir):
     """Recall with a token budget that no tree of these conversations reaches; what a budget cuts is in ``g16_fitted_trees``."""
-    x, s, q, _ = recall.recalled(kept(asked(spark, sf_dir)), *layers(spark, sf_dir), token_budget=1 << 30, embed=embed_letters)
+    x, s, q, _ = recall.recalled(asking(spark, sf_dir), *layers(spark, sf_dir), token_budget=1 << 30, embed=embed_letters)
     level = lambda rows, name: rows.select("query_id", F.lit(name).alias("level"), F.col(f"{name}_id").alias("id"), "rank")
     return level(x, "experience").union(level(s, "segment")).union(level(q, "qa"))
 
@@ -223,4 +224,4 @@ l_{n} AS (SELECT query_id, id, final AS score FROM (SELECT *, round(least(1.0, 0
     """ + s_select("xf", "sf", "qf", 8, 20, 32) + "SELECT query_id, experience_id AS id, rank FROM x1 UNION ALL SELECT query_id, segment_id, rank FROM s1 UNION ALL SELECT query_id, qa_id, rank FROM q1",
 )
 def g24(spark, sf_dir):
-    return recall.layered_recall(kept(asked(spark, sf_dir)), *layers(spark, sf_dir), embed=embed_letters)
+    return recall.layered_recall(asking(spark, sf_dir), *layers(spark, sf_dir), embed=embed_letters)

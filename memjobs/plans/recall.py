@@ -37,6 +37,11 @@ def exchanges(spark, sf_dir):
     return kept(hierarchy.exact_topic_memory(records(spark, sf_dir)))
 
 
+def asking(spark, sf_dir):
+    """The queries with their keywords taken apart, which many steps read."""
+    return kept(R.prepared(asked(spark, sf_dir)))
+
+
 def layers(spark, sf_dir):
     return layers_of(exchanges(spark, sf_dir))
 
@@ -426,6 +431,11 @@ def scoped_hits(queries, scope, rows, id_col, parent, text, limit, embed: Embed
     return scoped_top_k(q, scope.select("query_id", parent), i, limit, parent)
 
 
+def with_units(queries, seg, qa):
+    """Segments and exchanges with the units that these queries ask for, taken apart once."""
+    return kept(R.with_units(seg, "segment", queries)), kept(R.with_units(qa, "qa", queries))
+
+
 def descended(queries, exp, seg, qa, embed: Embed = embed_once):
     """Roots by vector and relational recall, and what stands below them, scored with scoped vector hits."""
     found = kept(R.roots(queries, exp, vector_hits(queries, exp, "experience_id", F.col("summary"), 12, embed)))
@@ -437,6 +447,7 @@ def descended(queries, exp, seg, qa, embed: Embed = embed_once):
 
 def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2, n_seg: int = 3, n_qa: int = 8, embed: Embed = embed_once):
     """Roots, descendants, rescue, pruning, tree, budget, selection and context for each query."""
+    seg, qa = with_units(queries, seg, qa)
     found, *below = descended(queries, exp, seg, qa, embed)
     segments, leaves = map(kept, below)
     every = R.rescue(queries, found, segments, leaves, exp, seg, qa, vector_hits(queries, qa, "qa_id", F.col("user_input"), 40, embed), step=kept)
@@ -458,7 +469,8 @@ def recalled(queries, exp, seg, qa, token_budget: int = 30_000, n_exp: int = 2,
 
 @query("g7_descendants")
 def g7(spark, sf_dir):
-    _, _, leaves = descended(kept(asked(spark, sf_dir)), *layers(spark, sf_dir))
+    q, (exp, seg, qa) = asking(spark, sf_dir), layers(spark, sf_dir)
+    _, _, leaves = descended(q, exp, *with_units(q, seg, qa))
     return leaves.withColumn("score", F.round("score", 6))
 
 
@@ -471,7 +483,7 @@ def g7(spark, sf_dir):
 )
 def g8(spark, sf_dir):
     """Rescue alone: no roots, no vector hits; what relational search finds, with its ancestors."""
-    q, (exp, seg, qa) = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
+    q, (exp, seg, qa) = asking(spark, sf_dir), layers(spark, sf_dir)
     tags = F.array().cast("array<string>")
     none = [kept(df.withColumn("sources", tags).where("false")) for df in plain(spark, sf_dir, (exp, seg, qa))]
     hits = q.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("similarity")).where("false")
@@ -481,7 +493,7 @@ def g8(spark, sf_dir):
 
 @query("g23_recall")
 def g23(spark, sf_dir):
-    q, frames = kept(asked(spark, sf_dir)), layers(spark, sf_dir)
+    q, frames = asking(spark, sf_dir), layers(spark, sf_dir)
     _, _, leaves, fitted = recalled(q, *frames)
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "qa_id"))), lambda s: s["qa_id"])
     return leaves.groupBy("query_id").agg(order.alias("qa_ids")).join(fitted.select("query_id", "tokens_after", "overflow"), "query_id")
@@ -500,7 +512,7 @@ class Recall:
 
     def retrieve(self, questions):
         about = records_of(questions.select("conv_id", "turn_ord", "dia_id", "speaker", F.col("question").alias("text")))
-        q = kept(about.select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question")))
+        q = kept(R.prepared(about.select(query_id(), "conv_id", "topic", "core_entity", "intent", "entities", "confidence", F.col("user_input").alias("question"))))
         _, _, leaves, _ = recalled(q, *self.memory, token_budget=self.token_budget, n_qa=self.n_qa)
         rows = leaves.select("query_id", "qa_id", "rank").join(self.memory[2].select("qa_id", "dia_id", "user_input"), "qa_id")
         r = F.array_sort(F.collect_list(F.struct("rank", "dia_id", "user_input")))
@@ -521,10 +533,11 @@ def h18b(spark, sf_dir):
 @query("g24_layered_recall")
 def g24(spark, sf_dir):
     """The older recall, one layer at a time, completed and pruned."""
-    return layered_recall(kept(asked(spark, sf_dir)), *layers(spark, sf_dir))
+    return layered_recall(asking(spark, sf_dir), *layers(spark, sf_dir))
 
 
 def layered_recall(q, exp, seg, qa, embed: Embed = embed_once):
+    exp, (seg, qa) = kept(R.with_units(exp, "experience", q)), with_units(q, seg, qa)
     rows = [R.layered(q, m, level, vector_hits(q, m, R.LEVELS[level], text, 20, embed), n, step=kept).select("query_id", "id", F.col("final_score").alias("score"))
             for m, level, text, n in ((exp, "experience", F.col("summary"), 8), (seg, "segment", F.col("summary"), 20), (qa, "qa", F.col("user_input"), 32))]
     rows = [kept(r) for r in rows]

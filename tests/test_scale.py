@@ -2,8 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from memjobs.functions import embed
+from memjobs.functions import text as X
+from memjobs.operators import recall as R
+from memjobs.plans.tables import kept
 
 
 def against_sql(spark, folder, name, **tables):
@@ -23,3 +28,29 @@ def test_what_is_equal_when_shown_goes_by_id(spark, tmp_path, name):
     rows = [(0, [1.0, 0.0], 0)] + [(i, [1.0, 2e-4 - i * 1e-5], i // 8) for i in range(1, 13)]
     got, want = against_sql(spark, tmp_path, name, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     assert got == want and want
+
+
+# -- texts are taken apart once
+
+
+def test_letters_are_lowered_once_a_text(spark):
+    rows = spark.createDataFrame([("Abba",)], "t string").select(embed.letter_counts(F.col("t")).alias("v"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("translate(") == 1 and rows.first()[0][:3] == [2.0, 2.0, 0.0]
+
+
+def test_units_are_taken_apart_before_rows_meet(spark):
+    """Scores by the units that the queries ask for are those by all units; a pair's text is not taken apart."""
+    texts = ["Boats rowed to harbours", "the boat sails", "港口汽车 boats", "", None, "engines and boats running"]
+    cols = "conv_id long, qa_id string, topic string, core_entity string, intent string, user_input string, assistant_output string, entities array<string>, confidence double"
+    qa = kept(spark.createDataFrame([(i % 2, f"q{i}", "t", "e", "i", t, "", ["x"], 0.5) for i, t in enumerate(texts * 2)], cols))
+    cols = "query_id long, conv_id long, topic string, core_entity string, intent string, entities array<string>, question string"
+    asked = kept(R.prepared(spark.createDataFrame([(i, i % 2, "t", "e", "i", ["x"], t or "") for i, t in enumerate(texts)], cols)))
+    pairs = asked.select("query_id", "conv_id").join(qa.select("conv_id", F.col("qa_id").alias("id")), "conv_id").select("query_id", "id", F.lit(0.5).alias("similarity"))
+    told = kept(R.with_units(qa, "qa", asked))
+    score = lambda memory: R.candidate(pairs, memory, asked, "qa").select("query_id", "id", "keyword_score", "score")
+    assert sorted(score(told).collect()) == sorted(score(qa).collect()) and score(told).where("keyword_score > 0").count() > 5
+    assert "split(" not in score(told)._jdf.queryExecution().optimizedPlan().toString()
+    want = asked.select("query_id", X.keyword_terms(R.keyword_text(), *map(F.col, ("topic", "core_entity", "intent"))).alias("terms")).join(
+        qa.select("conv_id", F.col("qa_id").alias("id"), R.searchable(qa, "qa").alias("text")).join(asked.select("query_id", "conv_id"), "conv_id"), "query_id")
+    want = want.select("query_id", "id", X.keyword_score(F.col("terms"), F.col("text")).alias("k"))
+    assert sorted(map(tuple, want.collect())) == sorted((r.query_id, r.id, r.keyword_score) for r in score(told).collect())
