@@ -134,6 +134,49 @@ class _Nearest:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.item), pa.array(self.score)], names=["query_id", "id", "similarity"])
 
 
+def every_pair(
+    queries: DataFrame, items: DataFrame, same: tuple[str, str], query_id: str = "query_id", query_vector: str = "query", item_id: str = "id", item_vector: str = "embedding", values: int = 1 << 22,
+) -> DataFrame:
+    """query_id, id, similarity of every query and item whose ``same`` columns are equal, as ``similarity`` gives it.
+
+    Query vectors of at most ``values`` numbers in all are sent to the tasks and multiplied with the items in blocks; the items
+    aren't shuffled. More of them, and vectors that are null, not finite or of another length, are joined row by row.
+    """
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<float>").alias("v"), F.col(same[0]).cast("string").alias("s")).where("s is not null")
+    pool = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_vector).cast("array<float>").alias("w"), F.col(same[1]).cast("string").alias("s")).where("s is not null")
+    size, width = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, "s").select(F.col("q").alias("query_id"), F.col("i").alias("id"), similarity(F.col("v"), F.col("w")).alias("similarity"))
+
+    if size > values:
+        return joined(asked, pool)
+
+    def plain(v: str) -> Column:
+        odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return F.coalesce((F.size(v) == width) & ~odd, F.lit(False))
+
+    block = queries.sparkSession.sparkContext.broadcast(asked.where(plain("v")).toArrow().combine_chunks().to_batches())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_scope: dict[str, list] = {}
+        for b in block.value:
+            ids, unit, scopes = _ids(b, "q"), _matrix(b.column("v")), np.array(b.column("s").to_pylist(), dtype=object)
+            for s in set(scopes):
+                by_scope.setdefault(s, []).extend((ids[scopes == s][at : at + BLOCK], unit[scopes == s][at : at + BLOCK]) for at in range(0, int((scopes == s).sum()), BLOCK))
+        for batch in batches:
+            ids, unit, scopes = _ids(batch, "i"), _matrix(batch.column("w")), np.array(batch.column("s").to_pylist(), dtype=object)
+            for s in set(scopes) & set(by_scope):
+                for at in range(0, int((scopes == s).sum()), 64):
+                    own, near = ids[scopes == s][at : at + 64], unit[scopes == s][at : at + 64]
+                    for asking, vectors in by_scope[s]:
+                        score = np.clip(near @ vectors.T, 0.0, 1.0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(asking, len(own))), pa.array(np.repeat(own, len(asking))), pa.array(score.ravel())], names=["query_id", "id", "similarity"])
+
+    found = pool.where(plain("w")).mapInArrow(run, "query_id long, id long, similarity double")
+    return found.union(joined(asked, pool.where(~plain("w")))).union(joined(asked.where(~plain("v")), pool.where(plain("w"))))
+
+
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 

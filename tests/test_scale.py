@@ -8,6 +8,7 @@ import __spark_entry__ as E
 from memjobs.functions import embed
 from memjobs.functions import text as X
 from memjobs.operators import recall as R
+from memjobs.operators import vectors
 from memjobs.plans.tables import kept
 
 
@@ -54,3 +55,17 @@ def test_units_are_taken_apart_before_rows_meet(spark):
         qa.select("conv_id", F.col("qa_id").alias("id"), R.searchable(qa, "qa").alias("text")).join(asked.select("query_id", "conv_id"), "conv_id"), "query_id")
     want = want.select("query_id", "id", X.keyword_score(F.col("terms"), F.col("text")).alias("k"))
     assert sorted(map(tuple, want.collect())) == sorted((r.query_id, r.id, r.keyword_score) for r in score(told).collect())
+
+
+# -- every pair of a scope
+
+
+def test_every_pair_is_multiplied_in_blocks(spark):
+    """As the join row by row, odd vectors too; other than odd ones no pair is joined."""
+    odd = [None, [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [0.0, 0.0], [1.0]]
+    rows = [(i, [float(i % 7) - 3, float(i % 5)], i % 3 if i % 11 else None) for i in range(200)] + [(300 + i, v, i % 2) for i, v in enumerate(odd)]
+    items = spark.createDataFrame(rows, "id long, embedding array<float>, label int")
+    asked = items.where("id % 10 = 0 or id > 299").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    got, want = (vectors.every_pair(asked, items, ("label", "label"), values=n) for n in (1 << 22, 0))
+    shown = lambda df: sorted((r.query_id, r.id, round(r.similarity, 9)) for r in df.collect())
+    assert shown(got) == shown(want) and got.count() > 1000 and "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
