@@ -22,6 +22,7 @@ OUTPUT = (
     "conv_id long, turn_ord int, rec_ord int, seq int, topic string, intent string, qa_id string, segment_id string, experience_id string, "
     "action string, segment_version int, experience_version int"
 )
+INPUT = ("turn_ord", "rec_ord", "topic", "core_entity", "intent")
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
@@ -144,13 +145,15 @@ class Router:
         }
 
 
+def routed_row(router: Router, turn: int, rec: int, topic: str, entity: str, intent: str) -> dict:
+    row = {"conv_id": router.conv_id, "turn_ord": turn, "rec_ord": rec, **router.add(topic, entity, intent)}
+    router.memory.head |= {"turn": int(turn), "rec": int(rec)}
+    return row
+
+
 def route_frame(router: Router, frame: pd.DataFrame) -> list[dict]:
     """Rows of one conversation, in order."""
-    out = []
-    for turn, rec, topic, entity, intent in zip(*(frame[c] for c in ("turn_ord", "rec_ord", "topic", "core_entity", "intent")), strict=True):
-        out.append({"conv_id": router.conv_id, "turn_ord": turn, "rec_ord": rec, **router.add(topic, entity, intent)})
-        router.memory.head |= {"turn": int(turn), "rec": int(rec)}
-    return out
+    return [routed_row(router, *values) for values in zip(*(frame[c] for c in INPUT), strict=True)]
 
 
 def routed(records: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from memjobs.operators.routing import COLUMNS, OUTPUT, Memory, Router, route_frame
+from memjobs.operators.routing import COLUMNS, INPUT, OUTPUT, Memory, Router, routed_row
 
 #: Keyed state needs the store that keeps maps on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,7 +29,7 @@ class Kept(MutableMapping):
 
     def __getitem__(self, key):
         if key not in self.known:
-            found = self.state.getValue(self.to_key(key)) if self.state.containsKey(self.to_key(key)) else None
+            found = self.state.getValue(self.to_key(key))  # one call to the store; null if there is none
             if found is None:
                 raise KeyError(key)
             self.known[key] = self.from_value(found)
@@ -72,7 +72,8 @@ class Routing(StatefulProcessor):
             Kept(self.intents, tuple, lambda v: (v,), lambda t: t[0]),
         )
         names = ("seq", "current", "turn", "rec", "size")
-        head = dict(zip(names, self.head.get(), strict=True)) if self.head.exists() else None
+        found = self.head.get()
+        head = None if found is None else dict(zip(names, found, strict=True))
         router = Router(int(key[0]), memory=Memory(head, *maps))
         frame = pd.concat(list(rows)).sort_values(["turn_ord", "rec_ord"], kind="stable")
         yield routed_or_late(router, frame)
@@ -87,11 +88,12 @@ class Routing(StatefulProcessor):
 def routed_or_late(router: Router, rows: pd.DataFrame) -> pd.DataFrame:
     """Sorted rows routed; those at or before the last one seen are rejected."""
     out = []
-    for k, place in enumerate(zip(rows["turn_ord"], rows["rec_ord"], strict=True)):
+    for values in zip(*(rows[c] for c in INPUT), strict=True):
+        place = values[:2]
         if place <= router.last:
             out.append({c: None for c in COLUMNS} | {"conv_id": router.conv_id, "turn_ord": place[0], "rec_ord": place[1], "action": "rejected_late"})
         else:
-            out += route_frame(router, rows.iloc[k : k + 1])
+            out.append(routed_row(router, *values))
     whole = ["turn_ord", "rec_ord", "seq", "segment_version", "experience_version"]
     return pd.DataFrame(out, columns=COLUMNS).astype({c: "Int32" for c in whole})
 

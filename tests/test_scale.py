@@ -10,6 +10,7 @@ from memjobs.functions import text as X
 from memjobs.operators import recall as R
 from memjobs.operators import vectors
 from memjobs.plans.tables import kept
+from memjobs.streaming import ingest
 
 
 def against_sql(spark, folder, name, **tables):
@@ -69,3 +70,19 @@ def test_every_pair_is_multiplied_in_blocks(spark):
     got, want = (vectors.every_pair(asked, items, ("label", "label"), values=n) for n in (1 << 22, 0))
     shown = lambda df: sorted((r.query_id, r.id, round(r.similarity, 9)) for r in df.collect())
     assert shown(got) == shown(want) and got.count() > 1000 and "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+# -- streaming state
+
+
+def test_an_entry_of_the_state_takes_one_call():
+    class Store:
+        calls = 0
+
+        def getValue(self, key):  # noqa: N802  name of the interface
+            self.calls += 1
+            return {(1,): (7,)}.get(key)
+
+    store = Store()
+    m = ingest.Kept(store, lambda k: (k,), lambda v: (v,), lambda t: t[0])
+    assert 2 not in m and m[1] == m[1] == 7 and store.calls == 2
