@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BLOCK, SLICE = 2048, 4096
 #: Items of a part, where the queries are too many to send to every task; of one parent, where items are searched by parent.
 PART, SCOPE_PART = 1 << 18, 1 << 14
+#: Similarities to centres that a block of queries holds; numbers of the query vectors of a block and codes of a part, where an index is searched.
+CENTRE_SCORES, ASKED_VALUES, CODE_PART = 1 << 23, 1 << 20, 1 << 16
 #: Decimals of a similarity.
 DIGITS = 12
 
@@ -70,7 +72,7 @@ def top_k(
     left = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "*")
     right = pool.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "*")
     pairs = left.union(right).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
-    return ranked(pairs.mapInArrow(_pairwise(k, bool(same), least, digits), out), k)
+    return ranked(pairs.mapInArrow(_pairwise(lambda q: _Nearest(q, k, bool(same), least, digits)), out), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -92,12 +94,12 @@ def _ids(batch: pa.RecordBatch, name: str = "id") -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.str_) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else np.asarray(column, dtype=np.int64)
 
 
-def _once(items: pa.RecordBatch) -> pa.RecordBatch:
+def _once(items: pa.RecordBatch, by: tuple[str, ...] = ("s", "v")) -> pa.RecordBatch:
     """Without repeats of an id with the same vector and scope, which would take the place of others."""
     ids = items.column("id").to_pylist()
     if len(set(ids)) == len(ids):
         return items
-    rows = zip(ids, items.column("s").to_pylist(), map(tuple, items.column("v").to_pylist()), strict=True)
+    rows = zip(ids, *([tuple(x) if isinstance(x, list) else x for x in items.column(c).to_pylist()] for c in by), strict=True)
     return items.take(list({row: k for k, row in reversed(list(enumerate(rows)))}.values())[::-1])
 
 
@@ -107,7 +109,7 @@ class _Nearest:
     def __init__(self, asked: pa.RecordBatch, k: int, scoped: bool, least: float | None, digits: int):
         self.k, self.scoped, self.digits = k, scoped, digits
         self.ids, self.matrix = _ids(asked, "q" if "q" in asked.schema.names else "id"), _matrix(asked.column("v"))
-        self.scopes = np.array(asked.column("s").to_pylist(), dtype=object)
+        self.scopes = np.array(asked.column("s").to_pylist(), dtype=object) if scoped else None
         self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, _ids(asked.slice(0, 0)).dtype), np.empty(0)
         self.floor = np.full(len(self.ids), least or 0.0)
 
@@ -119,7 +121,10 @@ class _Nearest:
         np.nan_to_num(score, copy=False, nan=-1.0)
         k = min(self.k, score.shape[1])
         row, at = np.nonzero(score >= np.maximum(self.floor, np.partition(score, -k, axis=1)[:, -k])[:, None])
-        row, item, score = (np.concatenate(c) for c in ((self.row, row), (self.item, _ids(items)[at]), (self.score, score[row, at])))
+        self.keep(row, _ids(items)[at], score[row, at])
+
+    def keep(self, row: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
+        row, item, score = (np.concatenate(c) for c in ((self.row, row), (self.item, item), (self.score, score)))
         order = np.lexsort((item, -score, row))
         again = np.zeros(len(order), dtype=bool)  # a repeated item takes one place
         again[1:] = (row[order[1:]] == row[order[:-1]]) & (item[order[1:]] == item[order[:-1]]) & (score[order[1:]] == score[order[:-1]])
@@ -130,8 +135,8 @@ class _Nearest:
         full = counts == self.k
         self.floor[full] = self.score[(np.cumsum(counts) - 1)[full]]
 
-    def found(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.item), pa.array(self.score)], names=["query_id", "id", "similarity"])
+    def found(self) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.item), pa.array(self.score)], names=["query_id", "id", "similarity"])
 
 
 def every_pair(
@@ -190,12 +195,13 @@ def _against(block, k: int, scoped: bool, least: float | None, digits: int):
             for part in _slices(batch, SLICE):
                 for n in near:
                     n.add(part)
-        yield from (n.found() for n in near)
+        for n in near:
+            yield from n.found()
 
     return run
 
 
-def _pairwise(k: int, scoped: bool, least: float | None, digits: int):
+def _pairwise(asking: Callable[[pa.RecordBatch], _Nearest | _Reach]):
     """Compares, for each block and part, the queries, which come first, with the items behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +213,18 @@ def _pairwise(k: int, scoped: bool, least: float | None, digits: int):
                 if a == b:
                     continue
                 if key != tuple(keys[a, :2]):
-                    yield from (n.found() for n in near)
+                    for n in near:
+                        yield from n.found()
                     key, near = tuple(keys[a, :2]), []
                 same = batch.slice(a, b - a)
                 if keys[a, 2] == 0:
-                    near += [_Nearest(q, k, scoped, least, digits) for q in _slices(same, BLOCK)]
+                    near += [asking(q) for q in _slices(same, BLOCK)]
                     continue
                 for part in _slices(same, SLICE):
                     for n in near:
                         n.add(part)
-        yield from (n.found() for n in near)
+        for n in near:
+            yield from n.found()
 
     return run
 
@@ -251,7 +259,7 @@ def scoped_top_k(queries: DataFrame, scope: DataFrame, items: DataFrame, k: int,
 
     both = dealt(asked, "blocks", "parts", 0).union(dealt(pool.join(allowed.select("s").distinct(), "s", "left_semi"), "parts", "blocks", 1))
     met = both.repartition("block", "part").sortWithinPartitions("block", "part", "kind")
-    found = met.mapInArrow(_pairwise(k, True, None, digits), f"query_id {wide['q']}, id {wide['id']}, similarity double").distinct()
+    found = met.mapInArrow(_pairwise(lambda q: _Nearest(q, k, True, None, digits)), f"query_id {wide['q']}, id {wide['id']}, similarity double").distinct()
     return ranked(found, k)
 
 
@@ -268,6 +276,7 @@ class InvertedFile:
     cells: DataFrame
     codes: DataFrame
     n_cells: int
+    n_items: int
 
 
 #: Rows that fine centres are fitted on, for each of them, and the most fine centres of a coarse one.
@@ -315,7 +324,7 @@ def build_index(
         return pd.DataFrame({"code": [r.tobytes() for r in np.rint(rest / scale[:, None]).astype(np.int8)], "scale": scale.astype(np.float32)})
 
     codes = step(known.select("id", "cell", coded("v", "centre").alias("c")).select("id", "cell", "c.code", "c.scale"))
-    return InvertedFile(coarse, cells, codes, total)
+    return InvertedFile(coarse, cells, codes, total, n)
 
 
 def _nearest_centres(rows: DataFrame, centres: np.ndarray, n: int):
@@ -329,30 +338,165 @@ def _nearest_centres(rows: DataFrame, centres: np.ndarray, n: int):
     return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
 
 
+def _centre_scores(asked: np.ndarray, allowed: np.ndarray, coarse: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Similarities of queries to fine centres; -1 where a query doesn't look into the coarse cell."""
+    score = np.round(np.clip(asked @ centres.T, 0.0, 1.0), DIGITS)
+    score[~allowed[:, coarse]] = -1.0
+    return np.nan_to_num(score, copy=False, nan=-1.0)
+
+
+def _within(score: np.ndarray, cells: np.ndarray, edge: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a query looks into a cell: it is nearer than the last one that the query looks into, or as near and not behind it by number."""
+    return (score > edge[:, None]) | ((score == edge[:, None]) & (cells <= last[:, None]))
+
+
+class _Reach:
+    """How far each of some queries looks: the similarity ``edge`` and the number ``last`` of the last of its ``probes`` nearest cells.
+
+    Cells are added in the order of their numbers. ``form`` says what is returned: the queries with what they may look into
+    (``edge``), a row for each query and cell (``pair``) or the number of queries of each cell (``count``).
+    """
+
+    def __init__(self, asked: pa.RecordBatch, probes: int, n_coarse: int, form: str):
+        self.asked, self.probes, self.form, self.matrix = asked, probes, form, _matrix(asked.column("v"))
+        near = asked.column("near")
+        self.allowed = np.zeros((asked.num_rows, n_coarse), dtype=bool)
+        self.allowed[np.repeat(np.arange(asked.num_rows), np.asarray(near.value_lengths())), np.asarray(near.flatten())] = True
+        self.cells, self.scores = [np.empty(0, np.int64)], [np.empty((asked.num_rows, 0))]
+
+    def add(self, cells: pa.RecordBatch) -> None:
+        self.cells.append(_ids(cells))
+        self.scores.append(_centre_scores(self.matrix, self.allowed, np.asarray(cells.column("coarse")), _matrix(cells.column("v"))))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        cells, scores = np.concatenate(self.cells), np.concatenate(self.scores, axis=1)
+        edge, last = np.zeros(len(scores)), np.full(len(scores), np.iinfo(np.int64).max)  # all cells of the allowed coarse ones
+        for i, score in enumerate(scores if len(cells) > self.probes else ()):
+            least = np.partition(score, -self.probes)[-self.probes]
+            if least >= 0:
+                edge[i], last[i] = least, cells[np.flatnonzero(score == least)[self.probes - 1 - (score > least).sum()]]
+        if self.form == "edge":
+            bits = [row.tobytes() for row in np.packbits(self.allowed, axis=1)]
+            yield pa.RecordBatch.from_arrays([self.asked.column("id"), self.asked.column("v"), pa.array(bits, pa.binary()), pa.array(edge), pa.array(last)], names=["id", "v", "bits", "edge", "last"])
+        elif self.form == "count":
+            counts = _within(scores, cells, edge, last).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts.astype(np.int64))], names=["cell", "n_queries"])
+        else:
+            for i, of in enumerate(_ids(self.asked)):
+                seen = cells[_within(scores[i : i + 1], cells, edge[i : i + 1], last[i : i + 1])[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), of)), pa.array(seen)], names=["query_id", "cell"])
+
+
+class _Probing(_Nearest):
+    """The first ``k`` of the codes in the cells that each query looks into; a query is compared with no others.
+
+    Codes are added in the order of cell and id. Candidates are gathered and ranked together, a cell hands on ``k`` at most.
+    """
+
+    def __init__(self, asked: pa.RecordBatch, k: int, n_coarse: int, digits: int = DIGITS):
+        super().__init__(asked, k, False, None, digits)
+        bits = np.frombuffer(b"".join(asked.column("bits").to_pylist()), np.uint8).reshape(asked.num_rows, -1)
+        self.allowed = np.unpackbits(bits, axis=1, count=n_coarse).astype(bool)
+        self.edge, self.last = np.asarray(asked.column("edge")), np.asarray(asked.column("last"))
+        self.behind = np.full(len(self.ids), np.iinfo(np.int64).max)  # the item that stands last, where all ``k`` are found
+        self.waiting, self.n_waiting = [], 0
+
+    def add(self, items: pa.RecordBatch) -> None:
+        items = _once(items, ("cell", "code", "scale"))
+        ids, cells = _ids(items), np.asarray(items.column("cell"))
+        starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        ends, own = np.append(starts[1:], len(cells)), items.take(pa.array(starts))
+        score = _centre_scores(self.matrix, self.allowed, np.asarray(own.column("coarse")), _matrix(own.column("v")))
+        within = _within(score, cells[starts], self.edge, self.last)
+        centres = np.asarray(own.column("v").flatten()).reshape(len(starts), -1)
+        codes = np.frombuffer(b"".join(items.column("code").to_pylist()), np.int8).reshape(len(ids), -1)
+        decoded = codes * np.asarray(items.column("scale"))[:, None] + np.repeat(centres, ends - starts, axis=0)
+        near = _unit(decoded.astype(np.float64))
+        for j, (a, b) in enumerate(zip(starts, ends)):
+            rows = np.flatnonzero(within[:, j])
+            if not len(rows):
+                continue
+            score = np.round(np.clip(self.matrix[rows] @ near[a:b].T, 0.0, 1.0), self.digits)
+            np.nan_to_num(score, copy=False, nan=-1.0)
+            item = np.broadcast_to(ids[a:b], score.shape)
+            if b - a > self.k:
+                order = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+                item, score = ids[a:b][order], np.take_along_axis(score, order, axis=1)
+            floor = self.floor[rows][:, None]
+            row, at = np.nonzero((score > floor) | ((score == floor) & (item < self.behind[rows][:, None])))
+            self.waiting.append((rows[row], item[row, at], score[row, at]))
+            self.n_waiting += len(row)
+            if self.n_waiting > max(SLICE, 2 * self.k * len(self.ids)):
+                self.rank()
+
+    def rank(self) -> None:
+        if self.waiting:
+            self.keep(*(np.concatenate(c) for c in zip(*self.waiting)))
+            counts = np.bincount(self.row, minlength=len(self.ids))
+            full = counts == self.k
+            self.behind[full] = self.item[(np.cumsum(counts) - 1)[full]]
+        self.waiting, self.n_waiting = [], 0
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        self.rank()
+        yield from super().found()
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").cast("long").alias("id"), F.col("query").cast("array<float>").alias("v")).where("v is not null")
+
+
+def _probed(index: InvertedFile, asked: DataFrame, n_asked: int, share: float, form: str, schema: str) -> DataFrame:
+    """What ``_Reach`` gives for all queries: all cells stream past each block of them, which holds ``CENTRE_SCORES`` similarities."""
+    n_coarse, blocks = len(index.coarse), max(1, -(-n_asked * index.n_cells // CENTRE_SCORES))
+    probes, look = max(1, math.ceil(share * index.n_cells)), max(1, math.ceil(math.sqrt(share) * n_coarse))
+    left = asked.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("part"), F.lit(0).alias("kind"), "id", "v", _nearest_centres(asked, index.coarse, look)("v").alias("near"), F.lit(None).cast("int").alias("coarse"))
+    right = index.cells.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("part"), F.lit(1).alias("kind"), F.col("cell").alias("id"), F.col("centre").alias("v"), F.lit(None).cast("array<int>").alias("near"), "coarse")
+    met = left.union(right).repartition("block").sortWithinPartitions("block", "part", "kind", "id")
+    return met.mapInArrow(_pairwise(lambda q: _Reach(q, probes, n_coarse, form)), schema)
+
+
+def looks_by_cell(index: InvertedFile, queries: DataFrame, share: float = 0.1) -> DataFrame:
+    """(cell, n_queries): how many queries look into each cell when the index is searched; no row a query and cell is made."""
+    if not len(index.coarse):
+        return queries.sparkSession.createDataFrame([], "cell long, n_queries long")
+    asked = _asked(queries)
+    return _probed(index, asked, asked.count(), share, "count", "cell long, n_queries long").groupBy("cell").agg(F.sum("n_queries").alias("n_queries"))
+
+
 def search_index(index: InvertedFile, queries: DataFrame, items: DataFrame, k: int, share: float = 0.1, refine: int = 10) -> tuple[DataFrame, DataFrame]:
     """The approximate nearest items, with exact similarities and ranks, and (query_id, cell), the cells looked into.
 
     A query looks into the ``share`` of the cells whose centres are nearest, among those of its nearest coarse cells, ranks
-    what lies there by the 8-bit codes, and compares the first ``refine * k`` with the items themselves.
+    what lies there by the 8-bit codes, and compares the first ``refine * k`` with the items themselves. Which cells these
+    are goes with a query as the similarity and number of the last of them, so no row of a query and a cell is shuffled.
+    Codes are dealt into parts of about ``CODE_PART``, cell by cell; a task streams a part past a block of queries and hands
+    on ``refine * k`` rows a query. A cell of more than ``SCOPE_PART`` codes is dealt itself.
     """
     if not len(index.coarse):
         none = queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
         return none, none.select("query_id", F.col("id").alias("cell"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<float>").alias("query")).where("query is not null")
-    n_coarse = max(1, math.ceil(math.sqrt(share) * len(index.coarse)))
-    scope = asked.select("query_id", F.explode(_nearest_centres(asked, index.coarse, n_coarse)("query")).alias("coarse"))
-    centres = index.cells.select(F.col("cell").alias("id"), "coarse", F.col("centre").alias("embedding"))
-    probes = max(1, math.ceil(share * index.n_cells))
-    looked = scoped_top_k(asked, scope, centres, probes, "coarse").select("query_id", F.col("id").alias("cell"))
-
-    @F.pandas_udf("array<float>")
-    def decoded(code: pd.Series, scale: pd.Series, centre: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(c, np.int8) * np.float32(s) + np.asarray(m, dtype=np.float32) for c, s, m in zip(code, scale, centre, strict=True)])
-
-    met = index.codes.join(looked.select("cell").distinct(), "cell", "left_semi").join(index.cells.select("cell", "centre"), "cell")
-    found = scoped_top_k(asked, looked, met.select("id", "cell", decoded("code", "scale", "centre").alias("embedding")), refine * k, "cell")
+    asked, n_coarse = _asked(queries), len(index.coarse)
+    n_asked = asked.count()
+    parts, blocks = max(1, -(-index.n_items // CODE_PART)), max(1, -(-n_asked * index.coarse.shape[1] // ASKED_VALUES))
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in (("coarse", "int"), ("bits", "binary"), ("edge", "double"), ("last", "long"), ("code", "binary"), ("scale", "float"))}
+    reach = _probed(index, asked, n_asked, share, "edge", "id long, v array<float>, bits binary, edge double, last long")
+    left = reach.select(
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"),
+        "id", F.lit(-1).cast("long").alias("cell"), "v", empty["coarse"], "bits", "edge", "last", empty["code"], empty["scale"],
+    )
+    large = index.codes.groupBy("cell").agg(F.ceil(F.count("*") / SCOPE_PART).alias("pieces")).where("pieces > 1")  # a row for each SCOPE_PART codes at most
+    dealt = F.pmod(F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1)))), F.lit(parts)).cast("int")
+    right = index.codes.join(index.cells, "cell").join(large, "cell", "left").select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt.alias("part"), F.lit(1).alias("kind"),
+        "id", "cell", F.col("centre").alias("v"), "coarse", empty["bits"], empty["edge"], empty["last"], "code", "scale",
+    )
+    met = left.union(right).repartition("block", "part").sortWithinPartitions("block", "part", "kind", "cell", "id")
+    near = met.mapInArrow(_pairwise(lambda q: _Probing(q, refine * k, n_coarse)), "query_id long, id long, similarity double")
+    found = ranked(near, refine * k)
     exact = items.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    pairs = found.select("query_id", "id").join(asked, "query_id").join(exact, "id")  # refine * k rows a query
+    pairs = found.select("query_id", "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("query")), "query_id").join(exact, "id")  # refine * k rows a query
+    looked = _probed(index, asked, n_asked, share, "pair", "query_id long, cell long")
     return ranked(pairs.select("query_id", "id", F.round(similarity(F.col("query"), F.col("embedding")), 12).alias("similarity")), k), looked
 
 

@@ -1,6 +1,10 @@
 """Ties at the digits shown, and operators in blocks compared with SQL or with their plain definition."""
 
+import math
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +76,69 @@ def test_every_pair_is_multiplied_in_blocks(spark):
     assert shown(got) == shown(want) and got.count() > 1000 and "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+# -- search of an index
+
+
+def of_index(spark, copies):
+    """Items of which some are equal, zero, null or not a number, some ids of them repeated, and every tenth id as a query."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(600)]
+    rows += [(1000 + i, rows[5][1]) for i in range(copies)] + [(9000 + i, [0.0] * 8) for i in range(30)] + [(9100, None), (9101, [float("nan")] * 8), (7, rows[7][1]), (7, rows[8][1])]
+    items = spark.createDataFrame(rows + [(1003, rows[5][1])] * 25, "id long, embedding array<float>").repartition(3)
+    return items, items.where("id % 10 = 1").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def test_a_part_of_the_codes_hands_on_no_more_than_is_compared(spark, monkeypatch):
+    """Rows of queries and codes grow with the queries and parts, not with the codes of the cells; no row of a query and a cell is ranked."""
+    items, asked = of_index(spark, 700)
+    monkeypatch.setattr(vectors, "CODE_PART", 500, raising=False)
+    index, sizes, plain = vectors.build_index(items, rows_per_cell=20, step=kept), [], vectors.ranked
+
+    def ranked(pairs, k, *names):
+        sizes.append(pairs.count())
+        return plain(pairs, k, *names)
+
+    monkeypatch.setattr(vectors, "ranked", ranked)
+    found, looked = vectors.search_index(index, asked, items, 3, share=0.68, refine=2)
+    parts, n = -(-index.codes.count() // 500), asked.where("query is not null").count()
+    assert sizes and max(sizes) <= n * 3 * 2 * (parts + 1) and found.count() >= 3 * (n - 1)
+    assert "Window" not in looked._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("part", "small"), [(1 << 16, False), (150, True)])
+@pytest.mark.parametrize(("share", "refine"), [(0.68, 10), (0.1, 2), (1.0, 1)])
+def test_search_of_an_index_equals_a_plain_search_of_its_cells(spark, monkeypatch, part, small, share, refine):
+    items, asked = of_index(spark, 200)
+    index = vectors.build_index(items, rows_per_cell=20, step=kept)
+    if small:
+        for name, most in (("CODE_PART", part), ("CENTRE_SCORES", 300), ("ASKED_VALUES", 80), ("SCOPE_PART", 40)):
+            monkeypatch.setattr(vectors, name, most)
+    found, looked = vectors.search_index(index, asked, items, 4, share, refine)
+    unit, shown = vectors._unit, lambda a, b: np.round(np.clip(a @ b.T, 0.0, 1.0), 12)
+    cells = {r.cell: (r.coarse, np.array(r.centre, dtype=np.float32)) for r in index.cells.collect()}
+    codes, vectors_of = {}, {}
+    for r in index.codes.collect():
+        codes.setdefault(r.cell, set()).add((r.id, (np.frombuffer(r.code, np.int8) * np.float32(r.scale) + cells[r.cell][1]).tobytes()))
+    for r in items.where("embedding is not null").collect():
+        vectors_of.setdefault(r.id, []).append(np.array(r.embedding))
+    n_coarse, probes = math.ceil(math.sqrt(share) * len(index.coarse)), math.ceil(share * index.n_cells)
+    got, seen = {}, {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.similarity, 6)))
+    for r in looked.collect():
+        seen.setdefault(r.query_id, set()).add(r.cell)
+    for q in asked.where("query is not null and query_id <> 9101").collect():
+        v = unit(np.array([q.query], dtype=np.float64))
+        allowed = set(np.argsort(-(v @ index.coarse.T)[0], kind="stable")[:n_coarse].tolist())
+        near = sorted((-shown(v, unit(m[None].astype(np.float64)))[0, 0], cell) for cell, (coarse, m) in cells.items() if coarse in allowed and not np.isnan(m).any())
+        assert seen[q.query_id] == {cell for _, cell in near[:probes]}
+        met = {(-shown(v, unit(np.frombuffer(m, np.float32)[None].astype(np.float64)))[0, 0], i) for cell in seen[q.query_id] for i, m in codes.get(cell, ())}
+        first = sorted((-round(float(shown(v, unit(x[None]))[0, 0]), 12), i) for _, i in sorted(met)[: refine * 4] for x in vectors_of[i])
+        assert [i for i, _ in got[q.query_id]] == [i for _, i in first[:4]]
+    counts = {r.cell: r.n_queries for r in vectors.looks_by_cell(index, asked, share).where("n_queries > 0").collect()}
+    assert counts == dict(Counter(cell for of in seen.values() for cell in of))
+
+
 # -- streaming state
 
 
